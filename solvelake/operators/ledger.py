@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solvelake.operators.joins import split_join
+
 PAIR = ["challenge_id", "team_id"]
 
 
@@ -60,7 +62,7 @@ def adjudicate(attempts: DataFrame, challenges: DataFrame, ledger: DataFrame | N
         marks = marks.unionByName(old)
     earlier = F.struct(F.col("_at"), F.col("_by")) < F.struct(F.col("inserted_at"), F.col("id"))
     return (
-        checked.join(marks, PAIR, "left")
+        split_join(checked, marks, PAIR)
         .withColumn("already_solved", F.when(F.col("_old").isNull(), False).otherwise(F.col("_old") | earlier))
         .withColumn("counted", F.coalesce(~F.col("_old") & (F.col("_by") == F.col("id")), F.lit(False)))
         .drop("_at", "_by", "_old")

@@ -1 +1,134 @@
-"""(later)"""
+"""Sign-in, membership, admission, promotion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from solvelake.operators import access
+from solvelake.plans.registry import query
+from solvelake.sources import testbed as tb
+
+# Claims with a named team, user and challenge of which some are wrong: cheap events name a user that does not exist,
+# errors name no team of theirs, dear ones a challenge that does not exist.
+CLAIMS = """
+asks as (
+  select c.id, case when e.value < 1 then -1 - c.user_id else c.user_id end user_id,
+         case when e.event_type = 'error' then -1 else coalesce(u.team_id, 0) end team_id,
+         case when e.value > 40 then -1 - c.challenge_id else c.challenge_id end challenge_id,
+         e.event_type <> 'click' auth_ok
+  from claims c join events e on e.event_id = c.id left join users u on u.id = c.user_id)
+"""
+
+
+def asks(spark, sf):
+    e = tb.raw(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type", "value")
+    u = tb.users(spark, sf).select(F.col("id").alias("user_id"), "team_id")
+    flip = lambda col: -1 - F.col(col)
+    return (
+        tb.claims(spark, sf)
+        .join(e, "id")
+        .join(u, "user_id", "left")
+        .select(
+            "id",
+            F.when(F.col("value") < 1, flip("user_id")).otherwise(F.col("user_id")).alias("user_id"),
+            F.when(F.col("event_type") == "error", -1).otherwise(F.coalesce("team_id", F.lit(0))).alias("team_id"),
+            F.when(F.col("value") > 40, flip("challenge_id")).otherwise(F.col("challenge_id")).alias("challenge_id"),
+            (F.col("event_type") != "click").alias("auth_ok"),
+        )
+    )
+
+
+@query(
+    "signin_outcomes",
+    """
+    select s.id, case
+      when (select count(*) from credentials c where c.user_id = s.user_id) = 0 then 'not_found'
+      when (select count(*) from credentials c where c.user_id = s.user_id and c.sub = s.sub
+              and c.provider_name = s.provider) <> 1 then 'bad_auth'
+      else 'authenticated' end outcome
+    from signins s
+    """,
+)
+def signin_outcomes(spark, sf):
+    return access.signin_outcomes(tb.signins(spark, sf), tb.credentials(spark, sf)).select("id", "outcome")
+
+
+@query(
+    "oauth_matches",
+    """
+    select s.id, (select count(*) from credentials c where c.user_id = s.user_id and c.sub = s.sub
+                    and c.provider_name = s.provider) > 0 matches
+    from signins s
+    """,
+)
+def oauth_matches(spark, sf):
+    return access.oauth_matches(tb.signins(spark, sf), tb.credentials(spark, sf)).select("id", "matches")
+
+
+@query(
+    "membership_outcomes",
+    """
+    select a.id, case when u.id is null then 'does_not_exist' when u.team_id = a.team_id then 'is_on_team'
+                 else 'not_on_team' end membership
+    from asks a left join users u on u.id = a.user_id
+    """,
+    CLAIMS,
+)
+def membership_outcomes(spark, sf):
+    return access.membership(asks(spark, sf), tb.users(spark, sf)).select("id", "membership")
+
+
+@query(
+    "attempt_admission",
+    """
+    select a.id, case when u.id is null then 'does_not_exist'
+                 when u.team_id is null or u.team_id <> a.team_id then 'not_on_team'
+                 when not a.auth_ok then 'bad_auth'
+                 when a.challenge_id not in (select id from challenges) then 'unknown_challenge'
+                 else 'accepted' end outcome
+    from asks a left join users u on u.id = a.user_id
+    """,
+    CLAIMS,
+)
+def attempt_admission(spark, sf):
+    return access.admit(asks(spark, sf), tb.users(spark, sf), tb.challenges(spark, sf)).select("id", "outcome")
+
+
+PROMOTIONS = """
+commands as (
+  select o_orderkey seq, o_custkey admin_id,
+         cast(floor(o_totalprice) as bigint) % (select 2 * count(*) from customer) target_id,
+         o_orderstatus <> 'F' auth_ok
+  from orders),
+reach as (
+  select id, cast(-1 as bigint) since from users where admin
+  union
+  select c.target_id, c.seq from reach r join commands c on c.admin_id = r.id and r.since < c.seq
+  where c.auth_ok and c.target_id in (select id from users))
+"""
+
+
+def promotion_commands(spark, sf):
+    n = tb.raw(spark, sf, "customer").agg(2 * F.count(F.lit(1))).scalar()
+    return tb.raw(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.col("o_custkey").alias("admin_id"),
+        (F.floor("o_totalprice").cast("bigint") % n).alias("target_id"),
+        (F.col("o_orderstatus") != "F").alias("auth_ok"),
+    )
+
+
+@query(
+    "promotions",
+    """
+    select c.seq, case when not c.auth_ok then 'auth'
+      when c.admin_id not in (select id from users) then 'does_not_exist'
+      when not exists (select 1 from reach r where r.id = c.admin_id and r.since < c.seq) then 'auth'
+      when c.target_id not in (select id from users) then 'does_not_exist'
+      else 'promoted' end outcome
+    from commands c
+    """,
+    PROMOTIONS,
+)
+def promotions(spark, sf):
+    return access.promotions(promotion_commands(spark, sf), tb.users(spark, sf)).select("seq", "outcome")

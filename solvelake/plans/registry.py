@@ -85,7 +85,7 @@ def query(name: str, sql: str | None = None, ctes: str = "") -> Callable[[Query]
         QUERIES[name] = run
         if sql is not None:
             extra = f",\n{ctes}" if ctes else ""
-            ORACLES[name] = f"with {VIEWS.strip()}{extra}\n{sql.strip()}"
+            ORACLES[name] = f"with recursive {VIEWS.strip()}{extra}\n{sql.strip()}"
         return run
 
     return register
