@@ -39,7 +39,7 @@ def rows(columns, records):
 def kind(name: str) -> str:
     name = str(name).lower()
     for tag, names in {
-        "int": ("bigint", "integer", "int", "hugeint", "smallint"),
+        "int": ("integer", "int"),
         "text": ("varchar", "string"),
         "time": ("timestamp", "timestamp_ntz"),
     }.items():
