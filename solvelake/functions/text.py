@@ -62,12 +62,29 @@ def sync_event(kind: Column, id_: Column, tag: str = "__type") -> Column:
     return F.to_json(F.struct(kind.alias(tag), F.when(kind.isin("chall", "team", "user"), id_).alias("id")))
 
 
+def one_decimal(x: Column) -> Column:
+    """A non-negative double to one decimal, exact: half-way cases go up, others to the nearer tenth.
+
+    The fraction times 2^57 is a whole number, so the choice is made in integers; printf in the JVM would round the
+    shortest decimal form of the double instead.
+    """
+    whole = F.floor(x).cast("bigint")
+    fraction = ((x - whole) * F.lit(float(2**57))).cast("bigint")
+    tenths = whole * 10 + F.shiftright(fraction * 10 + F.lit(2**56), 57)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def status_line(status: Column | str, secs: Column | str, nanos: Column | str) -> Column:
     """Deployment status, padded to nine characters, with its age to one decimal."""
     name = _c(status)
     padded = F.when(F.char_length(name) < 9, F.lpad(name, 9, " ")).otherwise(name)
     age = _c(secs).cast("double") + _c(nanos).cast("double") * F.lit(1e-9)
-    return F.concat(padded, F.lit(" for "), F.format_string("%.1f", age), F.lit(" seconds"))
+    return F.concat(padded, F.lit(" for "), one_decimal(age), F.lit(" seconds"))
+
+
+def split_names(names: Column | str) -> Column:
+    """A comma-separated list of challenge names, one row each."""
+    return F.explode(F.split(_c(names), ","))
 
 
 # Error kinds of table requests with their status and message.
@@ -114,6 +131,18 @@ def table_error_body(kind: Column, info: Column, id_: Column, name: Column, size
     )
 
 
+def table_error_data(kind: Column, info: Column, id_: Column, name: Column, size: Column, limit: Column) -> Column:
+    """The error as response data: the bare kind, or the kind with its detail."""
+    detail = (
+        F.when(kind == "OtherServerError", F.to_json(F.struct(info.alias("OtherServerError"))))
+        .when(kind == "DoesNotExist", F.to_json(F.struct(id_.alias("DoesNotExist"))))
+        .when(kind == "NameDoesNotExist", F.to_json(F.struct(name.alias("NameDoesNotExist"))))
+        .when(kind == "NameIsTaken", F.to_json(F.struct(name.alias("NameIsTaken"))))
+        .when(kind == "RequestTooBig", F.to_json(F.struct(F.array(size, limit).alias("RequestTooBig"))))
+    )
+    return F.coalesce(detail, F.concat(F.lit('"'), kind, F.lit('"')))
+
+
 def deploy_error_status(kind: Column, code: Column) -> Column:
     return F.when(kind == "DeployServer", code).when(kind.isin(*DEPLOY_ERRORS), 500)
 
