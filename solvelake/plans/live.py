@@ -1 +1,119 @@
-"""(later)"""
+"""Streaming queries, run over the files at hand and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from solvelake.functions.common import epoch
+from solvelake.operators.ledger import check_guesses
+from solvelake.plans.leaderboard import BLOODS, TOP
+from solvelake.plans.registry import query
+from solvelake.plans.text import BODIES, BODY
+from solvelake.session import work_path
+from solvelake.sources import testbed as tb
+from solvelake.streaming import ledger, sources, status
+
+
+def events(spark, sf):
+    return sources.read_files(spark, sf, tb.RAW["events"], glob="events.parquet")
+
+
+def attempt_stream(spark, sf):
+    """The event stream as checked attempts: stream-static joins with the challenges and users."""
+    u = tb.users(spark, sf).where("team_id is not null").select(F.col("id").alias("user_id"), "team_id")
+    c = tb.challenges(spark, sf)
+    claims = tb.claims_of(events(spark, sf), c)
+    return check_guesses(claims.join(u, "user_id"), c)
+
+
+def done(q):
+    q.awaitTermination()
+
+
+LEDGER = "select attempt_id, user_id, challenge_id, team_id, cast(epoch(solved_at) as bigint) solved_at from successes"
+
+
+@query("stream_first_correct", LEDGER)
+def stream_first_correct(spark, sf):
+    """Counted by arrival; within one micro-batch by time."""
+    attempts = ledger.with_arrival(attempt_stream(spark, sf))
+    path = work_path(spark, "first-correct")
+    done(ledger.start_ledger(attempts, path, work_path(spark, "checkpoint"), ledger.ARRIVAL))
+    return ledger.read_ledger(spark, path, attempts, ledger.ARRIVAL).withColumn("solved_at", epoch("solved_at"))
+
+
+@query("stream_ledger", LEDGER)
+def stream_ledger(spark, sf):
+    """Counted by event time."""
+    attempts = attempt_stream(spark, sf)
+    path = work_path(spark, "ledger")
+    done(ledger.start_ledger(attempts, path, work_path(spark, "checkpoint"), ledger.EVENT_TIME))
+    return ledger.read_ledger(spark, path, attempts, ledger.EVENT_TIME).withColumn("solved_at", epoch("solved_at"))
+
+
+@query(
+    "stream_leaderboard",
+    "select cast(rank as bigint) rank, id, score, cast(epoch(last_solve) as bigint) last_solve from top",
+    TOP.format(n=10),
+)
+def stream_leaderboard(spark, sf):
+    board = work_path(spark, "board")
+    q = ledger.start_leaderboard(
+        attempt_stream(spark, sf), tb.teams(spark, sf), tb.challenges(spark, sf),
+        work_path(spark, "ledger"), work_path(spark, "scores"), board, work_path(spark, "checkpoint"), 10,
+    )
+    done(q)
+    return ledger.latest_board(spark, board, "bigint").withColumn("last_solve", epoch("last_solve"))
+
+
+@query(
+    "stream_first_blood",
+    """
+    select attempt_id, challenge_id, 'participants' channel, 'CTF Updates' username,
+           'First :drop_of_blood: by `' || "user" || '` from `' || team || '` on challenge `' || chall || '`!' content
+    from bloods
+    """,
+    BLOODS,
+)
+def stream_first_blood(spark, sf):
+    box = work_path(spark, "outbox")
+    q = ledger.start_first_bloods(
+        attempt_stream(spark, sf), tb.challenges(spark, sf), tb.teams(spark, sf), tb.users(spark, sf),
+        work_path(spark, "bloods"), box, work_path(spark, "checkpoint"),
+    )
+    done(q)
+    return ledger.read_outbox(spark, box, "bigint").drop("batch_id")
+
+
+@query(
+    "stream_deploy_status",
+    """
+    select chall, status, status_time from deploy_log d
+    where (ts, seq) = (select (b.ts, b.seq) from deploy_log b where b.chall = d.chall
+                       order by b.ts desc, b.seq desc limit 1)
+    """,
+)
+def stream_deploy_status(spark, sf):
+    log = tb.deploys_of(events(spark, sf))
+    path = work_path(spark, "status")
+    done(status.start_status(log, path, work_path(spark, "checkpoint")))
+    return status.read_status(spark, path, log).select("chall", "status", "status_time")
+
+
+@query(
+    "stream_routed_commands",
+    """
+    select request_id, target, kind from kinds where request_id not in (select request_id from refused)
+    union all
+    select request_id, 'refused', reason from refused
+    """,
+    BODIES,
+)
+def stream_routed_commands(spark, sf):
+    bodies = events(spark, sf).select(
+        F.col("event_id").alias("request_id"), F.expr(BODY.replace("{s}", "string")).alias("body")
+    )
+    path = work_path(spark, "routed")
+    done(sources.start_routing(bodies, path, work_path(spark, "checkpoint"), "bigint"))
+    ddl = "request_id bigint, kind string, params string, target string"
+    return spark.read.schema(ddl).parquet(path).select("request_id", "target", "kind")

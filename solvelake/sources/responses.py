@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +52,18 @@ def request_status(results: DataFrame) -> DataFrame:
     return results.groupBy("request_id").agg(_status().alias("status"))
 
 
-def outbox(messages: DataFrame, channel: Column, username: Column, content: Column) -> DataFrame:
-    """Message rows (channel, username, content) for a delivery service to pick up."""
-    return messages.select(channel.alias("channel"), username.alias("username"), content.alias("content"))
+def outbox(
+    messages: DataFrame, channel: Column, username: Column, content: Column, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Message rows (channel, username, content) for a delivery service to pick up, with the columns ``keep``."""
+    return messages.select(*keep, channel.alias("channel"), username.alias("username"), content.alias("content"))
 
 
-def first_blood_outbox(details: DataFrame, sender: str = text.UPDATE_SENDER) -> DataFrame:
-    return outbox(
-        details, F.lit("participants"), F.lit(sender), text.first_blood_message("chall", "team", "user")
-    )
+def first_blood_outbox(
+    details: DataFrame, sender: str = text.UPDATE_SENDER, keep: Sequence[str] = ()
+) -> DataFrame:
+    content = text.first_blood_message("chall", "team", "user")
+    return outbox(details, F.lit("participants"), F.lit(sender), content, keep)
 
 
 def staff_outbox(
@@ -68,3 +73,8 @@ def staff_outbox(
     writers = F.col("include_chall_writers")
     content = text.staff_alert(F.col("level"), F.col("message"), writers, writer_role, admin_role)
     return outbox(alerts, F.when(writers, "chall_writers").otherwise("admins"), F.lit(sender), content)
+
+
+def sync_outbox(events: DataFrame) -> DataFrame:
+    """Cache-sync events (kind, id) for the frontend."""
+    return outbox(events, F.lit("frontend"), F.lit(None).cast("string"), text.sync_event(F.col("kind"), F.col("id")))

@@ -89,9 +89,13 @@ def challenges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event as a solve claim, before admission; purchases guess right."""
-    e = raw(spark, sf, "events").withColumn("challenge_id", F.get_json_object("props", "$.k").cast("bigint"))
-    flags = challenges(spark, sf).select(F.col("id").alias("challenge_id"), "flag")
+    return claims_of(raw(spark, sf, "events"), challenges(spark, sf))
+
+
+def claims_of(events: DataFrame, challenges: DataFrame) -> DataFrame:
+    """Every event (batch or stream) as a solve claim, before admission; purchases guess right."""
+    e = events.withColumn("challenge_id", F.get_json_object("props", "$.k").cast("bigint"))
+    flags = challenges.select(F.col("id").alias("challenge_id"), "flag")
     return e.join(flags, "challenge_id").select(
         F.col("event_id").alias("id"),
         "user_id",
@@ -149,6 +153,10 @@ def signins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def deploy_log(spark: SparkSession, sf: str) -> DataFrame:
+    return deploys_of(raw(spark, sf, "events"))
+
+
+def deploys_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     status = (
         F.when(kind == "click", "building")
@@ -157,7 +165,7 @@ def deploy_log(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == "signup", "started")
         .otherwise("pulling")
     )
-    return raw(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         F.get_json_object("props", "$.k").cast("bigint").alias("chall"),
         status.alias("status"),
