@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def update_credentials(credentials: DataFrame, commands: DataFrame) -> tuple[Dat
     key = ["user_id", "provider_name"]
     now = cut(credentials.select(*key, "sub"))
     open_ = cut(commands)
-    accepted = cut(commands.limit(0).select("seq"))
+    accepted = [commands.limit(0).select("seq")]
     while True:
         on_file = now.select(
             "user_id", F.col("provider_name").alias("old_provider"), F.col("sub").alias("old_sub")
@@ -35,13 +37,15 @@ def update_credentials(credentials: DataFrame, commands: DataFrame) -> tuple[Dat
         won = cut(open_.join(next_, ["user_id", "seq"], "left_semi").select(*commands.columns))
         if won.isEmpty():
             break
-        accepted = cut(accepted.unionByName(won.select("seq")))
+        accepted.append(won.select("seq"))
+        if len(accepted) == 16:
+            accepted = [cut(reduce(DataFrame.unionByName, accepted))]
         stored = won.select("user_id", F.col("new_provider").alias("provider_name"), F.col("new_sub").alias("sub"))
         now = cut(now.join(stored.select(*key), key, "left_anti").unionByName(stored))
         # Users without an accepted command are done; the others go on after it.
         reached = won.select("user_id", F.col("seq").alias("_at"))
         open_ = cut(split_join(open_, reached, ["user_id"], "inner").where("seq > _at").select(*commands.columns))
-    stored = accepted.withColumn("_ok", F.lit(True))
+    stored = reduce(DataFrame.unionByName, accepted).withColumn("_ok", F.lit(True))
     outcome = F.when(F.col("_ok"), "stored").otherwise("auth")
     judged = commands.join(stored, "seq", "left").withColumn("outcome", outcome).drop("_ok")
     return now, judged
