@@ -22,8 +22,8 @@ def epoch(col: Column | str) -> Column:
 
 def to_second(col: Column | str) -> Column:
     """Round a naive timestamp to whole seconds, half up."""
-    shifted = _c(col) + F.expr("interval '500' millisecond")
-    return F.date_trunc("second", shifted).cast("timestamp_ntz")
+    micros = F.unix_micros(_c(col).cast("timestamp"))
+    return F.timestamp_seconds(F.floor((micros + 500000) / 1000000)).cast("timestamp_ntz")
 
 
 def stamp(text: str | None) -> Column:

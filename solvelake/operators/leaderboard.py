@@ -27,7 +27,8 @@ def top_teams(teams: DataFrame, limit: int) -> DataFrame:
 
     The rank is taken over the at most 100 rows left after the limit.
     """
-    top = teams.orderBy(*_order()).limit(check_limit(limit))
+    check_limit(limit)
+    top = teams.orderBy(*_order()).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*_order())).cast("bigint"))
 
 

@@ -58,17 +58,18 @@ def with_scores(owners: DataFrame, ledger: DataFrame, challenges: DataFrame, key
     return bare.join(t, "id", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("bigint")))
 
 
-def points_before(scored: DataFrame, instants: DataFrame) -> DataFrame:
+def points_before(scored: DataFrame, instants: DataFrame | None = None) -> DataFrame:
     """Points each team had strictly before each instant.
 
-    ``scored`` has (team_id, second, points); ``instants`` has (team_id, second). Returns (team_id, second, before)
-    for every distinct pair of either. Points are first summed per team and second, then a running total is kept
+    ``scored`` has (team_id, second, points); ``instants`` has more (team_id, second). Returns (team_id, second,
+    before) for every distinct pair of either. Points are first summed per team and second, then a running total is kept
     inside each hour and one over the hours: a window holds at most 3600 rows, or one row per hour of the event,
     however many solves one team has.
     """
-    marks = scored.select("team_id", "second", F.col("points").cast("bigint").alias("points")).unionByName(
-        instants.select("team_id", "second", F.lit(0).cast("bigint").alias("points"))
-    )
+    marks = scored.select("team_id", "second", F.col("points").cast("bigint").alias("points"))
+    if instants is not None:
+        nothing = F.lit(0).cast("bigint").alias("points")
+        marks = marks.unionByName(instants.select("team_id", "second", nothing))
     hour = F.expr(f"second div {SLICE}")
     per_second = marks.groupBy("team_id", hour.alias("hour"), "second").agg(F.sum("points").alias("gain"))
 
@@ -99,10 +100,9 @@ def _seconds(ledger: DataFrame, challenges: DataFrame) -> DataFrame:
 def score_at(probes: DataFrame, ledger: DataFrame, challenges: DataFrame) -> DataFrame:
     """``probes`` (team_id, at, ...) with ``score``: points of solves strictly before ``at``."""
     p = probes.withColumn("second", epoch("at"))
-    wanted = p.select("team_id", "second").distinct()
-    scored = _seconds(ledger, challenges).join(wanted.select("team_id").distinct(), "team_id", "left_semi")
+    before = points_before(_seconds(ledger, challenges), p.select("team_id", "second"))
     return (
-        p.join(points_before(scored, wanted), ["team_id", "second"])
+        p.join(before, ["team_id", "second"])
         .withColumnRenamed("before", "score")
         .drop("second")
     )
@@ -126,7 +126,7 @@ def score_history(ledger: DataFrame, challenges: DataFrame, start: str) -> DataF
     """
     scored = _seconds(ledger, challenges)
     shown = scored.where(F.col("solved_at") >= stamp(start))
-    before = points_before(scored, shown.select("team_id", "second").distinct())
+    before = points_before(scored)
     return shown.join(before, ["team_id", "second"]).select(
         "team_id", (F.col("before") + F.col("points")).alias("score"), F.col("solved_at").alias("time")
     )

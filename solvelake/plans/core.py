@@ -55,7 +55,7 @@ def adjudicated_attempts(spark, sf):
 )
 def adjudicated_second_batch(spark, sf):
     """Attempts of the second half against the ledger of the first."""
-    a = tb.attempts(spark, sf)
+    a = tb.stored_attempts(spark, sf)
     late = F.col("inserted_at") >= F.lit(tb.START).cast("timestamp_ntz")
     old = ledger.first_correct(a.where(~late))
     return ledger.adjudicate(a.where(late).drop("correct"), tb.challenges(spark, sf), old).select(

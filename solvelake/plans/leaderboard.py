@@ -28,8 +28,9 @@ bloods as (
 """
 
 
-def scored_teams(spark, sf):
-    return scores.with_scores(tb.teams(spark, sf), tb.successes(spark, sf), tb.challenges(spark, sf), "team_id")
+def scored_teams(spark, sf, led=None):
+    led = tb.successes(spark, sf) if led is None else led
+    return scores.with_scores(tb.teams(spark, sf), led, tb.challenges(spark, sf), "team_id")
 
 
 @query("top_teams", "select cast(rank as bigint) rank, id from top", TOP.format(n=100))
@@ -67,9 +68,8 @@ def top_teams_detail(spark, sf):
     TOP.format(n=10),
 )
 def top_teams_history(spark, sf):
-    return leaderboard.top_teams_history(
-        scored_teams(spark, sf), tb.successes(spark, sf), tb.challenges(spark, sf), 10, tb.START
-    )
+    led = tb.stored_ledger(spark, sf)
+    return leaderboard.top_teams_history(scored_teams(spark, sf, led), led, tb.challenges(spark, sf), 10, tb.START)
 
 
 @query("first_bloods", 'select attempt_id, chall, "user", team from bloods', BLOODS)

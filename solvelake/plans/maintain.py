@@ -588,7 +588,7 @@ fresh as (select * from successes where solved_at >= timestamp '2024-01-15 00:00
 
 
 def _split(spark, sf):
-    led = tb.successes(spark, sf)
+    led = tb.stored_ledger(spark, sf)
     late = F.col("solved_at") >= F.lit(tb.START).cast("timestamp_ntz")
     return led, led.where(~late), led.where(late)
 
@@ -637,7 +637,7 @@ def refresh_scores(spark, sf):
     """,
 )
 def recompute_all(spark, sf):
-    led = tb.successes(spark, sf)
+    led = tb.stored_ledger(spark, sf)
     c = tb.challenges(spark, sf).withColumn("solve_count", F.lit(0).cast("bigint"))
     teams = refresh.recompute_owners(_owners(tb.teams(spark, sf)), led, c, "team_id")
     users = refresh.recompute_owners(_owners(tb.users(spark, sf)), led, c, "user_id")
@@ -669,7 +669,7 @@ kept as (select * from successes where challenge_id not in (select challenge_id
 
 def cleared(spark, sf):
     """Clear the hidden challenges; the archive already holds their attempts of the admins."""
-    a = tb.attempts(spark, sf)
+    a = tb.stored_attempts(spark, sf)
     admins = tb.users(spark, sf).where("admin").select(F.col("id").alias("user_id"))
     ids = tb.challenges(spark, sf).where("not visible").select(F.col("id").alias("challenge_id"))
     start = removal.Solves(a, ledger.first_correct(a), a.limit(0).withColumn("deleted_at", stamp(OLD)))
@@ -752,7 +752,7 @@ def clear_challenges_scores(spark, sf):
 )
 def cascade_delete(spark, sf):
     """Delete the ineligible teams; what is left of every table."""
-    a = tb.attempts(spark, sf)
+    a = tb.stored_attempts(spark, sf)
     tables = {
         "teams": tb.teams(spark, sf),
         "users": tb.users(spark, sf),

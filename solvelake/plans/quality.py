@@ -73,7 +73,7 @@ from {src} x where x.{col} is not null and x.{col} not in (select id from {psrc}
 )
 def orphans(spark, sf):
     """Hidden challenges and ineligible teams are left out of the parents."""
-    a = tb.attempts(spark, sf)
+    a = tb.stored_attempts(spark, sf)
     return quality.all_orphans(
         {
             "teams": tb.teams(spark, sf).where("eligible"),
@@ -153,7 +153,7 @@ def domain_violations(spark, sf):
 )
 def ledger_drift(spark, sf):
     """Scores and solve counts stored at half time against the whole ledger."""
-    led, c = tb.successes(spark, sf), tb.challenges(spark, sf)
+    led, c = tb.stored_ledger(spark, sf), tb.challenges(spark, sf)
     early = led.where(F.col("solved_at") < F.lit(tb.START).cast("timestamp_ntz"))
     teams = scores.with_scores(tb.teams(spark, sf), early, c, "team_id")
     counts = scores.solve_counts(c, early).withColumnRenamed("challenge_id", "id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from solvelake.functions.common import epoch
 from solvelake.operators import scores
+from solvelake.operators.ledger import first_correct
 from solvelake.plans.registry import query
 from solvelake.sources import testbed as tb
 
@@ -15,13 +16,17 @@ PRIOR = """
 """
 
 
-def _three(spark, sf):
+def _ledger(spark, sf):
     return tb.successes(spark, sf), tb.challenges(spark, sf)
 
 
+def _stored(spark, sf):
+    return tb.stored_ledger(spark, sf), tb.challenges(spark, sf)
+
+
 @query("team_scores", "select id team_id, score from scored_teams")
 def team_scores(spark, sf):
-    return scores.team_scores(tb.teams(spark, sf), *_three(spark, sf)).select("team_id", "score")
+    return scores.team_scores(tb.teams(spark, sf), *_ledger(spark, sf)).select("team_id", "score")
 
 
 @query(
@@ -33,7 +38,7 @@ def team_scores(spark, sf):
     """,
 )
 def user_scores(spark, sf):
-    return scores.user_scores(tb.users(spark, sf), *_three(spark, sf)).select("user_id", "score")
+    return scores.user_scores(tb.users(spark, sf), *_ledger(spark, sf)).select("user_id", "score")
 
 
 @query(
@@ -81,8 +86,9 @@ def last_solves(spark, sf):
 )
 def team_score_asof(spark, sf):
     """The score of the team at the instant of each of its attempts."""
-    probes = tb.attempts(spark, sf).select("id", "team_id", F.col("inserted_at").alias("at"))
-    return scores.score_at(probes, *_three(spark, sf)).select("id", "team_id", "score")
+    log = tb.stored_attempts(spark, sf)
+    probes = log.select("id", "team_id", F.col("inserted_at").alias("at"))
+    return scores.score_at(probes, first_correct(log), tb.challenges(spark, sf)).select("id", "team_id", "score")
 
 
 @query(
@@ -95,7 +101,7 @@ def team_score_asof(spark, sf):
     """,
 )
 def score_history(spark, sf):
-    return scores.score_history(*_three(spark, sf), tb.START)
+    return scores.score_history(*_stored(spark, sf), tb.START)
 
 
 @query(
@@ -112,7 +118,7 @@ def score_history(spark, sf):
 def score_history_daily(spark, sf):
     """History with instants cut to the day, so that many solves of a team share one instant."""
     day = F.date_trunc("day", "solved_at").cast("timestamp_ntz")
-    led = tb.successes(spark, sf).withColumn("solved_at", day)
+    led = tb.stored_ledger(spark, sf).withColumn("solved_at", day)
     return scores.score_history(led, tb.challenges(spark, sf), tb.START).select(
         "team_id", "score", epoch("time").alias("day_start")
     )
@@ -129,4 +135,4 @@ def score_history_daily(spark, sf):
 )
 def initial_scores(spark, sf):
     ids = tb.teams(spark, sf).select(F.col("id").alias("team_id"))
-    return scores.initial_scores(ids, *_three(spark, sf), tb.START)
+    return scores.initial_scores(ids, *_ledger(spark, sf), tb.START)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from solvelake.functions.common import to_second
 from solvelake.operators.ledger import check_guesses, first_correct
+from solvelake.session import cut
 
 NOW = "2024-02-01 00:00:00"
 START = "2024-01-15 00:00:00"
@@ -115,6 +116,16 @@ def successes(spark: SparkSession, sf: str) -> DataFrame:
     return first_correct(attempts(spark, sf))
 
 
+def stored_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """The attempt log as a written table, for queries that read it many times."""
+    return cut(attempts(spark, sf))
+
+
+def stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger as a written table, for queries that read it more than once."""
+    return cut(successes(spark, sf))
+
+
 def links(spark: SparkSession, sf: str) -> DataFrame:
     """Five consecutive pages per challenge."""
     kinds = F.array(*[F.lit(t) for t in ("static", "web", "nc", "admin")])

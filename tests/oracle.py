@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import glob
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -48,9 +49,22 @@ def kind(name: str) -> str:
     return name
 
 
+BANNED = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def check_plan(df):
+    """No Python evaluation, no cross or nested-loop join, no window over a whole table but the ranking of a limit."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for word in BANNED:
+        assert word not in plan, word
+    for whole in re.findall(r"Window \[.*?\n.*?Sort .*?\n.*\n?.*Exchange SinglePartition", plan):
+        assert "TakeOrderedAndProject" in plan, whole
+
+
 def compare(spark, con, fn, sql, sf: str = SF):
     df = fn(spark, sf)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
+    check_plan(df)
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = rows(names, cur.fetchall())
