@@ -87,6 +87,11 @@ def domain_violations(df: DataFrame, table: str) -> DataFrame:
     return _counts(df, checks, "column")
 
 
+def enum_violations(df: DataFrame, values: dict[str, list[str]]) -> DataFrame:
+    """(column, n): values outside the given lists, such as ``schemas.DEPLOY_STATUSES``."""
+    return _counts(df, {c: ~F.col(c).isin(*allowed) for c, allowed in values.items()}, "column")
+
+
 def ledger_faults(ledger: DataFrame, attempts: DataFrame) -> DataFrame:
     """(attempt_id, fault) for ledger rows whose attempt is missing, wrong, or of another user, team or challenge."""
     same = ["user_id", "team_id", "challenge_id"]

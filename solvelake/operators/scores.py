@@ -70,8 +70,12 @@ def points_before(scored: DataFrame, instants: DataFrame | None = None) -> DataF
     if instants is not None:
         nothing = F.lit(0).cast("bigint").alias("points")
         marks = marks.unionByName(instants.select("team_id", "second", nothing))
-    hour = F.expr(f"second div {SLICE}")
-    per_second = marks.groupBy("team_id", hour.alias("hour"), "second").agg(F.sum("points").alias("gain"))
+    # Stated here, the filters that the joins below would infer are the same for both uses of the sums, so that the
+    # planner shuffles them once.
+    keyed = marks.withColumn("hour", F.expr(f"second div {SLICE}")).where(
+        "team_id is not null and second is not null and hour is not null"
+    )
+    per_second = keyed.groupBy("team_id", "hour", "second").agg(F.sum("points").alias("gain"))
 
     earlier = (Window.unboundedPreceding, -1)
     by_hour = Window.partitionBy("team_id").orderBy("hour").rowsBetween(*earlier)
@@ -102,9 +106,9 @@ def score_at(probes: DataFrame, ledger: DataFrame, challenges: DataFrame) -> Dat
     p = probes.withColumn("second", epoch("at"))
     before = points_before(_seconds(ledger, challenges), p.select("team_id", "second"))
     return (
-        p.join(before, ["team_id", "second"])
-        .withColumnRenamed("before", "score")
-        .drop("second")
+        p.join(before, ["team_id", "second"], "left")
+        .withColumn("score", F.coalesce("before", F.lit(0).cast("bigint")))
+        .drop("second", "before")
     )
 
 

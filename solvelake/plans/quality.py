@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from solvelake import schemas
 from solvelake.operators import ledger, quality, scores
 from solvelake.plans.registry import query
 from solvelake.sources import testbed as tb
@@ -135,6 +136,36 @@ def domain_violations(spark, sf):
     return one.unionByName(two)
 
 
+@query(
+    "enum_violations",
+    """
+    select 'status' "column", count(*) filter (where status not in ('started', 'building', 'pulling', 'pushing',
+             'uploading', 'success', 'failure', 'unknown')) n from codes union all
+    select 'level', count(*) filter (where level not in ('INFO', 'WARN', 'ERROR')) from codes union all
+    select 'sync', count(*) filter (where sync not in ('chall', 'all_challs', 'user', 'all_users', 'team',
+             'all_teams', 'solves', 'all')) from codes
+    """,
+    """
+    codes as (
+      select case event_type when 'click' then 'building' when 'purchase' then 'success' else event_type end status,
+             case when value < 20 then 'INFO' when value < 200 then 'WARN' else 'FATAL' end level,
+             case when event_type = 'view' then 'all_teams' when event_type = 'error' then 'none' else 'all' end sync
+      from events)
+    """,
+)
+def enum_violations(spark, sf):
+    kind, value = F.col("event_type"), F.col("value")
+    codes = tb.raw(spark, sf, "events").select(
+        F.when(kind == "click", "building").when(kind == "purchase", "success").otherwise(kind).alias("status"),
+        F.when(value < 20, "INFO").when(value < 200, "WARN").otherwise("FATAL").alias("level"),
+        F.when(kind == "view", "all_teams").when(kind == "error", "none").otherwise("all").alias("sync"),
+    )
+    return quality.enum_violations(
+        codes,
+        {"status": schemas.DEPLOY_STATUSES, "level": schemas.ALERT_LEVELS, "sync": schemas.SYNC_TYPES},
+    )
+
+
 @query(
     "ledger_drift",
     """

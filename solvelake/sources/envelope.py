@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvelake.schemas import ALERT_LEVELS, LINK_TYPES
@@ -104,6 +104,11 @@ def _specification() -> Column:
     return F.from_json(F.lit(json.dumps(spec)), "map<string,array<struct<name:string,type:string,required:boolean>>>")
 
 
+def read_requests(spark: SparkSession, path: str, fmt: str = "json", id_type: str = "string") -> DataFrame:
+    """Requests (request_id, body) from files, one per row; ``streaming.sources.read_files`` is the live form."""
+    return spark.read.schema(f"request_id {id_type}, body string").format(fmt).load(path)
+
+
 def _get(v: Column, path: str, type_: str = "variant") -> Column:
     return F.try_variant_get(v, path, type_)
 
