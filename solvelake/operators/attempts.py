@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.operators import access, ledger, refresh
+from solvelake.operators.joins import split_join
 from solvelake.session import cut
 
 
@@ -50,7 +51,8 @@ def process(
 
     columns = ["id", "user_id", "team_id", "challenge_id", "correct", "inserted_at"]
     solved_before = log.where("correct").select("challenge_id").distinct()
-    candidates = attempts.where("correct").select(*columns).join(solved_before, "challenge_id", "left_anti")
+    right = attempts.where("correct").select(*columns)
+    candidates = split_join(right, solved_before, ["challenge_id"], "left_anti")
     return AttemptBatch(
         judged,
         attempts,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def split_join(log: DataFrame, one_per_key: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join a log, where one key may hold much of the rows, with an aggregate that has one row per key.
+    """Join (left, inner, semi or anti) a log, where one key may hold much of the rows, with one row per key.
 
     The aggregate arrives already partitioned by ``on``, and adaptive execution splits a hot partition only if both
     sides come straight from an exchange. A hash of the keys as an extra join key makes the planner exchange the

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.functions.common import stamp
+from solvelake.operators.joins import split_join
 from solvelake.operators.scores import totals, with_points
 
 
@@ -23,7 +24,7 @@ def refresh_owners(
     ``now``; other rows stay as they are.
     """
     touched = fresh.select(key).distinct()
-    sums = totals(with_points(ledger.join(touched, key, "left_semi"), challenges), key).select(
+    sums = totals(with_points(split_join(ledger, touched, [key], "left_semi"), challenges), key).select(
         F.col(key).alias("id"), F.col("score").alias("_score")
     )
     hit = F.col("_score").isNotNull()
@@ -38,7 +39,7 @@ def refresh_challenges(challenges: DataFrame, ledger: DataFrame, fresh: DataFram
     """Challenges after the successes ``fresh``: touched rows get their full solve count."""
     touched = fresh.select("challenge_id").distinct()
     counts = (
-        ledger.join(touched, "challenge_id", "left_semi")
+        split_join(ledger, touched, ["challenge_id"], "left_semi")
         .groupBy(F.col("challenge_id").alias("id"))
         .agg(F.count("attempt_id").alias("_count"))
     )

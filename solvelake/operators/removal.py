@@ -78,8 +78,9 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
             dead = gone[parent].withColumnRenamed("id", col)
             lost.append(rows.join(dead, col, "left_semi"))
             out[child] = out[child].join(dead, col, "left_anti")
-        if any(parent == child for _, _, parent in FOREIGN_KEYS):
-            own = reduce(DataFrame.unionByName, [df.select("id") for df in lost]).distinct()
-            # Rows deleted outright and rows lost through a parent both take their children along.
-            gone[child] = own if child not in gone else gone[child].unionByName(own).distinct()
+        # Rows deleted outright and rows lost through a parent both take their children along. An id lost through two
+        # parents comes twice, which the semi and anti joins do not mind.
+        own = [df.select("id") for df in lost if "id" in df.columns]
+        if own:
+            gone[child] = reduce(DataFrame.unionByName, own if child not in gone else [gone[child], *own])
     return {name: df.select(*tables[name].columns) for name, df in out.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from solvelake.functions import sql
 from solvelake.functions.common import epoch
 from solvelake.functions.text import first_blood_message
 from solvelake.operators import leaderboard, ledger, scores
@@ -99,3 +100,27 @@ def first_blood_messages(spark, sf):
 )
 def attempts_with_first_blood(spark, sf):
     return ledger.is_first_blood(tb.attempts(spark, sf)).select("id", "is_first_blood")
+
+
+@query(
+    "sql_functions",
+    """
+    select t.id, t.score, t.id in (select id from top) listed,
+           (select count(s.attempt_id) from successes s where s.challenge_id = t.id) solves
+    from scored_teams t
+    """,
+    TOP.format(n=10),
+)
+def sql_functions(spark, sf):
+    """Team scores and the top ten through the SQL names, and the solves of the challenge with the team's number."""
+    led = tb.stored_ledger(spark, sf)
+    sql.register(
+        spark, scored_teams(spark, sf, led), tb.users(spark, sf), tb.challenges(spark, sf), tb.links(spark, sf), led
+    )
+    tb.teams(spark, sf).select("id").createOrReplaceTempView("solvelake_ids")
+    return spark.sql(
+        """
+        select i.id, get_score_team(i.id) score, get_solves_chall(i.id) solves, t.id is not null listed
+        from solvelake_ids i left join get_top_n_teams(10) t on t.id = i.id
+        """
+    )

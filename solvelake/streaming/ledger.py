@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from solvelake.operators import leaderboard
+from solvelake.operators.joins import split_join
 from solvelake.operators.ledger import PAIR, named
 from solvelake.operators.scores import totals, with_points
 from solvelake.sources.responses import first_blood_outbox
@@ -78,7 +79,7 @@ def start_leaderboard(
     def refresh(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("team_id").distinct()
         log = changes.read_log(batch.sparkSession, ledger_path, schema, batch_id)
-        own = _rows(changes.fold(log.join(touched, "team_id", "left_semi"), PAIR, "min"))
+        own = _rows(changes.fold(split_join(log, touched, ["team_id"], "left_semi"), PAIR, "min"))
         fresh = totals(with_points(own, challenges), "team_id")
         if batch_id > 0:
             before = batch.sparkSession.read.schema(empty).parquet(changes.batch_path(scores_path, batch_id - 1))
