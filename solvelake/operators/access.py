@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,8 +82,12 @@ def admins_since(commands: DataFrame, users: DataFrame) -> DataFrame:
     usable = cut(
         commands.where("auth_ok").join(known, "target_id", "left_semi").select("seq", "admin_id", "target_id")
     )
-    since = cut(users.where("admin").select(F.col("id").alias("user_id"), F.lit(-1).cast("bigint").alias("since")))
-    frontier = since
+    frontier = cut(users.where("admin").select(F.col("id").alias("user_id"), F.lit(-1).cast("bigint").alias("since")))
+    rounds = [frontier]
+
+    def earliest() -> DataFrame:
+        return reduce(DataFrame.unionByName, rounds).groupBy("user_id").agg(F.min("since").alias("since"))
+
     while not frontier.isEmpty():
         actors = frontier.select(F.col("user_id").alias("admin_id"), "since")
         granted = (
@@ -90,12 +96,14 @@ def admins_since(commands: DataFrame, users: DataFrame) -> DataFrame:
             .groupBy(F.col("target_id").alias("user_id"))
             .agg(F.min("seq").alias("since"))
         )
-        before = since.select("user_id", F.col("since").alias("_was"))
+        before = earliest().withColumnRenamed("since", "_was")
         frontier = cut(
             granted.join(before, "user_id", "left").where("_was is null or since < _was").select("user_id", "since")
         )
-        since = cut(since.unionByName(frontier).groupBy("user_id").agg(F.min("since").alias("since")))
-    return since
+        rounds.append(frontier)
+        if len(rounds) == 16:
+            rounds = [cut(earliest())]
+    return earliest()
 
 
 def promotions(commands: DataFrame, users: DataFrame) -> DataFrame:
