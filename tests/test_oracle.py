@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as e
+from solvelake.plans import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -15,17 +16,18 @@ def con():
     return oracle.connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(e.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    sql = e.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
-        assert e.queries()[name](spark, SMALL).columns
+        assert QUERIES[name](spark, SMALL).columns
     else:
-        oracle.compare(spark, con, e.queries()[name], sql, SMALL)
+        oracle.compare(spark, con, QUERIES[name], sql, SMALL)
 
 
 def test_every_query_has_sql():
-    assert set(e.oracle_sql()) == set(e.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
 
 
 def test_entry_reads_rows(spark):
