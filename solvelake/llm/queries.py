@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvelake.llm import decontaminate, line_dedup, packing, quality_rules
+from solvelake.llm import decontaminate, line_dedup, minhash_dedup, packing, quality_rules
 from solvelake.llm import sql as oracle
 from solvelake.llm.base import prepare
 
@@ -29,6 +29,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_minhash_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 @query("op3_line_dedup", oracle.LINE_DEDUP)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
