@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvelake.llm import decontaminate, line_dedup, minhash_dedup, packing, quality_rules
+from solvelake.llm import decontaminate, line_dedup, minhash_dedup, packing, quality_rules, substring_dedup
 from solvelake.llm import sql as oracle
 from solvelake.llm.base import prepare
 
@@ -49,6 +49,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_rules", oracle.QUALITY_RULES)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
