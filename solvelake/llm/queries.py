@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solvelake.llm import decontaminate, line_dedup, minhash_dedup, packing, quality_rules, substring_dedup
+from solvelake.llm import decontaminate, line_dedup, minhash_dedup, packing, quality_rules, substring_dedup, suffix_dedup
 from solvelake.llm import sql as oracle
 from solvelake.llm.base import prepare
 
@@ -34,6 +34,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 @query("op3_line_dedup", oracle.LINE_DEDUP)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))

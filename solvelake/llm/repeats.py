@@ -28,7 +28,8 @@ GATHER = 1 << 20
 #: place: position << 1 | has ext. Sorted by nothing in particular; columns of one length.
 OCCURRENCES = np.dtype([("key", "<u4"), ("ext", "<u4"), ("doc", "<u2"), ("place", "<u4")])
 
-#: (row of the batch, position, key, ext or None) arrays for a batch.
+#: (row of the batch, position, key, ext, has ext) arrays; no ext at all as (None, None). Classes are told apart by the
+#: part, the low half of the key, and the low half of ext.
 Find = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]]]
 
 
@@ -93,7 +94,7 @@ def _answers(docs: np.ndarray, tks: np.ndarray, doc: np.ndarray, marks: np.ndarr
     starts = np.flatnonzero(_first(doc[order])) if len(order) else []
     for a, b in zip(starts, np.append(starts[1:], len(order)) if len(order) else [], strict=True):
         d = doc[order[a]]
-        yield int(docs[d]), int(tks[d]), marks[order[a:b]].astype("<u4").tobytes()
+        yield int(docs[d]), int(tks[d]), marks[order[a:b]].tobytes()
 
 
 ANSWERS = "doc_id long, tk long, marks binary"

@@ -84,7 +84,7 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
             doc, place = np.concatenate(rows), np.concatenate(places)
             if len(doc):
                 key = whole[first[doc] + place]
-                yield doc + row, place, key, key, np.ones(len(key), bool)
+                yield doc + row, place, key, key >> np.uint64(32), np.ones(len(key), bool)
 
     return with_answers(held, marked(held, find, False), "more", whole=True)
 
