@@ -40,6 +40,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def told(keys: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """``keys`` (a few numbers a row), stored, for a join with texts.
+
+    They go to every task if there are at most ``limit``, so that the texts need no shuffle; more are left to a join
+    by shuffle, with the same result.
+    """
+    table, _ = store(keys, "keys")
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once per row however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]

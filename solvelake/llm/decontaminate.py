@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import LOWER, UPPER, let, lower_ascii, row_key, store, windows
+from solvelake.llm.base import LOWER, UPPER, let, lower_ascii, row_key, store, told, windows
 
 #: What separates words once A-Z is lower-cased: ASCII other than digits and a-z.
 BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -156,7 +156,7 @@ def decontaminate(
     rows = docs.select(F.struct("*").alias("_row"), row_key(F.col("text")).alias("_k"), F.col("doc_id").alias("_d"))
     same = (F.col("_k") == F.col("_key")) & F.col("_d").eqNullSafe(F.col("_id"))
     if remove == "documents":
-        return rows.join(marked, same, "left_anti").select("_row.*")
+        return rows.join(told(marked.select("_id", "_key")), same, "left_anti").select("_row.*")
     joined = rows.join(marked, same, "left")
     segment = "([^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*)"
     text = F.col("_row.text")

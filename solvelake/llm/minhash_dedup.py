@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import store
+from solvelake.llm.base import store, told
 from solvelake.llm.components import components
 from solvelake.llm.hashing import BYTES_LOWER, U, grams, mix, span_hashes, text_pieces, word_spans
 from solvelake.operators.joins import split_join
@@ -23,13 +24,12 @@ class Index:
     Two signatures that differ in fewer than 2 * ``chunks`` symbols have, by the pigeonhole principle, a chunk with at
     most one differing symbol. So every signature is filed under each chunk with each one symbol left out, and all
     such pairs meet. Pairs that meet are checked on their full sets if they differ in ``max_distance`` symbols at
-    most. With the defaults, documents with similarity 0.85 differ in 10.8 symbols on average; the radius without
-    loss is 23, and a pair just at 0.85 meets in no chunk in 2 of 100 million cases.
+    most.
     """
 
-    chunks: int = 12
-    width: int = 6
-    max_distance: int = 30
+    chunks: int
+    width: int
+    max_distance: int
     block: int = 512
 
     @property
@@ -37,6 +37,21 @@ class Index:
         return self.chunks * self.width
 
 
+def index_for(percent: int, width: int = 6) -> Index:
+    """So many chunks that a pair just at the similarity meets in none in one of ten million cases, and a distance
+    six standard deviations above that of such a pair.
+
+    At 85 %: 11 chunks; such pairs differ in 10 of 66 symbols on average, and none within 21 are lost.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is 50 to 100")
+    j = percent / 100
+    apart = 1 - j**width - width * (1 - j) * j ** (width - 1)
+    chunks = max(2, math.ceil(math.log(1e-7) / math.log(apart))) if apart > 0 else 2
+    n = chunks * width
+    return Index(chunks, width, math.ceil(n * (1 - j) + 6 * math.sqrt(n * j * (1 - j))))
+
+
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(7919)
     return (
@@ -136,15 +151,13 @@ def near_signatures(pairs: DataFrame, classes: DataFrame, index: Index) -> DataF
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, broadcast_ids: int = 1_000_000) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs of ids whose full sets have 100 * shared >= ``percent`` * together.
 
-    Sets are made again, for documents that are in a pair only. Their ids go to every task if they are at most
-    ``broadcast_ids``; more are joined by a shuffle.
+    Sets are made again, for documents that are in a pair only.
     """
     kind = dict(pairs.dtypes)["a"]
-    ids, _ = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    wanted = told(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +229,7 @@ def _unsettled(buckets: DataFrame, found: DataFrame, classes: DataFrame, index:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, index: Index = Index()) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, index: Index | None = None) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents whose sets of ``size``-word shingles have ``percent`` of all their shingles in common are linked; a
@@ -228,6 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, index: In
     Round one confirms each bucket's smallest member against the others. Round two compares the other members of one
     bucket where they are still in different components, so a group of near copies is never expanded into its pairs.
     """
+    index = index or index_for(percent)
     docs = docs.select("doc_id", "text")
     signed, _ = store(signatures(docs, size, index), "signed")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -256,8 +270,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, index: In
     )
 
 
-def keep_one(docs: DataFrame, percent: int = 80, size: int = 5, index: Index = Index()) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, size: int = 5, index: Index | None = None) -> DataFrame:
     """The rows of ``docs``, with their own columns, of each component's smallest document."""
     gone = near_duplicates(docs, percent, size, index).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    return rows.join(gone.distinct(), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    return rows.join(told(gone.distinct()), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

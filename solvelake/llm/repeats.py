@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import parts_for, row_key, store
+from solvelake.llm.base import parts_for, row_key, store, told
 
 SHARED, LATER = 0, 1
 #: Occurrences that a task gathers before it packs them.
@@ -213,11 +213,11 @@ def marked(table: DataFrame, find: Find, within: bool) -> DataFrame:
     return sent.mapInArrow(answer, ANSWERS)
 
 
-def with_answers(table: DataFrame, answers: DataFrame, name: str, whole: bool = False, few: int = 1_000_000) -> DataFrame:
+def with_answers(table: DataFrame, answers: DataFrame, name: str, whole: bool = False) -> DataFrame:
     """``table`` with all answers of a document as one binary ``name``, stored; ``whole``: also rows without any.
 
-    The answers of one document are bounded by its length. For the inner form, the documents asked for are told to
-    every task if they are at most ``few``, so that other texts are not shuffled; more are joined by a shuffle.
+    The answers of one document are bounded by its length. For the inner form, texts without answers are not shuffled
+    if the others are few enough (see ``told``).
     """
     per_doc, _ = store(
         answers.groupBy(F.col("doc_id").alias("_d"), F.col("tk").alias("_t")).agg(
@@ -226,9 +226,8 @@ def with_answers(table: DataFrame, answers: DataFrame, name: str, whole: bool =
         "answers",
     )
     same = [F.col("doc_id") == F.col("_d"), F.col("tk") == F.col("_t")]
-    if not whole and per_doc.count() <= few:
-        wanted = F.broadcast(per_doc.select("_d", "_t"))
-        table = table.join(wanted, same, "left_semi")
+    if not whole:
+        table = table.join(told(per_doc.select("_d", "_t")), same, "left_semi")
     joined = table.join(per_doc, same, "left" if whole else "inner")
     return joined.withColumnRenamed("_m", name).drop("_d", "_t")
 
