@@ -20,38 +20,41 @@ def register(
     challenges: DataFrame,
     links: DataFrame,
     ledger: DataFrame,
+    prefix: str = "",
 ) -> None:
     """Create the temporary functions get_score_team, get_score_user, get_solves_chall, links_of_type and
-    get_top_n_teams over the given tables. ``teams`` has its stored scores."""
+    get_top_n_teams over the given tables. ``teams`` has its stored scores.
+
+    ``prefix`` goes before the names of the functions, and of the views that they read, so that sets of functions over
+    different tables can stand side by side.
+    """
     id_type = dict(teams.dtypes)["id"]
     views = {
         "solvelake_team_scores": scores.team_scores(teams, ledger, challenges).select("team_id", "score"),
         "solvelake_user_scores": scores.user_scores(users, ledger, challenges).select("user_id", "score"),
         "solvelake_solve_counts": scores.solve_counts(challenges, ledger),
         "solvelake_links": links.select("challenge_id", "url", "type"),
-        "solvelake_top": leaderboard.top_teams(teams, leaderboard.MAX_TEAMS).select(
-            "rank", F.col("id").alias("team_id")
-        ),
+        "solvelake_top": leaderboard.ranked(teams).select("rank", F.col("id").alias("team_id")),
     }
     for name, df in views.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(prefix + name)
 
     # A subquery that finds nothing is null: ids without a row count as zero, as in the operators.
     def scalar(name: str, args: str, select: str) -> None:
-        spark.sql(f"create or replace temporary function {name}({args}) returns bigint return coalesce(({select}), 0L)")
+        spark.sql(f"create or replace temporary function {prefix}{name}({args}) returns bigint return coalesce(({select}), 0L)")
 
     def rows(name: str, args: str, returns: str, select: str) -> None:
-        spark.sql(f"create or replace temporary function {name}({args}) returns table({returns}) return {select}")
+        spark.sql(f"create or replace temporary function {prefix}{name}({args}) returns table({returns}) return {select}")
 
     one = f"which {id_type}"
-    scalar("get_score_team", one, "select max(score) from solvelake_team_scores where team_id = which")
-    scalar("get_score_user", one, "select max(score) from solvelake_user_scores where user_id = which")
-    scalar("get_solves_chall", one, "select max(solve_count) from solvelake_solve_counts where challenge_id = which")
+    scalar("get_score_team", one, f"select max(score) from {prefix}solvelake_team_scores where team_id = which")
+    scalar("get_score_user", one, f"select max(score) from {prefix}solvelake_user_scores where user_id = which")
+    scalar("get_solves_chall", one, f"select max(solve_count) from {prefix}solvelake_solve_counts where challenge_id = which")
     rows(
         "links_of_type",
         f"{one}, kind string",
         "url string",
-        "select url from solvelake_links where challenge_id = which and type = kind",
+        f"select url from {prefix}solvelake_links where challenge_id = which and type = kind",
     )
-    # The view holds the most teams a request may ask for, in rank order.
-    rows("get_top_n_teams", "n int", f"id {id_type}", "select team_id from solvelake_top where rank <= n")
+    # The view ranks all teams; the limit of a request is judged by leaderboard.check_limit.
+    rows("get_top_n_teams", "n int", f"id {id_type}", f"select team_id from {prefix}solvelake_top where rank <= n")

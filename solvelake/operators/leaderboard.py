@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvelake.operators import scores
+from solvelake.session import cut
 
 MAX_TEAMS = 100
 
@@ -32,6 +33,28 @@ def top_teams(teams: DataFrame, limit: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*_order())).cast("bigint"))
 
 
+def ranked(teams: DataFrame) -> DataFrame:
+    """Every team with its ``rank``.
+
+    Teams are dealt out by ranges of the order, and each part counts from where the parts before it end; only the sizes
+    of the parts come to the driver.
+    """
+    parts = int(teams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = teams.repartitionByRange(parts, *_order()).sortWithinPartitions(*_order())
+    at = F.col("_at")
+    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    # The id counts up from 2**33 times the number of the part.
+    placed = placed.withColumns({"_part": F.shiftright(at, 33), "_at": at.bitwiseAND(2**33 - 1)})
+    sizes = sorted(tuple(r) for r in placed.groupBy("_part").agg(F.count(F.lit(1))).collect())  # one row per part
+    starts, before = [], 0
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    starts = teams.sparkSession.createDataFrame(starts, "_part bigint, _before bigint")
+    rank = F.col("_before") + F.col("_at") + 1
+    return placed.join(F.broadcast(starts), "_part").withColumn("rank", rank).select(*teams.columns, "rank")
+
+
 def top_team_details(teams: DataFrame, limit: int) -> DataFrame:
     """Public columns of the top teams with their rank."""
     return top_teams(teams, limit).select("rank", "id", "name", "score", "last_solve", "eligible", "affiliation")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from solvelake.functions import sql
-from solvelake.functions.common import epoch
+from solvelake.functions.common import epoch, stamp
 from solvelake.functions.text import first_blood_message
 from solvelake.operators import leaderboard, ledger, scores
 from solvelake.plans.registry import query
@@ -124,3 +126,40 @@ def sql_functions(spark, sf):
         from solvelake_ids i left join get_top_n_teams(10) t on t.id = i.id
         """
     )
+
+
+@query(
+    "sql_functions_of_users",
+    """
+    select u.id, u.score, u.score own, u.rank <= 150 listed,
+           (select count(*) from links l where l.challenge_id = u.id and l.type = 'web') webs
+    from ranked u
+    """,
+    """
+    scored as (
+      select u.id, cast(coalesce((select sum(c.points) from successes s join challenges c on c.id = s.challenge_id
+                                  where s.user_id = u.id), 0) as bigint) score,
+             (select max(s.solved_at) from successes s where s.user_id = u.id) last_solve
+      from users u),
+    ranked as (
+      select *, row_number() over (order by score desc, last_solve asc nulls last, id) rank from scored)
+    """,
+)
+def sql_functions_of_users(spark, sf):
+    """All five SQL names where every user is a team, with more teams than a request may ask for."""
+    led = tb.stored_ledger(spark, sf)
+    c = tb.challenges(spark, sf)
+    alone = tb.users(spark, sf).withColumns({"team_id": F.col("id"), "inserted_at": stamp(tb.START)})
+    scored = scores.with_scores(alone, led.withColumn("team_id", F.col("user_id")), c, "team_id")
+    own = led.withColumn("team_id", F.col("user_id"))
+    sql.register(spark, scored, alone, c, tb.links(spark, sf), own, prefix="alone_")
+    alone.select("id").createOrReplaceTempView("alone_ids")
+    return spark.sql(
+        """
+        select i.id, alone_get_score_team(i.id) score, alone_get_score_user(i.id) own, t.id is not null listed,
+               coalesce(w.webs, 0L) webs
+        from alone_ids i left join alone_get_top_n_teams(150) t on t.id = i.id
+        left join (select c.id, count(*) webs from alone_ids c, lateral alone_links_of_type(c.id, 'web') l group by c.id) w
+          on w.id = i.id
+        """
+    )
