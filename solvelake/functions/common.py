@@ -38,5 +38,14 @@ def stable_id(kind: str, *cols: Column | str) -> Column:
     return F.concat_ws("-", *[F.substring(digest, start, size) for start, size in cuts])
 
 
-def is_uuid(col: Column | str) -> Column:
-    return _c(col).rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+# The spellings of a uuid.
+_HYPHENATED = "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+UUID = rf"^([0-9a-fA-F]{{32}}|{_HYPHENATED}|\{{{_HYPHENATED}\}}|urn:uuid:{_HYPHENATED})$"
+
+
+def uuid_of(col: Column | str) -> Column:
+    """The one spelling (hyphens, lower case) of a text that reads as a uuid, else null."""
+    c = _c(col)
+    digits = F.lower(F.regexp_replace(c, r"^urn:uuid:|[-{}]", ""))
+    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    return F.when(c.rlike(UUID), F.concat_ws("-", *[F.substring(digits, start, size) for start, size in cuts]))

@@ -362,10 +362,15 @@ requests as (
          case when value < 30 then md5(cast(user_id as varchar)) end digest,
          'chall/' || cast(event_id as varchar) folder
   from events),
+spelled as (
+  select *, substr(digest, 1, 8) || '-' || substr(digest, 9, 4) || '-' || substr(digest, 13, 4) || '-'
+            || substr(digest, 17, 4) || '-' || substr(digest, 21, 12) uuid
+  from requests),
 named as (
-  select *, case when digest is null then folder else substr(digest, 1, 8) || '-' || substr(digest, 9, 4) || '-'
-            || substr(digest, 13, 4) || '-' || substr(digest, 17, 4) || '-' || substr(digest, 21, 12) end chall
-  from requests)
+  select *, case when digest is null then folder
+                 else case request_id % 4 when 0 then uuid when 1 then upper(uuid) when 2 then digest
+                      else 'urn:uuid:' || uuid end end chall
+  from spelled)
 """
 
 
@@ -374,7 +379,7 @@ named as (
     """
     select r.request_id, r.chall,
            case when r.force_wipe then 'new-' || cast(r.request_id as varchar)
-                when r.digest is not null then r.chall
+                when r.digest is not null then r.uuid
                 else coalesce((select cast(c.id as varchar) from challenges c where c.source_folder = r.chall),
                               'new-' || cast(r.request_id as varchar)) end deploy_id
     from named r
@@ -385,10 +390,11 @@ def deploy_ids(spark, sf):
     d = F.md5(F.col("user_id").cast("string"))
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     uuid = F.concat_ws("-", *[F.substring(d, a, n) for a, n in cuts])
+    spellings = F.array(uuid, F.upper(uuid), d, F.concat(F.lit("urn:uuid:"), uuid))
     folder = F.concat(F.lit("chall/"), F.col("event_id").cast("string"))
     asked = tb.raw(spark, sf, "events").select(
         F.col("event_id").alias("request_id"),
-        F.when(F.col("value") < 30, uuid).otherwise(folder).alias("chall"),
+        F.when(F.col("value") < 30, F.get(spellings, (F.col("event_id") % 4).cast("int"))).otherwise(folder).alias("chall"),
         (F.col("event_type") == "error").alias("force_wipe"),
     )
     new_id = F.concat(F.lit("new-"), F.col("request_id").cast("string"))

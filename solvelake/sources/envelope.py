@@ -8,78 +8,146 @@ A request is judged within its own row, so nothing is shuffled.
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solvelake.functions.common import UUID, uuid_of
 from solvelake.schemas import ALERT_LEVELS, LINK_TYPES
 
 # Member names in response order.
 TARGETS = ["deploy", "discord", "frontend", "sql"]
 
-# Request kinds and their parameters; "?" marks optional ones.
+# Request kinds and their parameters as (name, type, required).
 # Kinds of the sql member are entity/query name.
 REQUESTS = {
     "sql": {
-        "chall/create": "id:id? name:text description:text points:int authors:texts hints:texts categories:texts "
-        "tags:texts links:links visible:flag source_folder:text flag:text",
-        "chall/update": "id:id name:text? description:text? points:int? authors:texts? hints:texts? "
-        "categories:texts? tags:texts? links:links? visible:flag? source_folder:text?",
-        "chall/get": "id:id",
-        "chall/get_all": "",
-        "team/available": "name:text",
-        "team/create": "name:text description:text eligible:flag affiliation:text? password:text initial_user:id "
-        "user_auth:auth",
-        "team/update": "id:id name:text? description:text? eligible:flag? affiliation:text? password:text",
-        "team/get": "id:id",
-        "team/get_all": "",
-        "team/get_top": "limit:size",
-        "team/get_top_history": "limit:size start_time:time",
-        "user/available": "name:text",
-        "user/create": "email:text name:text eligible:flag admin:flag auth:auth",
-        "user/promote": "admin_id:id admin_auth:auth user_to_promote:id",
-        "user/check_auth": "id:id auth:auth",
-        "user/update_auth": "id:id old_auth:auth new_auth:auth",
-        "user/join": "id:id auth:auth team_name:text team_pass:text",
-        "user/get": "id:id",
-        "user/get_all": "",
-        "solve/get_all": "",
-        "solve/get": "id:id",
-        "solve/get_chall": "chall_id:id",
-        "solve/get_team": "team_id:id",
-        "solve/get_user": "user_id:id",
-        "solve/attempt": "user_id:id team_id:id chall_id:id user_auth:auth flag_guess:text",
-        "solve/clear_all_chall": "id:id",
+        "chall/create": [
+            ("id", "id", False),
+            ("name", "text", True),
+            ("description", "text", True),
+            ("points", "int", True),
+            ("authors", "texts", True),
+            ("hints", "texts", True),
+            ("categories", "texts", True),
+            ("tags", "texts", True),
+            ("links", "links", True),
+            ("visible", "flag", True),
+            ("source_folder", "text", True),
+            ("flag", "text", True),
+        ],
+        "chall/update": [
+            ("id", "id", True),
+            ("name", "text", False),
+            ("description", "text", False),
+            ("points", "int", False),
+            ("authors", "texts", False),
+            ("hints", "texts", False),
+            ("categories", "texts", False),
+            ("tags", "texts", False),
+            ("links", "links", False),
+            ("visible", "flag", False),
+            ("source_folder", "text", False),
+        ],
+        "chall/get": [("id", "id", True)],
+        "chall/get_all": [],
+        "team/available": [("name", "text", True)],
+        "team/create": [
+            ("name", "text", True),
+            ("description", "text", True),
+            ("eligible", "flag", True),
+            ("affiliation", "text", False),
+            ("password", "text", True),
+            ("initial_user", "id", True),
+            ("user_auth", "auth", True),
+        ],
+        "team/update": [
+            ("id", "id", True),
+            ("name", "text", False),
+            ("description", "text", False),
+            ("eligible", "flag", False),
+            ("affiliation", "text", False),
+            ("password", "text", True),
+        ],
+        "team/get": [("id", "id", True)],
+        "team/get_all": [],
+        "team/get_top": [("limit", "size", True)],
+        "team/get_top_history": [("limit", "size", True), ("start_time", "time", True)],
+        "user/available": [("name", "text", True)],
+        "user/create": [
+            ("email", "text", True),
+            ("name", "text", True),
+            ("eligible", "flag", True),
+            ("admin", "flag", True),
+            ("auth", "auth", True),
+        ],
+        "user/promote": [("admin_id", "id", True), ("admin_auth", "auth", True), ("user_to_promote", "id", True)],
+        "user/check_auth": [("id", "id", True), ("auth", "auth", True)],
+        "user/update_auth": [("id", "id", True), ("old_auth", "auth", True), ("new_auth", "auth", True)],
+        "user/join": [
+            ("id", "id", True),
+            ("auth", "auth", True),
+            ("team_name", "text", True),
+            ("team_pass", "text", True),
+        ],
+        "user/get": [("id", "id", True)],
+        "user/get_all": [],
+        "solve/get_all": [],
+        "solve/get": [("id", "id", True)],
+        "solve/get_chall": [("chall_id", "id", True)],
+        "solve/get_team": [("team_id", "id", True)],
+        "solve/get_user": [("user_id", "id", True)],
+        "solve/attempt": [
+            ("user_id", "id", True),
+            ("team_id", "id", True),
+            ("chall_id", "id", True),
+            ("user_auth", "auth", True),
+            ("flag_guess", "text", True),
+        ],
+        "solve/clear_all_chall": [("id", "id", True)],
     },
     "deploy": {
-        "deploy": "chall:text force_wipe:flag",
-        "poll": "id:id",
-        "remove": "chall:id",
-        "modify_meta": "id:id name:text? desc:text? points:size? categories:texts? tags:texts? visible:flag?",
-        "list_challs": "",
+        "deploy": [("chall", "text", True), ("force_wipe", "flag", True)],
+        "poll": [("id", "id", True)],
+        "remove": [("chall", "id", True)],
+        "modify_meta": [
+            ("id", "id", True),
+            ("name", "text", False),
+            ("desc", "text", False),
+            ("points", "u64", False),
+            ("categories", "texts", False),
+            ("tags", "texts", False),
+            ("visible", "flag", False),
+        ],
+        "list_challs": [],
     },
     "discord": {
-        "developer": "level:level message:text data:any include_chall_writers:flag",
-        "participant/first_blood": "chall_name:text team:text user:text",
-        "participant/alert": "message:text",
+        "developer": [
+            ("level", "level", True),
+            ("message", "text", True),
+            ("data", "any", True),
+            ("include_chall_writers", "flag", True),
+        ],
+        "participant/first_blood": [("chall_name", "text", True), ("team", "text", True), ("user", "text", True)],
+        "participant/alert": [("message", "text", True)],
     },
     "frontend": {
-        "sync/chall": "id:id",
-        "sync/all_challs": "",
-        "sync/user": "id:id",
-        "sync/all_users": "",
-        "sync/team": "id:id",
-        "sync/all_teams": "",
-        "sync/solves": "",
-        "sync/all": "",
+        "sync/chall": [("id", "id", True)],
+        "sync/all_challs": [],
+        "sync/user": [("id", "id", True)],
+        "sync/all_users": [],
+        "sync/team": [("id", "id", True)],
+        "sync/all_teams": [],
+        "sync/solves": [],
+        "sync/all": [],
     },
 }
 
-UUID = "^[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
 TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?$"
 
 SPARK_TYPES = {
-    "text": "string", "int": "int", "size": "bigint", "flag": "boolean", "texts": "array<string>",
+    "text": "string", "int": "int", "size": "bigint", "u64": "decimal(20,0)", "flag": "boolean", "texts": "array<string>",
     "links": "array<struct<type:string,location:string>>", "time": "timestamp_ntz", "level": "string",
     "any": "variant",
 }
@@ -87,11 +155,7 @@ SPARK_TYPES = {
 
 def parameters(target: str, kind: str) -> list[tuple[str, str, bool]]:
     """(name, type, required) of one request kind."""
-    out = []
-    for word in REQUESTS[target][kind].split():
-        name, type_ = word.split(":")
-        out.append((name, type_.rstrip("?"), not type_.endswith("?")))
-    return out
+    return REQUESTS[target][kind]
 
 
 def _specification() -> Column:
@@ -144,6 +208,7 @@ def _type_ok(v: Column, shape: Column, type_: Column, id_type: str) -> Column:
     """Does the present value ``v``, of JSON type ``shape``, have the named type?"""
     is_text = shape == "STRING"
     text, number = _get(v, "$", "string"), _get(v, "$", "bigint")
+    whole = (shape == "BIGINT") | shape.rlike(r"^DECIMAL\(\d+,0\)$")
     id_ok = shape == "BIGINT" if id_type == "bigint" else is_text & text.rlike(UUID)
     link_ok = F.forall(
         _get(v, "$", SPARK_TYPES["links"]), lambda x: _yes(x["type"].isin(*LINK_TYPES) & x["location"].isNotNull())
@@ -154,6 +219,7 @@ def _type_ok(v: Column, shape: Column, type_: Column, id_type: str) -> Column:
         .when(type_ == "flag", shape == "BOOLEAN")
         .when(type_ == "int", (shape == "BIGINT") & number.between(-(2**31), 2**31 - 1))
         .when(type_ == "size", (shape == "BIGINT") & number.between(0, 2**32 - 1))
+        .when(type_ == "u64", whole & _get(v, "$", "decimal(38,0)").between(0, F.lit(Decimal(2**64 - 1))))
         .when(type_ == "texts", shape.isin("ARRAY<STRING>", "ARRAY<VOID>"))
         .when(type_ == "auth", _auth_ok(v))
         .when(type_ == "links", link_ok)
@@ -251,7 +317,7 @@ def route(requests: DataFrame, id_type: str = "string") -> tuple[DataFrame, Data
 def commands(routed: DataFrame, target: str, kind: str, id_type: str = "string") -> DataFrame:
     """Typed rows of one kind: request_id and one column per parameter.
 
-    Credentials become ``<name>_type``, ``<name>_sub`` and ``<name>_provider``; passwords and tokens are not read.
+    Text ids get the one spelling of a uuid. Credentials become ``<name>_type``, ``<name>_sub`` and ``<name>_provider``; passwords and tokens are not read.
     """
     own = routed.where((F.col("target") == target) & (F.col("kind") == kind))
     p = F.col("params")
@@ -262,6 +328,6 @@ def commands(routed: DataFrame, target: str, kind: str, id_type: str = "string")
             cols.append(F.when(tag == "pass", "pass").otherwise("oauth").alias(f"{name}_type"))
             cols += [_get(p, f"$.{name}.params.{x}", "string").alias(f"{name}_{x}") for x in ("sub", "provider")]
         else:
-            spark_type = id_type if type_ == "id" else SPARK_TYPES[type_]
-            cols.append(_get(p, f"$.{name}", spark_type).alias(name))
+            value = _get(p, f"$.{name}", id_type if type_ == "id" else SPARK_TYPES[type_])
+            cols.append((uuid_of(value) if type_ == "id" and id_type == "string" else value).alias(name))
     return own.select(*cols)
