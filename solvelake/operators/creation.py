@@ -15,13 +15,20 @@ from solvelake.session import cut
 def first_come(claims: DataFrame, left: str, right: str) -> DataFrame:
     """Accept claims (seq, left, right) in ``seq`` order, each if both of its keys are still free.
 
+    A claim with a null key is never accepted. Claims that are alone on both keys are settled first, so the rounds run
+    over contested ones only.
+
     Every round accepts the claims that come first for both of their keys and drops the others on those keys. The
     earliest open claim always qualifies, so the rounds end; there are as many as the longest chain of claims that
     wait for one another. Taking the first claim per key in one pass would be wrong: a claim that loses on one key
     must not block its other key.
     """
-    open_ = cut(claims.select("seq", left, right))
-    taken: list[DataFrame] = []
+    whole = claims.select("seq", left, right).dropna(subset=[left, right])
+    rivals = [whole.groupBy(k).agg(F.count(F.lit(1)).alias(n)) for k, n in ((left, "_l"), (right, "_r"))]
+    counted = cut(split_join(split_join(whole, rivals[0], [left]), rivals[1], [right]))
+    alone = (F.col("_l") == 1) & (F.col("_r") == 1)
+    taken: list[DataFrame] = [counted.where(alone).select("seq", left, right)]
+    open_ = cut(counted.where(~alone).select("seq", left, right))
     while not open_.isEmpty():
         by_left = open_.groupBy(left).agg(F.min("seq").alias("seq"))
         by_right = open_.groupBy(right).agg(F.min("seq").alias("seq"))
@@ -34,7 +41,7 @@ def first_come(claims: DataFrame, left: str, right: str) -> DataFrame:
             .join(won.select(right), right, "left_anti")
             .select("seq", left, right)
         )
-    return reduce(DataFrame.unionByName, taken) if taken else open_
+    return reduce(DataFrame.unionByName, taken)
 
 
 def _holder(accepted: DataFrame, key: str, as_: str) -> DataFrame:
@@ -46,8 +53,8 @@ def create_teams(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Create teams with their founder as first member.
 
-    ``commands`` is (seq, name, description, eligible, affiliation, founder_id, auth_ok). Checks in order: name_taken,
-    does_not_exist (founder), already_on_team, auth; else created. Returns teams, users and the commands with
+    ``commands`` is (seq, name, description, eligible, affiliation, founder_id, auth_ok). Checks in order: missing_name
+    (null), name_taken, does_not_exist (founder), already_on_team, auth; else created. Returns teams, users and the commands with
     ``outcome`` and ``team_id``.
     """
     stored = teams.select(fold("name").alias("name_key"), F.lit(True).alias("_stored"))
@@ -64,7 +71,8 @@ def create_teams(
     by_name = split_join(known, _holder(accepted, "name_key", "_name_at"), ["name_key"])
     both = split_join(by_name, _holder(accepted, "founder_id", "_founder_at"), ["founder_id"])
     outcome = (
-        F.when(F.col("_stored") | (F.col("_name_at") < F.col("seq")), "name_taken")
+        F.when(F.col("name").isNull(), "missing_name")
+        .when(F.col("_stored") | (F.col("_name_at") < F.col("seq")), "name_taken")
         .when(F.col("_user").isNull(), "does_not_exist")
         .when(F.col("_team").isNotNull() | (F.col("_founder_at") < F.col("seq")), "already_on_team")
         .when(~F.coalesce("auth_ok", F.lit(False)), "auth")
@@ -96,7 +104,7 @@ def create_users(
     """Create users with their credential; name and email are unique.
 
     ``commands`` is (seq, name, email, eligible, admin, sub, provider). Returns users, credentials and the commands
-    with ``outcome``: name_taken, email_taken or created.
+    with ``outcome``: missing_name or missing_email (null), name_taken, email_taken or created.
     """
     names = users.select(fold("name").alias("name_key"), F.lit(True).alias("_name"))
     emails = users.select(fold("email").alias("email_key"), F.lit(True).alias("_email"))
@@ -110,7 +118,9 @@ def create_users(
     by_name = split_join(known, _holder(accepted, "name_key", "_name_at"), ["name_key"])
     both = split_join(by_name, _holder(accepted, "email_key", "_email_at"), ["email_key"])
     outcome = (
-        F.when(F.col("_name") | (F.col("_name_at") < F.col("seq")), "name_taken")
+        F.when(F.col("name").isNull(), "missing_name")
+        .when(F.col("email").isNull(), "missing_email")
+        .when(F.col("_name") | (F.col("_name_at") < F.col("seq")), "name_taken")
         .when(F.col("_email") | (F.col("_email_at") < F.col("seq")), "email_taken")
         .otherwise("created")
     )

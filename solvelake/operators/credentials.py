@@ -4,31 +4,57 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvelake.functions.common import stable_id, stamp
 from solvelake.operators.joins import split_join
 from solvelake.session import cut
 
+KEY = ["user_id", "provider_name"]
 
-def update_credentials(credentials: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verify the old credential, then store the new one, as if applied in ``seq`` order.
 
-    ``credentials`` is (user_id, provider_name, sub); ``commands`` is (seq, user_id, old_provider, old_sub,
-    new_provider, new_sub). Returns the credentials and the commands with ``outcome`` (auth or stored).
+def _chained(credentials: DataFrame, commands: DataFrame) -> DataFrame:
+    """(seq) of the accepted commands where all commands of a user keep their provider.
 
-    Between two accepted commands of a user nothing changes, so the next accepted one is the first whose old
-    credential is on file now; those before it fail. Each round settles one accepted command of every user, and all
-    failures up to it; there are as many rounds as one user has accepted commands.
+    After an accepted command, the next one accepted is the first later one whose old subject is its new subject. So
+    the accepted commands are those that links from command to command reach from the stored subject, and following
+    links that double in length finds them in as many rounds as the longest chain has binary digits.
+    """
+    place = ["user_id", F.col("old_provider").alias("provider")]
+    asks = commands.select(*place, F.col("old_sub").alias("sub"), "seq", F.col("seq").alias("asks"))
+    gives = commands.select(*place, F.col("new_sub").alias("sub"), "seq", F.lit(None).cast("bigint").alias("asks"))
+    later = Window.partitionBy("user_id", "provider", "sub").orderBy(F.desc("seq"))
+    after = F.min("asks").over(later.rangeBetween(Window.unboundedPreceding, -1))
+    both = asks.withColumn("gives", F.lit(False)).unionByName(gives.withColumn("gives", F.lit(True)))
+    links = cut(both.withColumn("next", after).where("gives and next is not null").select("seq", "next"))
+    stored = credentials.select("user_id", F.col("provider_name").alias("provider"), "sub")
+    reached = cut(
+        asks.join(stored, ["user_id", "provider", "sub"], "left_semi")
+        .groupBy("user_id", "provider")
+        .agg(F.min("seq").alias("seq"))
+        .select("seq")
+    )
+    while not links.isEmpty():
+        step = reached.join(links, "seq").select(F.col("next").alias("seq"))
+        reached = cut(reached.unionByName(step).distinct())
+        second = links.select(F.col("seq").alias("next"), F.col("next").alias("_far"))
+        links = cut(links.join(second, "next").select("seq", F.col("_far").alias("next")))
+    return reached
+
+
+def _stepwise(credentials: DataFrame, commands: DataFrame) -> DataFrame:
+    """(seq) of the accepted commands of users who also change providers.
+
+    Between two accepted commands of a user nothing changes, so the next accepted one is the first whose old credential
+    is on file now; those before it fail. Each round settles one accepted command of every user still open; the others
+    leave with their credentials. There are as many rounds as one such user has accepted commands.
     """
-    key = ["user_id", "provider_name"]
-    now = cut(credentials.select(*key, "sub"))
-    open_ = cut(commands)
     accepted = [commands.limit(0).select("seq")]
+    open_ = cut(commands)
+    now = cut(credentials.select(*KEY, "sub"))
     while True:
-        on_file = now.select(
-            "user_id", F.col("provider_name").alias("old_provider"), F.col("sub").alias("old_sub")
-        )
+        on_file = now.select("user_id", F.col("provider_name").alias("old_provider"), F.col("sub").alias("old_sub"))
         next_ = (
             open_.join(on_file, ["user_id", "old_provider", "old_sub"], "left_semi")
             .groupBy("user_id")
@@ -36,16 +62,51 @@ def update_credentials(credentials: DataFrame, commands: DataFrame) -> tuple[Dat
         )
         won = cut(open_.join(next_, ["user_id", "seq"], "left_semi").select(*commands.columns))
         if won.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, accepted)
         accepted.append(won.select("seq"))
         if len(accepted) == 16:
             accepted = [cut(reduce(DataFrame.unionByName, accepted))]
-        stored = won.select("user_id", F.col("new_provider").alias("provider_name"), F.col("new_sub").alias("sub"))
-        now = cut(now.join(stored.select(*key), key, "left_anti").unionByName(stored))
-        # Users without an accepted command are done; the others go on after it.
         reached = won.select("user_id", F.col("seq").alias("_at"))
         open_ = cut(split_join(open_, reached, ["user_id"], "inner").where("seq > _at").select(*commands.columns))
-    stored = reduce(DataFrame.unionByName, accepted).withColumn("_ok", F.lit(True))
-    outcome = F.when(F.col("_ok"), "stored").otherwise("auth")
-    judged = commands.join(stored, "seq", "left").withColumn("outcome", outcome).drop("_ok")
-    return now, judged
+        stored = won.select("user_id", F.col("new_provider").alias("provider_name"), F.col("new_sub").alias("sub"))
+        left = open_.select("user_id").distinct()
+        now = now.join(stored.select(*KEY), KEY, "left_anti").unionByName(stored)
+        now = cut(now.join(left, "user_id", "left_semi"))
+
+
+def update_credentials(
+    credentials: DataFrame, commands: DataFrame, now: str | None = None, new_id=None
+) -> tuple[DataFrame, DataFrame]:
+    """Verify the old credential, then store the new one, as if applied in ``seq`` order.
+
+    ``credentials`` has user_id, provider_name, sub and any other columns; ``commands`` is (seq, user_id, old_provider,
+    old_sub, new_provider, new_sub). Returns the credentials, with all columns, and the commands with ``outcome`` (auth
+    or stored). Of the other columns, rows stored anew get ``updated_at``, and new rows ``inserted_at`` and ``id``
+    (``new_id`` may use user_id and provider_name).
+    """
+    commands = cut(commands)
+    changers = commands.where(~F.col("old_provider").eqNullSafe(F.col("new_provider"))).select("user_id").distinct()
+    changers = cut(changers)
+    steady = split_join(commands, changers, ["user_id"], "left_anti")
+    moving = split_join(commands, changers, ["user_id"], "left_semi")
+    theirs = credentials.join(changers, "user_id", "left_semi")
+    accepted = cut(_chained(credentials, steady).unionByName(_stepwise(theirs, moving)))
+    judged = cut(
+        commands.join(accepted.withColumn("_ok", F.lit(True)), "seq", "left")
+        .withColumn("outcome", F.when(F.col("_ok"), "stored").otherwise("auth"))
+        .drop("_ok")
+    )
+    last = (
+        judged.where("outcome = 'stored'")
+        .groupBy("user_id", F.col("new_provider").alias("provider_name"))
+        .agg(F.max_by("new_sub", "seq").alias("_sub"))
+    )
+    made_id = stable_id("credential", "user_id", "provider_name") if new_id is None else new_id
+    old = credentials.withColumn("_old", F.lit(True))
+    both = old.join(last, KEY, "full")
+    fresh, created = F.col("_sub").isNotNull(), F.col("_old").isNull()
+    new = {"sub": F.coalesce("_sub", "sub")}
+    for column, value, when in (("updated_at", stamp(now), fresh), ("inserted_at", stamp(now), created), ("id", made_id, created)):
+        if column in credentials.columns:
+            new[column] = F.when(when, value).otherwise(F.col(column))
+    return both.withColumns(new).select(*credentials.columns), judged
