@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solvelake.functions.common import stable_id
 from solvelake.operators import access, ledger, refresh
 from solvelake.operators.joins import split_join
 from solvelake.session import cut
@@ -31,28 +32,36 @@ def process(
     log: DataFrame,
     successes: DataFrame,
     now: str | None,
+    success_id: Column | None = None,
 ) -> AttemptBatch:
     """Admit, log, count and score a batch of claims.
 
     ``claims`` is (id, user_id, team_id, challenge_id, flag_guess, inserted_at, sub, provider). ``log`` and
     ``successes`` are the attempt log and the ledger so far. The tables come back as they stand after the batch; the
-    log and the ledger grow by ``attempts`` and ``successes``.
+    log and the ledger grow by ``attempts`` and ``successes``, which have the columns of those tables. ``success_id`` may
+    use attempt_id.
     """
     checked = access.oauth_matches(claims, credentials).withColumnRenamed("matches", "auth_ok")
     judged = access.admit(checked, users, challenges)
     admitted = judged.where("outcome = 'accepted'").select(
         "id", "user_id", "team_id", "challenge_id", "flag_guess", "inserted_at"
     )
-    attempts = cut(ledger.adjudicate(admitted, challenges, successes))
-    fresh = attempts.where("counted").select(
+    counted = ledger.adjudicate(admitted, challenges, successes).withColumn("updated_at", F.col("inserted_at"))
+    attempts = cut(counted)
+    rows = attempts.where("counted").select(
         F.col("id").alias("attempt_id"), "user_id", "challenge_id", "team_id", F.col("inserted_at").alias("solved_at")
     )
-    whole = successes.select(*fresh.columns).unionByName(fresh)
+    whole = successes.select(*rows.columns).unionByName(rows)
+    fresh = rows.withColumn("id", stable_id("success", "attempt_id") if success_id is None else success_id)
 
     columns = ["id", "user_id", "team_id", "challenge_id", "correct", "inserted_at"]
-    solved_before = log.where("correct").select("challenge_id").distinct()
     right = attempts.where("correct").select(*columns)
-    candidates = split_join(right, solved_before, ["challenge_id"], "left_anti")
+    # The ledger knows most challenges that were solved before; the log is asked about the rest only, since a deleted
+    # success leaves none.
+    unknown = split_join(right, successes.select("challenge_id").distinct(), ["challenge_id"], "left_anti")
+    left = cut(unknown.select("challenge_id").distinct())
+    solved_before = split_join(log.where("correct").select("challenge_id"), left, ["challenge_id"], "left_semi").distinct()
+    candidates = split_join(unknown, solved_before, ["challenge_id"], "left_anti")
     return AttemptBatch(
         judged,
         attempts,

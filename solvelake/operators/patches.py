@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.functions.common import fold, stamp
+from solvelake.operators.quality import require_unique
 
 
 def fold_patches(patches: DataFrame, key: str, fields: Sequence[str], tri_state: Sequence[str] = ()) -> DataFrame:
@@ -27,15 +28,16 @@ def apply_patches(
     key: str,
     fields: Sequence[str],
     tri_state: Sequence[str] = (),
-    touch: str | None = None,
+    touch: bool = False,
+    now: str | None = None,
 ) -> DataFrame:
-    """``table`` after all patches; ``touch`` is the instant for ``updated_at`` of patched rows, None to keep it."""
+    """``table`` after all patches; with ``touch``, ``updated_at`` of patched rows becomes ``now`` (None: the clock)."""
     folded = fold_patches(patches, key, fields, tri_state)
     new = {f: F.coalesce(f"_{f}", f) for f in fields}
     for f in tri_state:
         new[f] = F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f))
-    if touch is not None:
-        new["updated_at"] = F.when(F.col("_patches").isNotNull(), stamp(touch)).otherwise(F.col("updated_at"))
+    if touch:
+        new["updated_at"] = F.when(F.col("_patches").isNotNull(), stamp(now)).otherwise(F.col("updated_at"))
     extra = [f"_{f}" for f in [*fields, *tri_state]]
     return table.join(folded, "id", "left").withColumns(new).drop("_patches", *extra)
 
@@ -49,14 +51,20 @@ def patch_outcomes(patches: DataFrame, table: DataFrame, key: str) -> DataFrame:
     )
 
 
-def patch_teams(teams: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patches (seq, team_id, name, description, eligible, affiliation, has_affiliation); no ``updated_at`` change."""
-    return apply_patches(teams, patches, "team_id", ["name", "description", "eligible"], ["affiliation"])
+def patch_teams(teams: DataFrame, patches: DataFrame, unique: bool = True) -> DataFrame:
+    """Patches (seq, team_id, name, description, eligible, affiliation, has_affiliation); no ``updated_at`` change.
+
+    Here and below, a batch after which two rows share a unique key is refused as a whole, with a ValueError;
+    ``unique=False`` leaves that check to the caller.
+    """
+    out = apply_patches(teams, patches, "team_id", ["name", "description", "eligible"], ["affiliation"])
+    return require_unique(out, "teams") if unique else out
 
 
-def patch_users(users: DataFrame, patches: DataFrame, now: str | None) -> DataFrame:
+def patch_users(users: DataFrame, patches: DataFrame, now: str | None, unique: bool = True) -> DataFrame:
     """Patches (seq, user_id, name, eligible, admin)."""
-    return apply_patches(users, patches, "user_id", ["name", "eligible", "admin"], touch=now)
+    out = apply_patches(users, patches, "user_id", ["name", "eligible", "admin"], touch=True, now=now)
+    return require_unique(out, "users") if unique else out
 
 
 CHALLENGE_FIELDS = [
@@ -64,9 +72,10 @@ CHALLENGE_FIELDS = [
 ]
 
 
-def patch_challenges(challenges: DataFrame, patches: DataFrame, now: str | None) -> DataFrame:
+def patch_challenges(challenges: DataFrame, patches: DataFrame, now: str | None, unique: bool = True) -> DataFrame:
     """Patches (seq, challenge_id, the nine fields, links); see ``patched_links`` for the links."""
-    return apply_patches(challenges, patches, "challenge_id", CHALLENGE_FIELDS, touch=now)
+    out = apply_patches(challenges, patches, "challenge_id", CHALLENGE_FIELDS, touch=True, now=now)
+    return require_unique(out, "challenges") if unique else out
 
 
 def patched_links(patches: DataFrame) -> DataFrame:
@@ -97,10 +106,10 @@ def join_team(users: DataFrame, teams: DataFrame, commands: DataFrame, now: str
         .drop("_key", "_team", "_user")
     )
     moves = judged.where("outcome = 'joined'").select("seq", "user_id", "team_id")
-    return apply_patches(users, moves, "user_id", ["team_id"], touch=now), judged
+    return apply_patches(users, moves, "user_id", ["team_id"], touch=True, now=now), judged
 
 
 def promote(users: DataFrame, judged: DataFrame, now: str | None) -> DataFrame:
     """Set ``admin`` for the targets of the commands that ``access.promotions`` let pass."""
     granted = judged.where("outcome = 'promoted'").select("seq", F.col("target_id").alias("user_id"))
-    return apply_patches(users, granted.withColumn("admin", F.lit(True)), "user_id", ["admin"], touch=now)
+    return apply_patches(users, granted.withColumn("admin", F.lit(True)), "user_id", ["admin"], touch=True, now=now)

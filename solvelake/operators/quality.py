@@ -21,18 +21,20 @@ def duplicates(df: DataFrame, keys: list[str], folded: Iterable[str] = ()) -> Da
 
 
 def table_duplicates(df: DataFrame, table: str) -> DataFrame:
-    """(table, key, value, n) over the primary and unique keys of ``table`` that ``df`` has."""
+    """(table, key, value, n) over the primary and unique keys of ``table`` that ``df`` has, in one pass."""
     keys = [k for k in [schemas.PRIMARY_KEYS[table], *schemas.UNIQUE.get(table, [])] if set(k) <= set(df.columns)]
-    reports = [
-        duplicates(df, k, schemas.FOLDED.get(table, ())).select(
-            F.lit(table).alias("table"),
-            F.lit(",".join(k)).alias("key"),
-            F.concat_ws(",", *[F.col(c).cast("string") for c in k]).alias("value"),
-            "n",
-        )
-        for k in keys
-    ]
-    return reduce(DataFrame.unionByName, reports)
+    folded = schemas.FOLDED.get(table, ())
+    parts = []
+    for k in keys:
+        texts = [(fold(c) if c in folded else F.col(c).cast("string")) for c in k]
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k])
+        # Parts are told apart by their lengths too: a comma may stand in any of them.
+        sizes = F.concat_ws(",", *[F.length(t).cast("string") for t in texts])
+        entry = F.struct(F.lit(",".join(k)).alias("key"), F.concat_ws(",", *texts).alias("value"), sizes.alias("sizes"))
+        parts.append(F.when(whole, entry))
+    rows = df.select(F.inline(F.array_compact(F.array(*parts))))
+    counted = rows.groupBy("key", "value", "sizes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return counted.select(F.lit(table).alias("table"), "key", "value", "n")
 
 
 def require_unique(df: DataFrame, table: str) -> DataFrame:
@@ -52,13 +54,25 @@ def orphans(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
 
 def all_orphans(tables: dict[str, DataFrame]) -> DataFrame:
     """(child, column, parent, n): orphan counts along every foreign key between the given tables."""
-    reports = [
-        orphans(tables[c], col, tables[p])
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(c).alias("child"), F.lit(col).alias("column"), F.lit(p).alias("parent"), "n")
-        for c, col, p in schemas.FOREIGN_KEYS
-        if c in tables and p in tables and col in tables[c].columns
-    ]
+    reports = []
+    for child, rows in tables.items():
+        keys = [(col, p) for c, col, p in schemas.FOREIGN_KEYS if c == child and p in tables and col in rows.columns]
+        if not keys:
+            continue
+        # One pass over the child: how often each key value occurs in each column, joined with all ids of all parents.
+        used = rows.select(
+            F.inline(F.array(*[F.struct(F.lit(col).alias("column"), F.lit(p).alias("parent"), F.col(col).alias("id")) for col, p in keys]))
+        ).where("id is not null")
+        counted = used.groupBy("column", "parent", "id").agg(F.count(F.lit(1)).alias("n"))
+        ids = reduce(
+            DataFrame.unionByName, [tables[p].select(F.lit(p).alias("parent"), "id") for p in dict.fromkeys(p for _, p in keys)]
+        )
+        lost = counted.join(ids, ["parent", "id"], "left_anti").groupBy("column", "parent").agg(F.sum("n").alias("n"))
+        every = rows.sparkSession.createDataFrame(keys, "column string, parent string")
+        reports.append(
+            F.broadcast(every).join(lost, ["column", "parent"], "left")
+            .select(F.lit(child).alias("child"), "column", "parent", F.coalesce("n", F.lit(0)).alias("n"))
+        )
     return reduce(DataFrame.unionByName, reports)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from solvelake.functions.common import stamp
 from solvelake.operators.refresh import recompute_challenges, recompute_owners
 from solvelake.schemas import FOREIGN_KEYS
+from solvelake.session import cut
 
 
 class Solves(NamedTuple):
@@ -65,22 +65,22 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
 
     Rows with a null key stay. The archive has no foreign keys and stays.
     """
-    gone = {table: ids.select("id")}
+    gone = {table: cut(ids.select("id").distinct())}
     out = dict(tables)
     out[table] = tables[table].join(gone[table], "id", "left_anti")
     for child in ("users", "challenge_links", "solve_attempts", "solve_successes", "auth_name_pass", "auth_oauth"):
         keys = [(col, parent) for c, col, parent in FOREIGN_KEYS if c == child and parent in gone]
         if child not in tables or not keys:
             continue
-        rows = tables[child]
-        lost = []
+        # One pass over the child: a row is marked by each dead parent it has.
+        rows = out[child]
         for col, parent in keys:
-            dead = gone[parent].withColumnRenamed("id", col)
-            lost.append(rows.join(dead, col, "left_semi"))
-            out[child] = out[child].join(dead, col, "left_anti")
-        # Rows deleted outright and rows lost through a parent both take their children along. An id lost through two
-        # parents comes twice, which the semi and anti joins do not mind.
-        own = [df.select("id") for df in lost if "id" in df.columns]
-        if own:
-            gone[child] = reduce(DataFrame.unionByName, own if child not in gone else [gone[child], *own])
+            dead = gone[parent].select(F.col("id").alias(col), F.lit(True).alias(f"_{col}"))
+            rows = rows.join(dead, col, "left")
+        lost = F.coalesce(*[F.col(f"_{col}") for col, _ in keys], F.lit(False))
+        out[child] = rows.where(~lost)
+        # Rows deleted outright and rows lost through a parent both take their children along.
+        if "id" in rows.columns and any(parent == child for _, _, parent in FOREIGN_KEYS):
+            own = rows.where(lost).select("id")
+            gone[child] = cut((own if child not in gone else gone[child].unionByName(own)).distinct())
     return {name: df.select(*tables[name].columns) for name, df in out.items()}

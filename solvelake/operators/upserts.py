@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from solvelake.functions.common import stable_id, stamp
 from solvelake.operators.joins import split_join
+from solvelake.operators.quality import require_unique
 from solvelake.schemas import LINK_TYPES
+from solvelake.session import cut
 
 UPSERT_FIELDS = ["name", "description", "flag", "points", "authors", "hints", "categories", "tags", "visible"]
 
 
 def replace_links(
-    links: DataFrame, challenges: DataFrame, replacements: DataFrame, new_id: Column | None = None
+    links: DataFrame, challenges: DataFrame, replacements: DataFrame, new_id: Column | None = None, unique: bool = True
 ) -> DataFrame:
     """Replace all links of the listed challenges; lists for unknown challenges insert nothing.
 
     ``replacements`` is (challenge_id, links array<struct<type, location>>). ``new_id`` may use challenge_id, url
-    and type.
+    and type. Lists that name a url of a challenge twice are refused, with a ValueError, unless ``unique`` is false.
     """
     known = replacements.join(challenges.select(F.col("id").alias("challenge_id")), "challenge_id", "left_semi")
     made = known.select("challenge_id", F.explode("links").alias("link")).select(
@@ -28,6 +30,8 @@ def replace_links(
     )
     made = made.withColumn("id", stable_id("link", "challenge_id", "url", "type") if new_id is None else new_id)
     kept = links.join(replacements.select("challenge_id"), "challenge_id", "left_anti")
+    if unique:
+        require_unique(made, "challenge_links")
     return kept.select("id", "challenge_id", "url", "type").unionByName(made.select("id", "challenge_id", "url", "type"))
 
 
@@ -46,6 +50,7 @@ def upsert_challenges(
     children: list[DataFrame],
     now: str | None,
     new_id: Column | None = None,
+    unique: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Create or overwrite challenges by ``source_folder``, as if applied in ``seq`` order.
 
@@ -53,12 +58,21 @@ def upsert_challenges(
     An id given explicitly replaces the stored one, but not if rows of ``children`` (frames with a ``challenge_id``)
     hang on that: such commands are rejected. ``new_id`` names created challenges and may use source_folder.
 
+    A batch after which two challenges share an id, a name or a folder is refused as a whole, with a ValueError, unless
+    ``unique`` is false.
+
     Returns the challenges, the link replacements for ``replace_links``, and the commands with ``outcome``.
     """
-    parents = reduce(DataFrame.unionByName, [c.select("challenge_id") for c in children]).distinct()
+    # Only challenges for which a command gives another id can be pinned; the children of the others are not looked at.
+    asked = commands.where("id is not null").select("source_folder", F.col("id").alias("_asked"))
+    moved = challenges.select(F.col("id").alias("challenge_id"), "source_folder").join(asked, "source_folder")
+    moved = cut(moved.where("_asked <> challenge_id").select("challenge_id", "source_folder").distinct())
+    parents = reduce(
+        DataFrame.unionByName,
+        [split_join(c.select("challenge_id"), moved.select("challenge_id"), ["challenge_id"], "left_semi") for c in children],
+    ).distinct()
     pinned = (
-        challenges.select(F.col("id").alias("challenge_id"), "source_folder")
-        .join(parents, "challenge_id", "left_semi")
+        moved.join(parents, "challenge_id", "left_semi")
         .select("source_folder", F.col("challenge_id").alias("_pinned"))
     )
     clash = F.col("_pinned").isNotNull() & F.col("id").isNotNull() & (F.col("id") != F.col("_pinned"))
@@ -83,5 +97,7 @@ def upsert_challenges(
     columns["inserted_at"] = F.coalesce("inserted_at", stamp(now))
     columns["updated_at"] = F.when(fresh, stamp(now)).otherwise(F.col("updated_at"))
     merged = both.withColumns(columns)
+    if unique:
+        require_unique(merged.select("id", "name", "source_folder"), "challenges")
     lists = merged.where(fresh).select(F.col("id").alias("challenge_id"), F.col("new.links").alias("links"))
     return merged.select(*challenges.columns), lists, judged

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.functions.common import epoch, stamp
-from solvelake.operators import creation, credentials, ledger, patches, refresh, removal, upserts
+from solvelake.operators import creation, credentials, ledger, patches, quality, refresh, removal, upserts
 from solvelake.plans import access as access_plans
 from solvelake.plans.registry import query
+from solvelake.session import cut
 from solvelake.sources import testbed as tb
 
 OLD = "2023-06-01 00:00:00"
@@ -348,13 +350,43 @@ def promoted_users(spark, sf):
     return patches.promote(u, judged.join(targets, "seq"), tb.NOW).select("id", "admin")
 
 
+@query(
+    "refused_patches",
+    """
+    select 'users' "table", 'name' "key", n "value", count(*) n
+    from (select lower(coalesce(case when id % 5 = 0 then 'SAME ' || cast(id % 10 as varchar) end, name)) n from users)
+    group by n having count(*) > 1
+    union all
+    select 'challenges', 'source_folder', n, count(*)
+    from (select case when id % 7 = 0 then 'chall/' || cast(id + 1 as varchar) else source_folder end n from challenges)
+    group by n having count(*) > 1
+    """,
+)
+def refused_patches(spark, sf):
+    """Batches that rename to names that are taken: the clashes for which each whole batch is refused."""
+    none = {c: F.lit(None).cast(t) for c, t in (("eligible", "boolean"), ("admin", "boolean"))}
+    u = stamped(tb.users(spark, sf))
+    again = F.concat(F.lit("SAME "), (F.col("id") % 10).cast("string"))
+    renames = u.where("id % 5 = 0").select(F.col("id").alias("seq"), F.col("id").alias("user_id"), again.alias("name"))
+    c = stamped(tb.challenges(spark, sf))
+    moves = c.where("id % 7 = 0").select(
+        F.col("id").alias("seq"), F.col("id").alias("challenge_id"),
+        F.concat(F.lit("chall/"), (F.col("id") + 1).cast("string")).alias("source_folder"),
+        *[F.lit(None).cast(c.schema[f].dataType).alias(f) for f in patches.CHALLENGE_FIELDS if f != "source_folder"],
+    )
+    users = patches.patch_users(u, renames.withColumns(none), tb.NOW, unique=False)
+    challenges = patches.patch_challenges(c, moves, tb.NOW, unique=False)
+    return quality.table_duplicates(users, "users").unionByName(quality.table_duplicates(challenges, "challenges"))
+
+
 # --- creation ----------------------------------------------------------------------------------------------------
 
 # One command per customer, in key order. Names repeat per nation and segment and some are those of stored teams;
 # founders repeat, some do not exist.
 TEAM_CREATION = """
 commands as (
-  select c_custkey seq, case when c_acctbal > 8000 then upper(s_name)
+  select c_custkey seq, case when c_acctbal > 8000 then coalesce(upper(s_name), 'team of ' || cast(c_custkey as varchar))
+           when c_acctbal between 600 and 900 then null
            else c_mktsegment || ' ' || cast(c_nationkey as varchar) || ' ' || cast(c_custkey % 4 as varchar) end name,
          cast(floor(abs(c_acctbal)) as bigint) % (select count(*) + 20 from customer) founder_id,
          c_acctbal > 500 auth_ok
@@ -362,8 +394,7 @@ commands as (
 known as (
   select c.*, lower(c.name) in (select lower(name) from teams) stored, u.id is not null present,
          u.team_id, row_number() over (order by c.seq) rn
-  from (select * replace (coalesce(name, 'team of ' || cast(seq as varchar)) as name) from commands) c
-  left join users u on u.id = c.founder_id),
+  from commands c left join users u on u.id = c.founder_id),
 steps as (
   select cast(0 as bigint) rn, cast(-1 as bigint) seq, '' outcome, cast([] as varchar[]) names,
          cast([] as bigint[]) founders
@@ -372,7 +403,8 @@ steps as (
          case when o.outcome = 'created' then list_append(s.names, lower(k.name)) else s.names end,
          case when o.outcome = 'created' then list_append(s.founders, k.founder_id) else s.founders end
   from steps s join known k on k.rn = s.rn + 1,
-  lateral (select case when k.stored or list_contains(s.names, lower(k.name)) then 'name_taken'
+  lateral (select case when k.name is null then 'missing_name'
+                       when k.stored or list_contains(s.names, lower(k.name)) then 'name_taken'
                        when not k.present then 'does_not_exist'
                        when k.team_id is not null or list_contains(s.founders, k.founder_id) then 'already_on_team'
                        when not k.auth_ok then 'auth' else 'created' end outcome) o)
@@ -386,7 +418,8 @@ def created_teams(spark, sf):
         " ", "c_mktsegment", F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 4).cast("string")
     )
     own = F.concat(F.lit("team of "), F.col("c_custkey").cast("string"))
-    name = F.when(F.col("c_acctbal") > 8000, F.coalesce(F.upper("s_name"), own)).otherwise(rest)
+    balance = F.col("c_acctbal")
+    name = F.when(balance > 8000, F.coalesce(F.upper("s_name"), own)).when(~balance.between(600, 900), rest)
     commands = (
         tb.raw(spark, sf, "customer")
         .join(s, "c_custkey", "left")
@@ -439,9 +472,9 @@ def create_team_members(spark, sf):
 USER_CREATION = """
 commands as (
   select c_custkey seq,
-         case when c_acctbal > 9000 then upper(c_name)
+         case when c_acctbal > 9000 then upper(c_name) when c_acctbal between 600 and 900 then null
               else c_mktsegment || cast(cast(floor(abs(c_acctbal)) as bigint) % 200 as varchar) end name,
-         case when c_acctbal < 0 then lower(c_name) || '@EXAMPLE.com'
+         case when c_acctbal < 0 then lower(c_name) || '@EXAMPLE.com' when c_acctbal between 800 and 1100 then null
               else 'm' || cast(cast(floor(abs(c_acctbal)) as bigint) * 7 % 600 as varchar) || '@example.org' end email
   from customer),
 known as (
@@ -456,7 +489,8 @@ steps as (
          case when o.outcome = 'created' then list_append(s.names, lower(k.name)) else s.names end,
          case when o.outcome = 'created' then list_append(s.emails, lower(k.email)) else s.emails end
   from steps s join known k on k.rn = s.rn + 1,
-  lateral (select case when k.name_stored or list_contains(s.names, lower(k.name)) then 'name_taken'
+  lateral (select case when k.name is null then 'missing_name' when k.email is null then 'missing_email'
+                       when k.name_stored or list_contains(s.names, lower(k.name)) then 'name_taken'
                        when k.email_stored or list_contains(s.emails, lower(k.email)) then 'email_taken'
                        else 'created' end outcome) o)
 """
@@ -467,10 +501,10 @@ def created_users(spark, sf):
     commands = tb.raw(spark, sf, "customer").select(
         F.col("c_custkey").alias("seq"),
         F.when(F.col("c_acctbal") > 9000, F.upper("c_name"))
-        .otherwise(F.concat("c_mktsegment", (whole % 200).cast("string")))
+        .when(~F.col("c_acctbal").between(600, 900), F.concat("c_mktsegment", (whole % 200).cast("string")))
         .alias("name"),
         F.when(F.col("c_acctbal") < 0, F.concat(F.lower("c_name"), F.lit("@EXAMPLE.com")))
-        .otherwise(F.concat(F.lit("m"), (whole * 7 % 600).cast("string"), F.lit("@example.org")))
+        .when(~F.col("c_acctbal").between(800, 1100), F.concat(F.lit("m"), (whole * 7 % 600).cast("string"), F.lit("@example.org")))
         .alias("email"),
         F.lit(True).alias("eligible"),
         F.lit(False).alias("admin"),
@@ -549,19 +583,27 @@ def rotated(spark, sf):
             F.when(F.col("o_orderstatus") == "F", longer).otherwise(F.col("sub")).alias("new_sub"),
         )
     )
-    return credentials.update_credentials(tb.credentials(spark, sf), commands)
+    stored = stamped(tb.credentials(spark, sf)).withColumns({"id": F.col("user_id"), "last_used": F.lit(None).cast("timestamp_ntz")})
+    return credentials.update_credentials(stored, commands, tb.NOW, -1 - F.col("user_id"))
 
 
 @query(
     "update_credentials",
     """
-    select user_id, provider provider_name, sub
+    select user_id id, user_id, provider provider_name, sub, cast(null as bigint) last_used,
+           cast(1685577600 as bigint) inserted_at,
+           exists (select 1 from steps b where b.user_id = s.user_id and b.provider = s.provider
+                   and b.outcome = 'stored') touched
     from steps s where rn = (select max(rn) from steps b where b.user_id = s.user_id and b.provider = s.provider)
     """,
     ROTATION,
 )
 def update_credentials(spark, sf):
-    return rotated(spark, sf)[0].select("user_id", "provider_name", "sub")
+    """The whole table: every column is kept, rows stored anew are stamped."""
+    return rotated(spark, sf)[0].select(
+        "id", "user_id", "provider_name", "sub", epoch("last_used").alias("last_used"),
+        epoch("inserted_at").alias("inserted_at"), touched(),
+    )
 
 
 @query(
@@ -732,17 +774,15 @@ def clear_challenges_scores(spark, sf):
 @query(
     "cascade_delete",
     """
-    select 'teams' tbl, count(*) n, cast(sum(id) as bigint) ids from teams where eligible
+    select 'teams' tbl, id from teams where eligible
     union all
-    select 'users', count(*), cast(sum(id) as bigint) from left_users
+    select 'users', id from left_users
     union all
-    select 'solve_attempts', count(*), cast(sum(id) as bigint) from left_attempts
+    select 'solve_attempts', id from left_attempts
     union all
-    select 'solve_successes', count(*), cast(sum(attempt_id) as bigint) from successes
-    where attempt_id in (select id from left_attempts)
+    select 'solve_successes', attempt_id from successes where attempt_id in (select id from left_attempts)
     union all
-    select 'auth_oauth', count(*), cast(sum(user_id) as bigint) from credentials
-    where user_id in (select id from left_users)
+    select 'auth_oauth', user_id from credentials where user_id in (select id from left_users)
     """,
     """
     left_users as (select * from users where team_id is null or team_id in (select id from teams where eligible)),
@@ -751,22 +791,15 @@ def clear_challenges_scores(spark, sf):
     """,
 )
 def cascade_delete(spark, sf):
-    """Delete the ineligible teams; what is left of every table."""
+    """Delete the ineligible teams; the rows that are left in every table."""
     a = tb.stored_attempts(spark, sf)
     tables = {
         "teams": tb.teams(spark, sf),
         "users": tb.users(spark, sf),
         "solve_attempts": a,
-        "solve_successes": ledger.first_correct(a).withColumn("id", F.col("attempt_id")),
+        "solve_successes": cut(ledger.first_correct(a)).withColumn("id", F.col("attempt_id")),
         "auth_oauth": tb.credentials(spark, sf).withColumn("id", F.col("user_id")),
     }
     doomed = tables["teams"].where("not eligible").select("id")
     left = removal.cascade_delete(tables, "teams", doomed)
-    rows = [
-        df.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")).select(F.lit(name).alias("tbl"), "n", "ids")
-        for name, df in left.items()
-    ]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("tbl"), "id") for name, df in left.items()])
