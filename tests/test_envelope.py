@@ -12,7 +12,7 @@ SAMPLES = {
     "id": ID,
     "text": "some text",
     "int": 5,
-    "size": 50,
+    "u64": 2**63, "size": 50,
     "flag": True,
     "texts": ["a"],
     "links": [{"type": "web", "location": "x"}],

@@ -194,6 +194,51 @@ def test_credentials_equal_one_at_a_time(spark):
     assert as_set(now, "user_id", "provider_name", "sub") == {(u, p, s) for (u, p), s in state.items()}
 
 
+def test_credentials_long_chain(spark, monkeypatch):
+    """1,000 commands of one user who keeps the provider: few rounds, and the other columns stay."""
+    cuts = []
+    real = credentials.cut
+    monkeypatch.setattr(credentials, "cut", lambda df: cuts.append(1) or real(df))
+    rows = [(i, 1, "p", f"s{i}", "p", f"s{i + 1}") for i in range(1000)]
+    rows += [(2000 + i, 2, "p", "no", "p", "x") for i in range(5)]
+    ddl = "user_id long, provider_name string, sub string, id long, last_used timestamp_ntz, inserted_at timestamp_ntz, " \
+        "updated_at timestamp_ntz"
+    stored = frame(spark, [(1, "p", "s0", 10, ts(5), ts(0), ts(0)), (2, "p", "t", 11, None, ts(0), ts(0))], ddl)
+    now, judged = credentials.update_credentials(
+        stored, frame(spark, rows, "seq long, user_id long, old_provider string, old_sub string, new_provider string, new_sub string"),
+        NOW,
+    )
+    assert judged.where("outcome = 'stored'").count() == 1000 and judged.count() == 1005
+    assert as_set(now, "id", "user_id", "sub", "last_used") == {(10, 1, "s1000", ts(5)), (11, 2, "t", None)}
+    assert as_dict(now, "id", "updated_at") == {10: ts(500), 11: ts(0)}
+    # Two writes a round for ten rounds, and a fixed number around them.
+    assert len(cuts) <= 2 * 12 + 10
+
+
+def test_new_provider_row(spark):
+    stored = frame(spark, [(1, "p", "s", 10)], "user_id long, provider_name string, sub string, id long")
+    ask = frame(
+        spark, [(1, 1, "p", "s", "q", "z"), (2, 1, "q", "z", "p", "y"), (3, 1, "p", "s", "p", "w")],
+        "seq long, user_id long, old_provider string, old_sub string, new_provider string, new_sub string",
+    )
+    now, judged = credentials.update_credentials(stored, ask, NOW, F.lit(77).cast("bigint"))
+    assert as_dict(judged, "seq", "outcome") == {1: "stored", 2: "stored", 3: "auth"}
+    assert as_set(now, "user_id", "provider_name", "sub", "id") == {(1, "p", "y", 10), (1, "q", "z", 77)}
+
+
+def test_null_claims_end(spark):
+    claims = frame(spark, [(1, None, "a"), (2, "x", None), (3, "x", "a"), (4, "x", "b")], "seq long, l string, r string")
+    assert as_set(creation.first_come(claims, "l", "r"), "seq") == {(3,)}
+
+
+def test_touch_without_an_instant(spark):
+    """No instant means the clock, here as everywhere."""
+    users = frame(spark, [user(1, name="Ann"), user(2, name="Bob")], USER)
+    p = frame(spark, [(1, 2, "Bo", None, None)], "seq long, user_id long, name string, eligible boolean, admin boolean")
+    stamps = as_dict(patches.patch_users(users, p, None), "id", "updated_at")
+    assert stamps[2] > stamps[1]
+
+
 CHALL = "id long, name string, description string, flag string, points int, authors array<string>, " \
     "hints array<string>, categories array<string>, tags array<string>, solve_count int, visible boolean, " \
     "source_folder string, inserted_at timestamp_ntz, updated_at timestamp_ntz"
@@ -243,6 +288,23 @@ def test_upsert_and_links(spark):
     quality.require_unique(after, "challenge_links")
 
 
+def test_clashing_upserts_are_refused(spark):
+    challenges = frame(spark, [chall(1, "a"), chall(2, "b")], CHALL)
+    ddl = "seq long, id long, source_folder string, name string, description string, flag string, points int, " \
+        "authors array<string>, hints array<string>, categories array<string>, tags array<string>, visible boolean, " \
+        "links array<struct<type:string,location:string>>"
+    none = frame(spark, [], LINK)
+    same_id = frame(spark, [command(1, 2, "a", 1, [])], ddl)
+    with pytest.raises(ValueError, match="id=2"):
+        upserts.upsert_challenges(challenges, same_id, [none], NOW)
+    two_ids = frame(spark, [command(1, 9, "a", 1, []), command(2, 9, "z", 1, [])], ddl)
+    with pytest.raises(ValueError, match="id=9"):
+        upserts.upsert_challenges(challenges, two_ids, [none], NOW)
+    lists = frame(spark, [(1, [("web", "u"), ("nc", "u")])], "challenge_id long, links array<struct<type:string,location:string>>")
+    with pytest.raises(ValueError, match="challenge_id,url=1,u"):
+        upserts.replace_links(none, challenges, lists)
+
+
 def test_link_lists_for_unknown_challenges(spark):
     links = frame(spark, [("l1", 1, "u1", "web")], LINK)
     arrays = frame(spark, [(1, ["n"], [], ["w"]), (9, ["n"], [], [])], "challenge_id long, nc array<string>, "
@@ -259,7 +321,8 @@ def test_clashing_rename_is_refused(spark):
     users = frame(spark, [user(1, name="Ann"), user(2, name="Bob")], USER)
     p = frame(spark, [(1, 2, "ANN", None, None)], "seq long, user_id long, name string, eligible boolean, admin boolean")
     with pytest.raises(ValueError, match="name=ann"):
-        quality.require_unique(patches.patch_users(users, p, NOW), "users")
+        patches.patch_users(users, p, NOW)
+    assert patches.patch_users(users, p, NOW, unique=False).count() == 2
     assert quality.require_unique(users, "users") is users
 
 
