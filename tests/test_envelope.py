@@ -12,7 +12,8 @@ SAMPLES = {
     "id": ID,
     "text": "some text",
     "int": 5,
-    "u64": 2**63, "size": 50,
+    "u64": 2**63,
+    "size": 50,
     "flag": True,
     "texts": ["a"],
     "links": [{"type": "web", "location": "x"}],
@@ -22,7 +23,7 @@ SAMPLES = {
     "auth": {"__type": "o_auth", "params": {"sub": "s", "provider": "p", "oauth_allow_token": "t"}},
 }
 WRONG = {
-    "id": "zz", "text": 5, "int": 2**31, "size": -1, "flag": "true", "texts": "a",
+    "id": "zz", "text": 5, "int": 2**31, "size": -1, "u64": 2**64, "flag": "true", "texts": "a",
     "links": [{"type": "ftp", "location": "x"}], "time": "yesterday", "level": "info",
     "auth": {"__type": "o_auth", "params": {"sub": "s"}},
 }
