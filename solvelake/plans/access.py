@@ -150,17 +150,7 @@ whole as (
 """
 
 
-@query(
-    "attempt_batch",
-    """
-    select t.id team_id, cast(coalesce((select sum(c.points) from whole w join challenges c on c.id = w.challenge_id
-                                        where w.team_id = t.id), 0) as bigint) score,
-           t.id in (select team_id from right_ones where rn = 1) touched
-    from teams t
-    """,
-    BATCH,
-)
-def attempt_batch(spark, sf):
+def batch(spark, sf):
     """The claims of the second half, admitted, counted and scored on top of the first."""
     start = F.lit(tb.START).cast("timestamp_ntz")
     log = tb.stored_attempts(spark, sf)
@@ -178,15 +168,31 @@ def attempt_batch(spark, sf):
     )
     then = F.lit("2023-06-01 00:00:00").cast("timestamp_ntz")
     stored = {"score": F.lit(0).cast("bigint"), "last_solve": then, "updated_at": then}
-    out = attempts.process(
+    return attempts.process(
         claims,
         creds,
-        u.withColumns(stored),
+        refresh.recompute_owners(u.withColumns(stored), old, c, "user_id"),
         refresh.recompute_owners(t.withColumns(stored), old, c, "team_id"),
-        c.withColumns({"solve_count": F.lit(0), "updated_at": then}),
+        refresh.recompute_challenges(c.withColumns({"solve_count": F.lit(0).cast("bigint"), "updated_at": then}), old),
         early,
         old,
         tb.NOW,
+        -F.col("attempt_id"),
     )
+
+
+@query(
+    "attempt_batch",
+    """
+    select t.id team_id, cast(coalesce((select sum(c.points) from whole w join challenges c on c.id = w.challenge_id
+                                        where w.team_id = t.id), 0) as bigint) score,
+           t.id in (select team_id from right_ones where rn = 1) touched
+    from teams t
+    """,
+    BATCH,
+)
+def attempt_batch(spark, sf):
+    """The teams after the batch."""
     now = F.lit(tb.NOW).cast("timestamp_ntz")
+    out = batch(spark, sf)
     return out.teams.select(F.col("id").alias("team_id"), "score", (F.col("updated_at") == now).alias("touched"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.functions import text
+from solvelake.functions.common import epoch
+from solvelake.operators.leaderboard import MAX_TEAMS
 from solvelake.sources.envelope import TARGETS
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -19,6 +21,61 @@ def success(kind: str, data: Column) -> Column:
     return F.to_json(F.struct(F.lit("success").alias("ok"), tagged.alias("data")), KEEP_NULLS)
 
 
+def payload(kind: str, fields: Sequence[Column | str]) -> Column:
+    """One entity as a successful result; lists are rows of such results, never one cell."""
+    return success(kind, F.struct(*fields))
+
+
+# The fields of each payload.
+CHALLENGE = [
+    "id", "name", "description", "points", "authors", "hints", "categories", "tags", "solve_count", "visible",
+    "source_folder", "links",
+]
+TEAM = ["id", "name", "score", "last_solve", "eligible", "affiliation"]
+USER = ["id", "email", "name", "team_id", "score", "last_solve", "eligible", "admin"]
+
+
+def solve() -> list[Column]:
+    """Fields of a solve, with its time in seconds since the epoch."""
+    return [
+        F.col("id"), F.col("user_id"), F.col("team_id"), F.col("challenge_id").alias("chall_id"), F.col("correct"),
+        F.col("counted"), epoch("inserted_at").alias("time"),
+    ]
+
+
+def score_entry() -> list[Column]:
+    """Fields of an entry of a score history, with its time as a naive timestamp."""
+    return [F.col("team_id"), F.col("score"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss").alias("time")]
+
+
+def deploy_status() -> list[Column]:
+    """Fields of a deployment status; the age is in whole seconds and nanoseconds."""
+    age = F.struct(F.col("secs"), F.col("nanos"))
+    return [F.col("status"), age.alias("status_time"), F.col("chall_name"), F.col("poll_id"), F.col("err_msg")]
+
+
+def synced(kind: Column, id_: Column) -> Column:
+    """The frontend's answer to a sync: the event that was forwarded."""
+    details = F.concat(F.lit('{"__type":"synced","details":'), text.sync_event(kind, id_, "__sync_type"), F.lit("}"))
+    return F.concat(F.lit('{"ok":"success","data":'), details, F.lit("}"))
+
+
+def sync_failure(forwarded: Column, kind: Column, id_: Column, reason: Column) -> Column:
+    """The frontend's error as tagged data: the event that failed, or why it could not be forwarded."""
+    lost = F.concat(F.lit('{"__type":"failed_to_sync","info":'), text.sync_event(kind, id_, "__sync_type"), F.lit("}"))
+    down = F.to_json(F.struct(F.lit("webhook_server_error").alias("__type"), reason.alias("info")))
+    return failure(F.when(forwarded, lost).otherwise(down))
+
+
+def limit_outcomes(requests: DataFrame, limit: str = "limit", most: int = MAX_TEAMS) -> DataFrame:
+    """Requests with ``code`` (200, or 413 above ``most`` teams) and ``error``, the error's data or null."""
+    big = F.col(limit) > most
+    error = F.when(
+        big, text.table_error_data(F.lit("RequestTooBig"), F.lit(None), F.lit(None), F.lit(None), F.col(limit), F.lit(most))
+    )
+    return requests.withColumns({"code": F.when(big, 413).otherwise(200), "error": error})
+
+
 def failure(data: Column) -> Column:
     """``{"ok":"err","data":...}`` around an error that is JSON already."""
     return F.concat(F.lit('{"ok":"err","data":'), data, F.lit("}"))
@@ -75,6 +132,11 @@ def staff_outbox(
     return outbox(alerts, F.when(writers, "chall_writers").otherwise("admins"), F.lit(sender), content)
 
 
+def alert_outbox(alerts: DataFrame, sender: str = text.UPDATE_SENDER, keep: Sequence[str] = ()) -> DataFrame:
+    """Alerts (message) to the participants, as they are."""
+    return outbox(alerts, F.lit("participants"), F.lit(sender), F.col("message"), keep)
+
+
 def sync_outbox(events: DataFrame) -> DataFrame:
     """Cache-sync events (kind, id) for the frontend."""
     return outbox(events, F.lit("frontend"), F.lit(None).cast("string"), text.sync_event(F.col("kind"), F.col("id")))
