@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from solvelake.functions.common import epoch
 from solvelake.operators.ledger import check_guesses
-from solvelake.plans.leaderboard import BLOODS, TOP
+from solvelake.plans.leaderboard import TOP
 from solvelake.plans.registry import query
 from solvelake.plans.text import BODIES, BODY
 from solvelake.session import work_path
@@ -14,8 +14,16 @@ from solvelake.sources import testbed as tb
 from solvelake.streaming import ledger, sources, status
 
 
+#: Micro-batches of a streaming query: the events by the remainder of their id, so that most come late.
+BATCHES = 4
+
+
 def events(spark, sf):
-    return sources.read_files(spark, sf, tb.RAW["events"], glob="events.parquet")
+    path = work_path(spark, "events")
+    for i in range(BATCHES):
+        part = tb.raw(spark, sf, "events").where(F.col("event_id") % BATCHES == i)
+        part.coalesce(1).write.parquet(f"{path}/part={i}")  # a file for each micro-batch
+    return sources.read_files(spark, f"{path}/*", tb.RAW["events"], per_trigger=1)
 
 
 def attempt_stream(spark, sf):
@@ -33,13 +41,20 @@ def done(q):
 LEDGER = "select attempt_id, user_id, challenge_id, team_id, cast(epoch(solved_at) as bigint) solved_at from successes"
 
 
-@query("stream_first_correct", LEDGER)
+@query(
+    "stream_first_correct",
+    f"""
+    select id, batch_id, correct, correct and rn = 1 counted from (
+      select *, row_number() over (partition by challenge_id, team_id, correct order by batch_id, inserted_at, id) rn
+      from (select *, id % {BATCHES} batch_id from attempts))
+    """,
+)
 def stream_first_correct(spark, sf):
-    """Counted by arrival; within one micro-batch by time."""
-    attempts = ledger.with_arrival(attempt_stream(spark, sf))
-    path = work_path(spark, "first-correct")
-    done(ledger.start_ledger(attempts, path, work_path(spark, "checkpoint"), ledger.ARRIVAL))
-    return ledger.read_ledger(spark, path, attempts, ledger.ARRIVAL).withColumn("solved_at", epoch("solved_at"))
+    """Every attempt, counted by arrival; within one micro-batch by time."""
+    attempts = attempt_stream(spark, sf)
+    path = work_path(spark, "arrivals")
+    done(ledger.start_arrivals(attempts, path, work_path(spark, "winners"), work_path(spark, "checkpoint")))
+    return ledger.read_arrivals(spark, path, attempts).select("id", "batch_id", "correct", "counted")
 
 
 @query("stream_ledger", LEDGER)
@@ -47,7 +62,7 @@ def stream_ledger(spark, sf):
     """Counted by event time."""
     attempts = attempt_stream(spark, sf)
     path = work_path(spark, "ledger")
-    done(ledger.start_ledger(attempts, path, work_path(spark, "checkpoint"), ledger.EVENT_TIME))
+    done(ledger.start_ledger(attempts, path, work_path(spark, "checkpoint"), ledger.EVENT_TIME, compact_every=2))
     return ledger.read_ledger(spark, path, attempts, ledger.EVENT_TIME).withColumn("solved_at", epoch("solved_at"))
 
 
@@ -61,6 +76,7 @@ def stream_leaderboard(spark, sf):
     q = ledger.start_leaderboard(
         attempt_stream(spark, sf), tb.teams(spark, sf), tb.challenges(spark, sf),
         work_path(spark, "ledger"), work_path(spark, "scores"), board, work_path(spark, "checkpoint"), 10,
+        compact_every=2,
     )
     done(q)
     return ledger.latest_board(spark, board, "bigint").withColumn("last_solve", epoch("last_solve"))
@@ -68,14 +84,17 @@ def stream_leaderboard(spark, sf):
 
 @query(
     "stream_first_blood",
-    """
-    select attempt_id, challenge_id, 'participants' channel, 'CTF Updates' username,
-           'First :drop_of_blood: by `' || "user" || '` from `' || team || '` on challenge `' || chall || '`!' content
-    from bloods
+    f"""
+    select f.id attempt_id, f.challenge_id, 'participants' channel, 'CTF Updates' username,
+           'First :drop_of_blood: by `' || u.name || '` from `' || t.name || '` on challenge `' || c.name || '`!' content
+    from (select *, row_number() over (partition by challenge_id order by id % {BATCHES}, inserted_at, id) rn
+          from attempts where correct) f
+    join challenges c on c.id = f.challenge_id join teams t on t.id = f.team_id join users u on u.id = f.user_id
+    where rn = 1
     """,
-    BLOODS,
 )
 def stream_first_blood(spark, sf):
+    """A challenge is announced by the first batch that has a solver."""
     box = work_path(spark, "outbox")
     q = ledger.start_first_bloods(
         attempt_stream(spark, sf), tb.challenges(spark, sf), tb.teams(spark, sf), tb.users(spark, sf),

@@ -1,9 +1,10 @@
 """Running extremes over a stream, kept as a log of changes.
 
 The stateful part is a streaming minimum or maximum of a struct: it combines on the map side, so a hot key reaches the
-state store as one row per task, and keeps one row per key. Every micro-batch appends the keys that received rows to a
-folder named by its batch id; a repeated batch overwrites its folder. Readers fold the log once more, which is exact
-because extremes of extremes are extremes.
+state store as one row per task, and keeps one row per key. Every micro-batch appends the keys whose extreme changed to
+a folder named by its batch id; a repeated batch overwrites its folder. Readers fold the log once more, which is exact
+because extremes of extremes are extremes. Every so many batches the log so far is folded into a snapshot, and readers
+take the newest snapshot and the batches after it, so that a batch costs no more as the log grows long.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from solvelake.operators.joins import split_join
 from solvelake.session import ROCKSDB
 
 EXTREMES = {"min": F.min, "max": F.max}
@@ -29,23 +31,40 @@ def batch_path(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
+def snapshot_path(path: str, batch_id: int) -> str:
+    return f"{path}-snapshots/upto={batch_id}"
+
+
 def start(
     result: DataFrame,
     path: str,
     checkpoint: str,
+    pick: str,
     then: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
+    compact_every: int = 32,
 ) -> StreamingQuery:
-    """Write the changed rows of each micro-batch under ``path`` and run ``then`` on them as written."""
+    """Write the rows of each micro-batch whose extreme changed under ``path`` and run ``then`` on them as written."""
     spark = result.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = result.schema
+    keys = [c for c in result.columns if c != "best"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
         target = batch_path(path, batch_id)
-        batch.write.mode("overwrite").parquet(target)
+        rows = batch
+        if batch_id > 0:
+            old = read_log(session, path, schema, batch_id - 1)
+            mine = split_join(old, batch.select(*keys), keys, "left_semi")
+            known = fold(mine, keys, pick).withColumnRenamed("best", "_best")
+            rows = batch.join(known, keys, "left").where("_best is null or best <> _best").select(*batch.columns)
+        rows.write.mode("overwrite").parquet(target)
         if then is not None:
-            then(batch.sparkSession.read.schema(schema).parquet(target), batch_id)
+            then(session.read.schema(schema).parquet(target), batch_id)
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            whole = fold(read_log(session, path, schema, batch_id), keys, pick)
+            whole.write.mode("overwrite").parquet(snapshot_path(path, batch_id))
 
     return (
         result.writeStream.outputMode("update")
@@ -57,9 +76,26 @@ def start(
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType, upto: int | None = None) -> DataFrame:
-    """All changes, or those of the batches up to and with ``upto``."""
+    """The newest snapshot and the changes after it, or what stood after the batch ``upto``."""
     log = spark.read.schema(StructType([*schema.fields, StructField("batch_id", LongType())])).parquet(path)
-    return (log if upto is None else log.where(F.col("batch_id") <= upto)).drop("batch_id")
+    if upto is not None:
+        log = log.where(F.col("batch_id") <= upto)
+    done = [b for b in _snapshots(spark, path) if upto is None or b < upto]
+    if done:
+        folded = spark.read.schema(schema).parquet(snapshot_path(path, max(done)))
+        return folded.unionByName(log.where(F.col("batch_id") > max(done)).drop("batch_id"))
+    return log.drop("batch_id")
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Batches after which a finished snapshot was written."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-snapshots")
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return []
+    found = [s.getPath() for s in files.listStatus(top)]
+    marked = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return [int(p.getName().split("=")[1]) for p in marked]
 
 
 def fold(log: DataFrame, keys: list[str], pick: str) -> DataFrame:

@@ -5,22 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from solvelake.operators import leaderboard
 from solvelake.operators.joins import split_join
-from solvelake.operators.ledger import PAIR, named
+from solvelake.operators.ledger import PAIR, first_correct, named
 from solvelake.operators.scores import totals, with_points
 from solvelake.sources.responses import first_blood_outbox
 from solvelake.streaming import changes
 
 EVENT_TIME = ["inserted_at", "id"]
-ARRIVAL = ["arrived_at", "inserted_at", "id"]
-
-
-def with_arrival(attempts: DataFrame) -> DataFrame:
-    """Add ``arrived_at``, the clock of the micro-batch that reads the row: the same for all of its rows, and kept
-    when the batch is repeated."""
-    return attempts.withColumn("arrived_at", F.current_timestamp())
 
 
 def _best(order: list[str], *more: str):
@@ -30,14 +24,53 @@ def _best(order: list[str], *more: str):
 def running_ledger(attempts: DataFrame, order: list[str]) -> DataFrame:
     """First correct attempt per (challenge, team) of a checked stream.
 
-    With ``EVENT_TIME`` a late attempt displaces a later winner. With ``ARRIVAL`` (see ``with_arrival``) whoever came
-    in first stays; attempts of one micro-batch count by time.
+    With ``EVENT_TIME`` a late attempt displaces a later winner. ``start_arrivals`` is the form in which whoever came in
+    first stays.
     """
     return changes.running(attempts.where("correct"), PAIR, _best(order, "inserted_at", "id", "user_id"), "min")
 
 
 def start_ledger(attempts: DataFrame, path: str, checkpoint: str, order: list[str], **kw) -> StreamingQuery:
-    return changes.start(running_ledger(attempts, order), path, checkpoint, **kw)
+    return changes.start(running_ledger(attempts, order), path, checkpoint, "min", **kw)
+
+
+def start_arrivals(
+    attempts: DataFrame, path: str, winners_path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Write every attempt of a checked stream with ``counted``, in the order of the micro-batches.
+
+    A batch counts the first correct attempt per (challenge, team), by time, unless an earlier batch counted one: no
+    clock is asked. ``winners_path`` keeps one row per counted pair. A repeated batch looks at earlier batches only and
+    overwrites its own folders.
+    """
+    schema = attempts.schema
+    types = {c: schema[c].dataType.simpleString() for c in (*PAIR, "id")}
+    ddl = ", ".join(f"{c} {t}" for c, t in types.items()) + ", batch_id bigint"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        won = first_correct(batch).select(*PAIR, F.col("attempt_id").alias("id"))
+        if batch_id > 0:
+            earlier = session.read.schema(ddl).parquet(winners_path).where(F.col("batch_id") < batch_id)
+            won = won.join(earlier.select(*PAIR), PAIR, "left_anti")
+        won.write.mode("overwrite").parquet(changes.batch_path(winners_path, batch_id))
+        mine = session.read.schema(ddl).parquet(changes.batch_path(winners_path, batch_id))
+        hit = mine.select("id", F.lit(True).alias("_hit"))
+        marked = batch.join(hit, "id", "left").withColumn("counted", F.coalesce("_hit", F.lit(False))).drop("_hit")
+        marked.select(*schema.names, "counted").write.mode("overwrite").parquet(changes.batch_path(path, batch_id))
+
+    return (
+        attempts.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_arrivals(spark: SparkSession, path: str, attempts: DataFrame) -> DataFrame:
+    """All attempts so far with ``counted`` and ``batch_id``."""
+    more = [StructField("counted", BooleanType()), StructField("batch_id", LongType())]
+    return spark.read.schema(StructType([*attempts.schema.fields, *more])).parquet(path)
 
 
 def _rows(folded: DataFrame) -> DataFrame:
@@ -89,7 +122,7 @@ def start_leaderboard(
         board = top_of(teams, stored, limit)
         board.write.mode("overwrite").parquet(changes.batch_path(board_path, batch_id))
 
-    return changes.start(running_ledger(attempts, EVENT_TIME), ledger_path, checkpoint, then=refresh, **kw)
+    return changes.start(running_ledger(attempts, EVENT_TIME), ledger_path, checkpoint, "min", then=refresh, **kw)
 
 
 def top_of(teams: DataFrame, team_scores: DataFrame, limit: int) -> DataFrame:
@@ -146,7 +179,7 @@ def start_first_bloods(
         rows = first_blood_outbox(details, keep=["challenge_id", "attempt_id"])
         rows.write.mode("overwrite").parquet(changes.batch_path(outbox_path, batch_id))
 
-    return changes.start(result, path, checkpoint, then=announce, **kw)
+    return changes.start(result, path, checkpoint, "min", then=announce, **kw)
 
 
 def read_outbox(spark: SparkSession, outbox_path: str, id_type: str = "string") -> DataFrame:

@@ -17,7 +17,7 @@ def running_status(log: DataFrame) -> DataFrame:
 
 
 def start_status(log: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
-    return changes.start(running_status(log), path, checkpoint, **kw)
+    return changes.start(running_status(log), path, checkpoint, "max", **kw)
 
 
 def read_status(spark: SparkSession, path: str, log: DataFrame) -> DataFrame:

@@ -60,9 +60,11 @@ def test_arrival_ledger_keeps_the_first_comer(spark, tmp_path):
     parts = [[(1, 1, 1, 1, True, ts(100)), (2, 1, 1, 1, True, ts(90))], [(3, 1, 1, 1, True, ts(5)), (4, 1, 2, 1, True, ts(6))]]
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     write_batches(spark, src, parts)
-    s = ledger.with_arrival(stream(spark, src))
-    run(ledger.start_ledger(s, out, str(tmp_path / "cp"), ledger.ARRIVAL))
-    assert as_set(ledger.read_ledger(spark, out, s, ledger.ARRIVAL), "attempt_id") == {(2,), (4,)}
+    s = stream(spark, src)
+    run(ledger.start_arrivals(s, out, str(tmp_path / "winners"), str(tmp_path / "cp")))
+    assert as_dict(ledger.read_arrivals(spark, out, s), "id", "counted", "batch_id") == {
+        1: (False, 0), 2: (True, 0), 3: (False, 1), 4: (True, 1)
+    }
     # Ordered by event time the late attempt would have won.
     assert as_set(batch.first_correct(frame(spark, parts[0] + parts[1], ATTEMPT)), "attempt_id") == {(3,), (4,)}
 
@@ -84,6 +86,24 @@ def test_restart_goes_on_and_a_repeated_batch_overwrites(spark, tmp_path):
     assert as_set(got, "attempt_id", "user_id", "challenge_id", "team_id", "solved_at") == want(parts, spark)
 
 
+def test_unchanged_winners_are_not_written_again_and_snapshots_fold(spark, tmp_path):
+    parts = [
+        [(1, 1, 1, 1, True, ts(50)), (2, 1, 2, 1, True, ts(60))], [(3, 2, 1, 1, True, ts(70))], [(4, 2, 1, 1, True, ts(20))],
+        [(5, 2, 3, 2, True, ts(20))], [(6, 2, 2, 1, True, ts(61))],
+    ]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_batches(spark, src, parts)
+    s = stream(spark, src)
+    run(ledger.start_ledger(s, out, str(tmp_path / "cp"), ledger.EVENT_TIME, compact_every=2))
+    written = spark.read.parquet(out).groupBy("batch_id").count()
+    assert as_dict(written, "batch_id", "count") == {0: 2, 2: 1, 3: 1}
+    assert sorted(changes._snapshots(spark, out)) == [1, 3]
+    got = ledger.read_ledger(spark, out, s, ledger.EVENT_TIME)
+    assert as_set(got, "attempt_id", "user_id", "challenge_id", "team_id", "solved_at") == want(parts, spark)
+    before = ledger.read_ledger(spark, out, s, ledger.EVENT_TIME, upto=1)
+    assert as_set(before, "attempt_id") == {(1,), (2,)}
+
+
 @pytest.fixture
 def tables(spark):
     teams = frame(
