@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.operators.joins import split_join
-from solvelake.session import cut
+from solvelake.session import cut, release
 
 CREDENTIAL = ["user_id", "sub", "provider"]
 
@@ -77,18 +75,16 @@ def admins_since(commands: DataFrame, users: DataFrame) -> DataFrame:
 
     A promotion counts if its actor is admin before it. Each round hands admin rights on from the users whose time
     was lowered in the last one, until no time falls any more; a chain inside the batch takes one round per link.
+    One table holds the times so far. After rounds 1, 2, 4, 8, ... the commands that can lower no time any more go.
     """
     known = users.select(F.col("id").alias("target_id"))
     usable = cut(
         commands.where("auth_ok").join(known, "target_id", "left_semi").select("seq", "admin_id", "target_id")
     )
     frontier = cut(users.where("admin").select(F.col("id").alias("user_id"), F.lit(-1).cast("bigint").alias("since")))
-    rounds = [frontier]
-
-    def earliest() -> DataFrame:
-        return reduce(DataFrame.unionByName, rounds).groupBy("user_id").agg(F.min("since").alias("since"))
-
+    since, n = frontier, 0
     while not frontier.isEmpty():
+        n += 1
         actors = frontier.select(F.col("user_id").alias("admin_id"), "since")
         granted = (
             usable.join(actors, "admin_id")
@@ -96,14 +92,20 @@ def admins_since(commands: DataFrame, users: DataFrame) -> DataFrame:
             .groupBy(F.col("target_id").alias("user_id"))
             .agg(F.min("seq").alias("since"))
         )
-        before = earliest().withColumnRenamed("since", "_was")
-        frontier = cut(
+        before = since.withColumnRenamed("since", "_was")
+        lowered = cut(
             granted.join(before, "user_id", "left").where("_was is null or since < _was").select("user_id", "since")
         )
-        rounds.append(frontier)
-        if len(rounds) == 16:
-            rounds = [cut(earliest())]
-    return earliest()
+        folded = cut(since.unionByName(lowered).groupBy("user_id").agg(F.min("since").alias("since")))
+        release(frontier, since)
+        frontier, since = lowered, folded
+        if n & (n - 1) == 0:
+            held = since.select(F.col("user_id").alias("target_id"), F.col("since").alias("_was"))
+            useful = usable.join(held, "target_id", "left").where("_was is null or seq < _was")
+            left = cut(useful.select("seq", "admin_id", "target_id"))
+            release(usable)
+            usable = left
+    return since
 
 
 def promotions(commands: DataFrame, users: DataFrame) -> DataFrame:

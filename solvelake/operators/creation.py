@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from solvelake.functions.common import fold, stable_id, stamp
 from solvelake.operators.joins import split_join
-from solvelake.session import cut
+from solvelake.session import cut, release
 
 
 def first_come(claims: DataFrame, left: str, right: str) -> DataFrame:
@@ -35,12 +35,16 @@ def first_come(claims: DataFrame, left: str, right: str) -> DataFrame:
         won = cut(open_.join(by_left, [left, "seq"]).join(by_right, [right, "seq"]).select("seq", left, right))
         taken.append(won)
         if len(taken) == 16:
-            taken = [cut(reduce(DataFrame.unionByName, taken))]
-        open_ = cut(
+            folded = cut(reduce(DataFrame.unionByName, taken))
+            release(*taken)
+            taken = [folded]
+        rest = cut(
             open_.join(won.select(left), left, "left_anti")
             .join(won.select(right), right, "left_anti")
             .select("seq", left, right)
         )
+        release(open_)
+        open_ = rest
     return reduce(DataFrame.unionByName, taken)
 
 

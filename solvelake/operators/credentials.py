@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from solvelake.functions.common import stable_id, stamp
 from solvelake.operators.joins import split_join
-from solvelake.session import cut
+from solvelake.session import cut, release
 
 KEY = ["user_id", "provider_name"]
 
@@ -37,9 +37,11 @@ def _chained(credentials: DataFrame, commands: DataFrame) -> DataFrame:
     )
     while not links.isEmpty():
         step = reached.join(links, "seq").select(F.col("next").alias("seq"))
-        reached = cut(reached.unionByName(step).distinct())
+        wider = cut(reached.unionByName(step).distinct())
         second = links.select(F.col("seq").alias("next"), F.col("next").alias("_far"))
-        links = cut(links.join(second, "next").select("seq", F.col("_far").alias("next")))
+        farther = cut(links.join(second, "next").select("seq", F.col("_far").alias("next")))
+        release(reached, links)
+        reached, links = wider, farther
     return reached
 
 
@@ -67,11 +69,15 @@ def _stepwise(credentials: DataFrame, commands: DataFrame) -> DataFrame:
         if len(accepted) == 16:
             accepted = [cut(reduce(DataFrame.unionByName, accepted))]
         reached = won.select("user_id", F.col("seq").alias("_at"))
-        open_ = cut(split_join(open_, reached, ["user_id"], "inner").where("seq > _at").select(*commands.columns))
+        rest = cut(split_join(open_, reached, ["user_id"], "inner").where("seq > _at").select(*commands.columns))
+        release(open_)
+        open_ = rest
         stored = won.select("user_id", F.col("new_provider").alias("provider_name"), F.col("new_sub").alias("sub"))
         left = open_.select("user_id").distinct()
-        now = now.join(stored.select(*KEY), KEY, "left_anti").unionByName(stored)
-        now = cut(now.join(left, "user_id", "left_semi"))
+        after = now.join(stored.select(*KEY), KEY, "left_anti").unionByName(stored)
+        after = cut(after.join(left, "user_id", "left_semi"))
+        release(now)
+        now = after
 
 
 def update_credentials(

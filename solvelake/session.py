@@ -52,6 +52,33 @@ def cut(df: DataFrame) -> DataFrame:
     The plan that goes on starts from files, so a lost executor costs no recomputation, and the sizes the planner sees
     are real ones.
     """
-    path = work_path(df.sparkSession, "cut")
+    spark = df.sparkSession
+    path = work_path(spark, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+_written: dict[str, set[str]] = {}
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these frames; no frame that still reads them may be used any more."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path is not None:
+            _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all that ``cut`` wrote in this application, once its results have been used."""
+    for path in list(_written.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
