@@ -23,13 +23,15 @@ class Index:
 
     Two signatures that differ in fewer than 2 * ``chunks`` symbols have, by the pigeonhole principle, a chunk with at
     most one differing symbol. So every signature is filed under each chunk with each one symbol left out, and all
-    such pairs meet. Pairs that meet are checked on their full sets if they differ in ``max_distance`` symbols at
-    most.
+    such pairs meet. Pairs that meet are checked on their full sets if they differ in at most ``max_distance``
+    symbols, and in ``max_finer`` of the ``finer`` symbols of their sketches.
     """
 
     chunks: int
     width: int
     max_distance: int
+    finer: int = 512
+    max_finer: int = 512
     block: int = 512
 
     @property
@@ -38,8 +40,8 @@ class Index:
 
 
 def index_for(percent: int, width: int = 6) -> Index:
-    """So many chunks that a pair just at the similarity meets in none in one of ten million cases, and a distance
-    six standard deviations above that of such a pair.
+    """So many chunks that a pair just at the similarity meets in none in one of ten million cases, and distances
+    six standard deviations above those of such a pair.
 
     At 85 %: 11 chunks; such pairs differ in 10 of 66 symbols on average, and none within 21 are lost.
     """
@@ -49,24 +51,34 @@ def index_for(percent: int, width: int = 6) -> Index:
     apart = 1 - j**width - width * (1 - j) * j ** (width - 1)
     chunks = max(2, math.ceil(math.log(1e-7) / math.log(apart))) if apart > 0 else 2
     n = chunks * width
-    return Index(chunks, width, math.ceil(n * (1 - j) + 6 * math.sqrt(n * j * (1 - j))))
+    most = lambda n: math.ceil(n * (1 - j) + 6 * math.sqrt(n * j * (1 - j)))
+    return Index(chunks, width, most(n), 512, most(512))
 
 
-def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7919)
+def _seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return (
         rng.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32),
         rng.integers(0, 2**31, n, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1),
     )
 
 
-def signature(shingles: np.ndarray, index: Index) -> bytes:
-    flips, factors = _seeds(index.symbols)
-    low = np.full(index.symbols, 2**32 - 1, np.uint32)
+def _min_hashes(shingles: np.ndarray, n: int, seed: int) -> np.ndarray:
+    flips, factors = _seeds(n, seed)
+    low = np.full(n, 2**32 - 1, np.uint32)
     parts = (shingles >> U(32)).astype(np.uint32)
-    for at in range(0, len(parts), 2048):
-        np.minimum(low, ((parts[at : at + 2048, None] ^ flips) * factors).min(axis=0), out=low)
-    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").tobytes()
+    for at in range(0, len(parts), 1024):
+        np.minimum(low, ((parts[at : at + 1024, None] ^ flips) * factors).min(axis=0), out=low)
+    return low * np.uint32(0x9E3779B1)
+
+
+def signature(shingles: np.ndarray, index: Index) -> bytes:
+    return (_min_hashes(shingles, index.symbols, 7919) >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def sketch(shingles: np.ndarray, index: Index) -> bytes:
+    """Further min-hashes, of 8 bits, that tell a pair's similarity more closely than its signatures."""
+    return (_min_hashes(shingles, index.finer, 104729) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -102,53 +114,44 @@ def signatures(docs: DataFrame, size: int, index: Index) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, sig binary")
 
 
-def chunk_keys(classes: DataFrame, index: Index) -> DataFrame:
-    """(``key``, ``rep``): each signature under each chunk with each one symbol left out."""
-    kind = dict(classes.dtypes)["rep"]
-    chunks, width = index.chunks, index.width
+def _symbols(column) -> np.ndarray:
+    return np.stack([np.frombuffer(x, "<u2") for x in column.to_pylist()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.stack([np.frombuffer(x, "<u2") for x in batch.column("sig").to_pylist()])
-            sig = sig.reshape(-1, chunks, width).astype(U) + U(1)
-            keys = np.empty((len(sig), chunks, width), U)
-            for gap in range(width):
-                acc = np.broadcast_to((np.arange(chunks) * width + gap).astype(U), sig.shape[:2]).copy()
-                for k in range(width):
-                    if k != gap:
-                        acc = acc * U(0xD6E8FEB86659FD93) + sig[:, :, k]
-                keys[:, :, gap] = mix(acc)
-            rep = batch.column("rep").take(pa.array(np.repeat(np.arange(len(sig)), chunks * width)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), rep], names=["key", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(run, f"key long, rep {kind}")
+def _keys(symbols: np.ndarray, index: Index) -> np.ndarray:
+    """Rows x chunks x left-out symbol: the key of each chunk without that symbol."""
+    chunks, width = index.chunks, index.width
+    parts = symbols.reshape(-1, chunks, width).astype(U) + U(1)
+    keys = np.empty(parts.shape, U)
+    for gap in range(width):
+        acc = np.broadcast_to((np.arange(chunks) * width + gap).astype(U), parts.shape[:2]).copy()
+        for k in range(width):
+            if k != gap:
+                acc = acc * U(0xD6E8FEB86659FD93) + parts[:, :, k]
+        keys[:, :, gap] = mix(acc)
+    return keys
 
 
-def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return (left != right).sum(axis=-1)
+def _first_slot(left: np.ndarray, right: np.ndarray, index: Index) -> np.ndarray:
+    """For pairs of signatures, the first of the slots (chunk * width + left-out symbol) in which they meet."""
+    differ = (left != right).reshape(-1, index.chunks, index.width)
+    chunk = (differ.sum(axis=2) <= 1).argmax(axis=1)
+    return chunk * index.width + differ[np.arange(len(differ)), chunk].argmax(axis=1)
 
 
-def near_signatures(pairs: DataFrame, classes: DataFrame, index: Index) -> DataFrame:
-    """The pairs (``a``, ``b``) whose signatures differ in at most ``max_distance`` symbols."""
+def chunk_keys(classes: DataFrame, index: Index) -> DataFrame:
+    """(``key``, ``rep``): each signature under each chunk with each one symbol left out."""
     kind = dict(classes.dtypes)["rep"]
-    right = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    left = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (
-                np.stack([np.frombuffer(s, "<u2") for s in batch.column(c).to_pylist()]) for c in ("sig_a", "sig_b")
-            )
-            near = pa.array(_distances(x, y) <= index.max_distance)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(near), batch.column("b").filter(near)], names=["a", "b"]
-            )
+            keys = _keys(_symbols(batch.column("sig")), index)
+            rep = batch.column("rep").take(pa.array(np.repeat(np.arange(len(keys)), index.symbols)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), rep], names=["key", "rep"])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return classes.select("rep", "sig").mapInArrow(run, f"key long, rep {kind}")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -178,49 +181,68 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return checked.filter(100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b").distinct()
 
 
-def _unsettled(buckets: DataFrame, found: DataFrame, classes: DataFrame, index: Index) -> DataFrame:
-    """Pairs of one bucket that the first round left apart, with near signatures.
+def _sketched(docs: DataFrame, reps: DataFrame, size: int, index: Index) -> DataFrame:
+    kind = dict(reps.dtypes)["rep"]
 
-    The first round compared every member with the smallest. What is left: other members of one bucket that are in
-    different components by now. Buckets with the same members count once. A large bucket is dealt into blocks, and
-    each two blocks meet in a group of their own, so no group grows with its bucket.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [sketch(s, index) for s in shingle_sets(batch.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketches, pa.binary())], names=["rep", "sketch"])
+
+    wanted = told(reps.withColumnRenamed("rep", "doc_id"))
+    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, f"rep {kind}, sketch binary")
+
+
+def _unsettled(
+    buckets: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, size: int, index: Index
+) -> DataFrame:
+    """Pairs that meet in the index, are in different components by now, and are near by signature and sketch.
+
+    A pair that meets in many buckets counts in the first of them only. A large bucket is dealt into blocks, and each
+    two blocks meet in a group of their own, so no group grows with its bucket.
     """
     kind = dict(classes.dtypes)["rep"]
     names = found.select(F.col("id").alias("rep"), "component")
-    rest = buckets.filter("rep <> pivot").select("key", "rep").join(names, "rep", "left")
+    rest = buckets.select("key", "rep").join(names, "rep", "left")
     rest, _ = store(rest.select("key", "rep", F.coalesce("component", "rep").alias("component")), "rest")
-    per_key = (
+    mixed = (
         rest.groupBy("key")
-        .agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
-            F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"),
-        )
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
         .filter("low <> high")
+        .select("key", "n")
     )
-    mixed = per_key.groupBy("low", "high", "n", "members").agg(F.min("key").alias("key")).select("key", "n")
-    rows = split_join(rest, mixed, ["key"], "inner").join(classes.select("rep", "sig"), "rep")
+    open_, _ = store(split_join(rest, mixed, ["key"], "inner"), "open")
+    sketches = _sketched(docs, open_.select("rep").distinct(), size, index)
+    known = classes.select("rep", "sig").join(sketches, "rep").dropDuplicates(["rep"])
+    rows = open_.join(known, "rep")
     blocks = F.ceil(F.col("n") / index.block).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select(
         "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
-        (F.col("own") <= F.col("other")).alias("first"), "rep", "component", "sig",
+        (F.col("own") <= F.col("other")).alias("first"), "rep", "component", "sig", "sketch",
     )
 
     def compare(group: pa.Table) -> pa.Table:
-        sig = np.stack([np.frombuffer(s, "<u2") for s in group.column("sig").to_pylist()])
-        _, component = np.unique(group.column("component").to_numpy(zero_copy_only=False), return_inverse=True)
-        first = group.column("first").to_numpy(zero_copy_only=False)
+        sig = _symbols(group.column("sig"))
+        fine = np.stack([np.frombuffer(x, np.uint8) for x in group.column("sketch").to_pylist()])
+        slot = int((_keys(sig[:1], index).reshape(-1).view(np.int64) == group.column("key")[0].as_py()).argmax())
+        _, component = np.unique(group.column("component").to_numpy(), return_inverse=True)
+        first = group.column("first").to_numpy()
         same = group.column("x")[0].as_py() == group.column("y")[0].as_py()
         everywhere = np.arange(len(sig))
-        a, b = [], []
         # Of a pair across components, one member at least is outside the largest component.
-        for i in np.flatnonzero(component != np.bincount(component).argmax()).tolist():
+        largest = np.bincount(component).argmax()
+        a, b = [], []
+        for i in np.flatnonzero(component != largest).tolist():
             right = everywhere if same else np.flatnonzero(first != first[i])
-            right = right[component[right] != component[i]]
-            near = right[_distances(sig[right], sig[i]) <= index.max_distance]
-            b.append(near)
-            a.append(np.full(len(near), i))
+            right = right[(component[right] != component[i]) & ((component[right] == largest) | (right > i))]
+            right = right[(sig[right] != sig[i]).sum(axis=1) <= index.max_distance]
+            right = right[(fine[right] != fine[i]).sum(axis=1) <= index.max_finer]
+            if len(right):
+                right = right[_first_slot(sig[right], np.broadcast_to(sig[i], (len(right), index.symbols)), index) == slot]
+            b.append(right)
+            a.append(np.full(len(right), i))
         reps = group.column("rep").combine_chunks()
         at = lambda x: reps.take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
         return pa.table({"a": at(a), "b": at(b)})
@@ -229,7 +251,9 @@ def _unsettled(buckets: DataFrame, found: DataFrame, classes: DataFrame, index:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, index: Index | None = None) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, percent: int = 80, size: int = 5, index: Index | None = None, firsts: int = 5
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents whose sets of ``size``-word shingles have ``percent`` of all their shingles in common are linked; a
@@ -238,8 +262,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, index: In
     without a doc_id have a null component and are kept.
 
     Equal sets are one class from the start, so copies cost one row each. Classes meet in the index (see ``Index``).
-    Round one confirms each bucket's smallest member against the others. Round two compares the other members of one
-    bucket where they are still in different components, so a group of near copies is never expanded into its pairs.
+    Round one confirms each class against the ``firsts`` bucket leaders that it meets most often. Round two compares
+    members of one bucket where they are still in different components, so a group of near copies is not expanded
+    into its pairs.
     """
     index = index or index_for(percent)
     docs = docs.select("doc_id", "text")
@@ -251,10 +276,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, index: In
     keys = chunk_keys(classes, index)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1").drop("n")
     buckets, _ = store(split_join(keys, shared, ["key"], "inner"), "buckets")
-    stars = buckets.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    near, _ = store(near_signatures(stars, classes, index), "near")
-    first, _ = store(confirmed(near, docs, size, percent), "links")
-    rest, _ = store(_unsettled(buckets, components(first), classes, index), "rest-pairs")
+    met = buckets.filter("rep <> pivot").groupBy("rep", "pivot").agg((-F.count(F.lit(1))).alias("n"))
+    often = F.slice(F.sort_array(F.collect_list(F.struct("n", "pivot"))), 1, firsts)  # of one per key of a class at most
+    stars = met.groupBy("rep").agg(often.alias("p")).select(F.explode("p.pivot").alias("a"), F.col("rep").alias("b"))
+    first, _ = store(confirmed(stars, docs, size, percent), "links")
+    rest, _ = store(_unsettled(buckets, components(first), classes, docs, size, index), "rest-pairs")
     second, _ = store(confirmed(rest, docs, size, percent), "links")
     copies = (
         usable.join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"])
