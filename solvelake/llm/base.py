@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import pathlib
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +22,30 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once per application, by a file in the shared work folder."""
+    app = spark.sparkContext.applicationId
+    top = pathlib.Path(__file__).parents[1]
+    if app in _shipped or not top.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_root(spark)}/package-{uuid.uuid4().hex}/solvelake.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.toString())
+    _shipped.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL options that the operators rely on."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return tune(spark)
 

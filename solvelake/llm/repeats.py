@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.llm.base import parts_for, row_key, store, told
+from solvelake.llm.hashing import U, mix
 
 SHARED, LATER = 0, 1
 #: Occurrences that a task gathers before it packs them.
 GATHER = 1 << 20
 
-#: place: position << 1 | has ext. Sorted by nothing in particular; columns of one length.
-OCCURRENCES = np.dtype([("key", "<u4"), ("ext", "<u4"), ("doc", "<u2"), ("place", "<u4")])
+#: A packed occurrence: key, ext, document, and place << 2 | shared << 1 | has ext; column after column.
+ROW = ("<u4", "<u4", "<u2", "<u4")
+ROW_BYTES = 14
 
 #: (row of the batch, position, key, ext, has ext) arrays; no ext at all as (None, None). Classes are told apart by the
 #: part, the low half of the key, and the low half of ext.
@@ -88,69 +90,104 @@ def settle(
     return later, shared
 
 
-def _answers(docs: np.ndarray, tks: np.ndarray, doc: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, tk, marks) for each document that has marks; ``doc`` indexes the documents."""
-    order = np.argsort(doc, kind="stable")
-    starts = np.flatnonzero(_first(doc[order])) if len(order) else []
-    for a, b in zip(starts, np.append(starts[1:], len(order)) if len(order) else [], strict=True):
-        d = doc[order[a]]
-        yield int(docs[d]), int(tks[d]), marks[order[a:b]].tobytes()
+ANSWERS = "bucket int, docs binary, tks binary, counts binary, marks binary"
+
+
+def answer_batch(ids: np.ndarray, tks: np.ndarray, doc: np.ndarray, marks: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Marks (64 bits each) of documents, packed in one row for each bucket of documents; ``doc`` indexes them."""
+    bucket = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)[doc]
+    order = np.lexsort((doc, bucket))
+    edges = np.flatnonzero(_first(bucket[order])) if len(order) else np.zeros(0, np.int64)
+    out: list[list] = [[], [], [], [], []]
+    for a, b in zip(edges, np.append(edges[1:], len(order)), strict=False):
+        rows = order[a:b]
+        starts = np.flatnonzero(_first(doc[rows]))
+        own = doc[rows[starts]]
+        values = (
+            int(bucket[rows[0]]), ids[own].tobytes(), tks[own].tobytes(),
+            np.diff(np.append(starts, len(rows))).astype("<u4").tobytes(), marks[rows].astype("<u8").tobytes(),
+        )
+        for column, value in zip(out, values, strict=True):
+            column.append(value)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]],
+        names=["bucket", "docs", "tks", "counts", "marks"],
+    )
+
 
+def per_document(answers: DataFrame) -> DataFrame:
+    """``doc_id``, ``tk`` and all ``marks`` of each document, from packed answers."""
+    parts = parts_for(answers.sparkSession)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tks, counts, marks = [], [], [], []
+        for batch in batches:
+            for column, into, kind in (("docs", ids, "<i8"), ("tks", tks, "<i8"), ("counts", counts, "<u4"), ("marks", marks, "<u8")):
+                into += [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
+        if not ids:
+            return
+        ids, tks, counts, marks = (np.concatenate(x) for x in (ids, tks, counts, marks))
+        first = np.cumsum(counts, dtype=np.int64) - counts
+        order = np.lexsort((tks, ids))
+        starts = np.flatnonzero(_first(ids[order]) | _first(tks[order]))
+        rows: list[tuple[int, int, bytes]] = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            own = order[a:b]
+            rows.append((int(ids[own[0]]), int(tks[own[0]]), b"".join(marks[first[k] : first[k] + counts[k]].tobytes() for k in own)))
+            if len(rows) >= 2048:
+                yield _document_batch(rows)
+                rows = []
+        if rows:
+            yield _document_batch(rows)
 
-ANSWERS = "doc_id long, tk long, marks binary"
+    return answers.repartitionById(parts, "bucket").mapInArrow(gather, "_d long, _t long, _m binary")
 
 
-def _answer_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+def _document_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    ids, tks, marks = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
-        names=["doc_id", "tk", "marks"],
+        [pa.array(ids, pa.int64()), pa.array(tks, pa.int64()), pa.array(marks, pa.binary())], names=["_d", "_t", "_m"]
     )
 
 
-def _pack(gathered: list, parts: int, within: bool) -> Iterator[pa.RecordBatch]:
+def _pack(gathered: list, parts: int, within: bool) -> pa.RecordBatch:
     ids, tks = (np.concatenate([g[k] for g in gathered]) for k in (0, 1))
     base = np.cumsum([0, *[len(g[0]) for g in gathered[:-1]]])
     doc = np.concatenate([g[2] + b for g, b in zip(gathered, base, strict=True)])
     place, key, ext, has = (np.concatenate([g[k] for g in gathered]) for k in (3, 4, 5, 6))
     later, shared = settle(key, ext, has, ids[doc], tks[doc], place, within)
-    out: list[list] = [[], [], [], [], [], []]
-
-    def add(part, d, t, rows, own, marks):
-        for column, value in zip(out, (part, d, t, rows, own, marks), strict=True):
-            column.append(value)
-
-    # Settled here: occurrences with an earlier one in this task. Their part need not see them.
-    for d, t, marks in _answers(ids, tks, doc[later], (place[later] << 1 | LATER).astype(np.uint32)):
-        add(d % parts, None, None, None, (d, t), marks)
+    # Settled here: occurrences with an earlier one in this task. Their part need not see them; it hands the answer on.
+    settled = answer_batch(ids, tks, doc[later], place[later].astype(np.uint64) << U(1) | U(LATER), parts)
+    rows = [dict(zip(settled.schema.names, r, strict=True)) | {"part": r[0]} for r in zip(*settled.to_pydict().values(), strict=True)]
     # A key that one task finds shared stays so: the mark travels with the occurrence.
     go = np.flatnonzero(~later)
-    go = go[np.argsort((key[go] >> np.uint64(32)) % np.uint64(parts), kind="stable")]
-    to = ((key[go] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    to = ((key[go] >> U(32)) % U(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    go, to = go[order], to[order]
     edges = np.searchsorted(to, np.arange(parts + 1))
     for part in np.unique(to).tolist():
-        rows = go[edges[part] : edges[part + 1]]
-        own, index = np.unique(doc[rows], return_inverse=True)
-        packed = np.empty(len(rows), OCCURRENCES)
-        packed["key"], packed["ext"] = key[rows].astype(np.uint32), ext[rows].astype(np.uint32)
-        packed["doc"] = index
-        packed["place"] = place[rows] << 2 | shared[rows] << 1 | has[rows]
-        columns = b"".join(packed[c].tobytes() for c in packed.dtype.names)
-        add(part, ids[own].tobytes(), tks[own].tobytes(), columns, None, None)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()),
-            pa.array(out[3], pa.binary()), pa.array([x and x[0] for x in out[4]], pa.int64()),
-            pa.array([x and x[1] for x in out[4]], pa.int64()), pa.array(out[5], pa.binary()),
-        ],
-        names=["part", "docs", "tks", "rows", "doc_id", "tk", "marks"],
-    )
+        at = go[edges[part] : edges[part + 1]]
+        own, index = np.unique(doc[at], return_inverse=True)
+        packed = (
+            key[at].astype("<u4"), ext[at].astype("<u4"), index.astype("<u2"),
+            (place[at] << 2 | shared[at] << 1 | has[at]).astype("<u4"),
+        )
+        rows.append(
+            {"part": part, "docs": ids[own].tobytes(), "tks": tks[own].tobytes(), "rows": b"".join(c.tobytes() for c in packed)}
+        )
+    return pa.RecordBatch.from_pylist(rows, SENT)
+
+
+SENT = pa.schema(
+    [("part", pa.int32()), ("docs", pa.binary()), ("tks", pa.binary()), ("rows", pa.binary()),
+     ("bucket", pa.int32()), ("counts", pa.binary()), ("marks", pa.binary())]
+)
 
 
 def marked(table: DataFrame, find: Find, within: bool) -> DataFrame:
-    """``doc_id``, ``tk``, ``marks``: the marked places of documents (place << 1 | mark), several rows per document.
+    """Packed answers (see ``per_document``): the marked places of documents, place << 1 | mark.
 
-    ``table`` has doc_id, tk and what ``find`` reads. Positions stay below 2**29.
+    ``table`` has doc_id, tk and what ``find`` reads. Positions stay below 2**30.
     """
     parts = parts_for(table.sparkSession)
 
@@ -168,47 +205,38 @@ def marked(table: DataFrame, find: Find, within: bool) -> DataFrame:
                 held.append((ids[own], tks[own], index, place.astype(np.uint32), key, ext, has))
                 n, docs = n + len(row), docs + len(own)
                 if n >= GATHER or docs > 30_000:
-                    yield from _pack(held, parts, within)
+                    yield _pack(held, parts, within)
                     held, n, docs = [], 0, 0
         if held:
-            yield from _pack(held, parts, within)
+            yield _pack(held, parts, within)
 
     sent = table.mapInArrow(
-        gather, "part int, docs binary, tks binary, rows binary, doc_id long, tk long, marks binary"
+        gather, "part int, docs binary, tks binary, rows binary, bucket int, counts binary, marks binary"
     ).repartitionById(parts, "part")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tks, rows, base, settled = [], [], [], 0, []
+        ids, tks, rows, base = [], [], [], 0
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["rows"] is None:
-                    settled.append((r["doc_id"], r["tk"], r["marks"]))
-                    if len(settled) >= 4096:
-                        yield _answer_batch(settled)
-                        settled = []
-                    continue
-                ids.append(np.frombuffer(r["docs"], np.int64))
-                tks.append(np.frombuffer(r["tks"], np.int64))
-                n = len(r["rows"]) // OCCURRENCES.itemsize
-                at, columns = 0, []
-                for c in OCCURRENCES.names:
-                    kind = OCCURRENCES[c]
+            done = batch.filter(batch.column("bucket").is_valid())
+            if done.num_rows:
+                yield done.select(["bucket", "docs", "tks", "counts", "marks"])
+            for r in batch.filter(batch.column("bucket").is_null()).to_pylist():
+                ids.append(np.frombuffer(r["docs"], "<i8"))
+                tks.append(np.frombuffer(r["tks"], "<i8"))
+                n, at, columns = len(r["rows"]) // ROW_BYTES, 0, []
+                for kind in ROW:
                     columns.append(np.frombuffer(r["rows"], kind, n, at))
-                    at += n * kind.itemsize
-                rows.append((columns[0], columns[1], columns[2].astype(np.int32) + base, columns[3]))
+                    at += columns[-1].nbytes
+                columns[2] = columns[2].astype(np.int32) + base
+                rows.append(columns)
                 base += len(ids[-1])
-        if settled:
-            yield _answer_batch(settled)
         if rows:
             all_ids, all_tks = np.concatenate(ids), np.concatenate(tks)
             key, ext, doc, packed = (np.concatenate([x[k] for x in rows]) for k in range(4))
             place = packed >> 2
             later, shared = settle(key, ext, packed & 1 == 1, all_ids[doc], all_tks[doc], place, within)
             found = np.flatnonzero(later | shared | (packed >> 1 & 1 == 1))
-            marks = (place[found] << 1 | later[found]).astype(np.uint32)
-            answers = list(_answers(all_ids, all_tks, doc[found], marks))
-            for a in range(0, len(answers), 4096):
-                yield _answer_batch(answers[a : a + 4096])
+            yield answer_batch(all_ids, all_tks, doc[found], place[found].astype(np.uint64) << U(1) | later[found], parts)
 
     return sent.mapInArrow(answer, ANSWERS)
 
@@ -219,12 +247,7 @@ def with_answers(table: DataFrame, answers: DataFrame, name: str, whole: bool =
     The answers of one document are bounded by its length. For the inner form, texts without answers are not shuffled
     if the others are few enough (see ``told``).
     """
-    per_doc, _ = store(
-        answers.groupBy(F.col("doc_id").alias("_d"), F.col("tk").alias("_t")).agg(
-            F.array_join(F.transform(F.collect_list("marks"), F.hex), "").alias("_m")
-        ).withColumn("_m", F.unhex("_m")),
-        "answers",
-    )
+    per_doc, _ = store(per_document(answers), "answers")
     same = [F.col("doc_id") == F.col("_d"), F.col("tk") == F.col("_t")]
     if not whole:
         table = table.join(told(per_doc.select("_d", "_t")), same, "left_semi")
@@ -234,8 +257,8 @@ def with_answers(table: DataFrame, answers: DataFrame, name: str, whole: bool =
 
 def unpack(marks: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and whether they are ``LATER``."""
-    raw = np.frombuffer(marks or b"", "<u4")
-    return (raw >> 1).astype(np.int64), raw & 1 == LATER
+    raw = np.frombuffer(marks or b"", "<u8")
+    return (raw >> U(1)).astype(np.int64), raw & U(1) == LATER
 
 
 def runs_of(flags: np.ndarray, width: int) -> np.ndarray:

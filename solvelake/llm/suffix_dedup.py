@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from solvelake.llm.base import parts_for, row_key, store
 from solvelake.llm.hashing import _BASE, _INV, _INVERSE, _POW, BYTES, CHUNK, U, _powers, mix, text_pieces
-from solvelake.llm.repeats import ANSWERS, _answer_batch, _answers, _first, marked, named, runs_of, unpack, with_answers
+from solvelake.llm.repeats import ANSWERS, _first, answer_batch, marked, named, runs_of, unpack, with_answers
 
 PIECE = 1 << 18
 TOP = np.uint64(2**64 - 1)
@@ -229,7 +229,7 @@ def _sorted_runs(held: list, names: list, short: int, parts: int) -> pa.RecordBa
     )
 
 
-def _merged(short: int, cap: int):
+def _merged(short: int, cap: int, parts: int):
     """Merge a part's runs; answer each document with (place << 8 | bytes shared) of its suffixes.
 
     A suffix shares ``cap`` + 1 if all its ``cap`` bytes also start earlier, else as many bytes as it has in common
@@ -283,9 +283,7 @@ def _merged(short: int, cap: int):
         value = np.where(later & (whole[group] == cap), cap + 1, most[group])
         found = np.flatnonzero(value >= short)
         marks = place[found] << 8 | value[found]
-        answers = [(d, t, m) for d, t, m in _answers(ids, tks, doc[found], marks.astype("<u8"))]
-        for a in range(0, len(answers), 4096):
-            yield _answer_batch(answers[a : a + 4096])
+        yield answer_batch(ids, tks, doc[found], marks, parts)
 
     return run
 
@@ -325,7 +323,7 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     held, _ = store(with_answers(table, marked(table, _find_anchors(length), True), "marks"), "anchored")
     runs = held.mapInArrow(_runs(length // 2, cap, parts), RUNS).repartitionById(parts, "part")
     placed, _ = store(
-        with_answers(held.drop("marks"), runs.mapInArrow(_merged(length // 2, cap), ANSWERS), "sorted"), "sorted"
+        with_answers(held.drop("marks"), runs.mapInArrow(_merged(length // 2, cap, parts), ANSWERS), "sorted"), "sorted"
     )
 
     def find(batch: pa.RecordBatch):
