@@ -16,7 +16,7 @@ def sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     """
     rows = rows.filter(F.col(label).isin(0, 1))
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share: Column = F.lit(0.0)
+    share: Column = F.lit(1.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == value, F.lit(min(1.0, per_class / n))).otherwise(share)
     at = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) + 0.5) / (1 << 30)

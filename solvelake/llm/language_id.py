@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +13,9 @@ from pyspark.sql import functions as F
 from solvelake.llm.base import held_out
 from solvelake.llm.labels import trainable
 
-LETTER = re.compile(r"[^\W\d_]")
-CHARS = 1 << 20
+#: Characters of text that are taken together. A longer text is counted segment by segment, without the n-grams that
+#: would cross from one into the next.
+CHARS = 1 << 18
 
 
 def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,11 +24,11 @@ def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple
     Characters other than letters count as one kind of gap; n-grams of gaps only, or over the end of a text, are left
     out.
     """
-    joined = "\0".join(t.lower() for t in texts) + "\0"
+    joined = "\0".join(t.lower().replace("\0", " ") for t in texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.flatnonzero(codes == 0)
     unique = np.unique(codes)
-    letters = np.array([c if LETTER.match(chr(c)) else 32 for c in unique.tolist()], np.uint32)
+    letters = np.array([c if chr(c).isalpha() else 32 for c in unique.tolist()], np.uint32)
     letters[unique == 0] = 0
     codes = letters[np.searchsorted(unique, codes)].astype(np.uint64)
     text = np.searchsorted(ends, np.arange(len(codes)), "left")
@@ -53,16 +53,21 @@ def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def text_groups(texts: list[str], limit: int = CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of about ``limit`` characters."""
-    first, size = 0, 0
+def segments(texts: list[str], limit: int = CHARS) -> Iterator[tuple[list[int], list[str]]]:
+    """Runs of about ``limit`` characters: texts, or segments of long ones, with the row of each."""
+    rows: list[int] = []
+    parts: list[str] = []
+    size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield first, texts[first:i]
-            first, size = i, 0
-        size += len(t) + 1
-    if first < len(texts):
-        yield first, texts[first:]
+        for at in range(0, max(len(t), 1), limit):
+            if parts and size + len(t) - at > limit:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+            rows.append(i)
+            parts.append(t[at : at + limit])
+            size += len(parts[-1]) + 1
+    if parts:
+        yield rows, parts
 
 
 @dataclass
@@ -91,15 +96,16 @@ def fit(
         n: dict[str, int] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for first, texts in text_groups(batch.column("text").to_pylist()):
+            for name in langs:
+                n[name] = n.get(name, 0) + 1
+            for rows, texts in segments(batch.column("text").to_pylist()):
                 buckets, owner = ngram_buckets(texts, orders, bits)
-                names = sorted({*langs[first : first + len(texts)]})
+                names = sorted({langs[r] for r in rows})
                 index = {x: i for i, x in enumerate(names)}
-                own = np.array([index[x] for x in langs[first : first + len(texts)]])
+                own = np.array([index[langs[r]] for r in rows])
                 flat = np.bincount((own[owner] << bits) + buckets, minlength=len(names) << bits)
                 for name, counts in zip(names, flat.reshape(len(names), -1), strict=True):
                     totals[name] = totals.get(name, 0) + counts
-                    n[name] = n.get(name, 0) + int((own == index[name]).sum())
         for name, counts in totals.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -125,15 +131,17 @@ def fit(
 
 
 def log_likelihoods(model: LanguageModel, texts: list[str]) -> np.ndarray:
-    """Texts x languages: sparse counts of a batch's n-grams, times the matrix."""
+    """Texts x languages: sparse counts of the n-grams of some texts at a time, times the matrix."""
     out = np.tile(model.log_priors, (len(texts), 1))
-    buckets, owner = ngram_buckets(texts, model.orders, model.bits)
-    if len(buckets):
+    for rows, parts in segments(texts):
+        buckets, owner = ngram_buckets(parts, model.orders, model.bits)
+        if not len(buckets):
+            continue
         cell, times = np.unique((owner << model.bits) + buckets, return_counts=True)
         row, column = cell >> model.bits, cell & ((1 << model.bits) - 1)
         starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         scores = model.log_probs[column].astype(np.float64) * times[:, None]
-        out[row[starts]] += np.add.reduceat(scores, starts, axis=0)
+        np.add.at(out, np.array(rows)[row[starts]], np.add.reduceat(scores, starts, axis=0))
     return out
 
 
@@ -150,15 +158,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         model = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            known = [i for i, t in enumerate(texts) if t and model.languages and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if t and model.languages and any(map(str.isalpha, t))]
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
-            for first, group in text_groups([texts[i] for i in known]):
-                logs = log_likelihoods(model, group)
+            if known:
+                logs = log_likelihoods(model, [texts[i] for i in known])
                 best = logs.argmax(axis=1)
                 top = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                for k in range(len(group)):
-                    at = known[first + k]
-                    names[at], scores[at] = model.languages[best[k]], top[k]
+                for i, b, p in zip(known, best.tolist(), top.tolist(), strict=True):
+                    names[i], scores[i] = model.languages[b], p
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)],
                 names=["doc_id", "lang_pred", "score"],

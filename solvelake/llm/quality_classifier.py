@@ -59,6 +59,14 @@ def _per_document(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[offsets])
 
 
+def byte_counts(data: np.ndarray) -> np.ndarray:
+    """How often each byte occurs; a long text goes part by part."""
+    out = np.zeros(256)
+    for at in range(0, len(data), 1 << 20):
+        out += np.bincount(data[at : at + (1 << 20)], minlength=256)
+    return out
+
+
 def text_features(column: pa.Array) -> np.ndarray:
     """Rows x ``FEATURES``: counts, shares and repetition of each text. A text without words has zeros."""
     out = np.zeros((len(column), len(FEATURES)))
@@ -71,10 +79,8 @@ def text_features(column: pa.Array) -> np.ndarray:
         mean = _per_document(lengths, first) / some
         spread = np.sqrt(np.maximum(_per_document(lengths**2, first) / some - mean**2, 0))
         columns = [np.log1p(words), mean, spread]
-        for kind in KINDS.values():
-            table = np.zeros(256)
-            table[list(kind)] = 1
-            columns.append(_per_document(table[data], offsets) / size)
+        counts = np.stack([byte_counts(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        columns += [counts[:, list(kind)].sum(axis=1) / size for kind in KINDS.values()]
         hashes = span_hashes(data, starts, ends, BYTES_LOWER)
         fives = grams(hashes, 5)
         breaks = np.flatnonzero(data == 10)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from solvelake.llm.base import held_out, store
 from solvelake.llm.labels import sample, trainable
 
 GROUP_CHARS, GROUP_TEXTS = 1 << 18, 64
+SPACE = re.compile(r"\s")
 
 
 @dataclass
@@ -40,6 +42,17 @@ class ToxicityModel:
     settings: Settings = field(default_factory=Settings)
 
 
+def _cut(text: str) -> list[str]:
+    """The text in parts of about ``GROUP_CHARS`` characters, cut at white space where there is some."""
+    parts, at = [], 0
+    while len(text) - at > GROUP_CHARS:
+        gap = SPACE.search(text, at + GROUP_CHARS, at + 2 * GROUP_CHARS)
+        end = gap.end() if gap else at + 2 * GROUP_CHARS
+        parts.append(text[at:end])
+        at = end
+    return [*parts, text[at:]]
+
+
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     first, size = 0, 0
     for i, t in enumerate(texts):
@@ -57,6 +70,10 @@ def presence(texts: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarr
     N-grams are of lower-cased words with a space on either side, and don't go beyond them.
     """
     bits = settings.bits
+    if len(texts) == 1 and len(texts[0]) > 2 * GROUP_CHARS:
+        found = [presence([part], settings)[1] for part in _cut(texts[0])]
+        bucket = np.unique(np.concatenate(found))
+        return np.zeros(len(bucket), np.int64), bucket
     joined = "\0".join(" " + " ".join(t.lower().replace("\0", " ").split()) + " " for t in texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     stop = codes == 0
