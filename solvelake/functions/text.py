@@ -41,6 +41,7 @@ def shortened(col: Column | str, max_len: int) -> Column:
 def first_blood_message(chall: Column | str, team: Column | str, user: Column | str) -> Column:
     """Announcement of a first solver; backticks in the user and team names become apostrophes."""
     plain_user, plain_team = (F.translate(_c(c), "`", "'") for c in (user, team))
+    # The words of the announcement.
     return F.concat(
         F.lit("First :drop_of_blood: by `"), plain_user, F.lit("` from `"), plain_team,
         F.lit("` on challenge `"), _c(chall), F.lit("`!"),
@@ -54,6 +55,7 @@ def staff_alert(level: Column, message: Column, to_writers: Column, writer_role:
         label = F.when(level == name, text).otherwise(label)
     admins = F.lit(f"<@&{admin_role}> ")
     mentions = F.when(to_writers, F.concat(F.lit(f"<@&{writer_role}> "), admins)).otherwise(admins)
+    # Fixed value: the heading of the urgency.
     return F.concat_ws("\n", F.lit(RULE), F.concat(F.lit("# Urgency: "), label), mentions, message)
 
 
@@ -153,6 +155,7 @@ def deploy_error_body(kind: Column, body: Column) -> Column:
 
 
 def notify_error_body(code: Column, status_message: Column, body: Column) -> Column:
+    # Fixed value: the message, as in the two bodies below.
     return F.to_json(
         F.struct(
             F.lit("failed to send discord message").alias("message"),

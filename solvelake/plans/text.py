@@ -240,6 +240,7 @@ def errors(spark, sf):
     )
 
 
+# The texts in this SQL and below are the fixed values of functions/text.py.
 @query(
     "error_bodies",
     """
