@@ -64,9 +64,9 @@ def top_teams_history(
     teams: DataFrame, ledger: DataFrame, challenges: DataFrame, limit: int, start: str
 ) -> DataFrame:
     """Initial score at ``start`` and one entry per later counted solve for each top team."""
-    # At most MAX_TEAMS ids, so the broadcast is bounded.
-    ids = F.broadcast(top_teams(teams, limit).select(F.col("id").alias("team_id")))
-    own = ledger.join(ids, "team_id", "left_semi")
+    # At most MAX_TEAMS ids, so the broadcast is bounded. Both are stored, since each is used several times.
+    ids = F.broadcast(cut(top_teams(teams, limit).select(F.col("id").alias("team_id"))))
+    own = cut(ledger.join(ids, "team_id", "left_semi"))
     return scores.initial_scores(ids, own, challenges, start).unionByName(
         scores.score_history(own, challenges, start)
     )

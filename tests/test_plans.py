@@ -128,7 +128,7 @@ def test_limit_is_checked_before_any_plan():
         leaderboard.top_teams(None, 101)
 
 
-@pytest.mark.parametrize(("name", "scans"), [("orphans", 22), ("cascade_delete", 16), ("attempt_batch", 10)])
+@pytest.mark.parametrize(("name", "scans"), [("orphans", 22), ("cascade_delete", 16), ("attempt_batch", 10), ("top_teams_history", 9)])
 def test_few_scans(spark, name, scans):
     """Children are read once, whatever the number of their parents, and deleted sets are written once."""
     assert plan(QUERIES[name](spark, SMALL)).count("FileScan") <= scans
