@@ -41,7 +41,7 @@ class Index:
 
 def index_for(percent: int, width: int = 6) -> Index:
     """So many chunks that a pair just at the similarity meets in none in one of ten million cases, and distances
-    six standard deviations above those of such a pair.
+    5.2 standard deviations above those of such a pair, which is as rare.
 
     At 85 %: 11 chunks; such pairs differ in 10 of 66 symbols on average, and none within 21 are lost.
     """
@@ -51,7 +51,7 @@ def index_for(percent: int, width: int = 6) -> Index:
     apart = 1 - j**width - width * (1 - j) * j ** (width - 1)
     chunks = max(2, math.ceil(math.log(1e-7) / math.log(apart))) if apart > 0 else 2
     n = chunks * width
-    most = lambda n: math.ceil(n * (1 - j) + 6 * math.sqrt(n * j * (1 - j)))
+    most = lambda n: math.ceil(n * (1 - j) + 5.2 * math.sqrt(n * j * (1 - j)))
     return Index(chunks, width, most(n), 512, most(512))
 
 
@@ -160,7 +160,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     Sets are made again, for documents that are in a pair only.
     """
     kind = dict(pairs.dtypes)["a"]
-    wanted = told(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    wanted = told(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
