@@ -11,7 +11,6 @@ from solvelake.functions import text
 from solvelake.functions.common import epoch, fold, stable_id
 from solvelake.operators import catalog, ledger, scores, upserts
 from solvelake.plans.access import BATCH, batch
-from solvelake.plans.leaderboard import BLOODS, scored_teams
 from solvelake.plans.registry import query
 from solvelake.plans.text import BODIES, bodies
 from solvelake.schemas import LINK_TYPES
