@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import SPACES, covered, let, store, windows, words_of
+from solvelake.llm.base import SPACES, covered, let, store, told, windows, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -97,7 +97,7 @@ def quality_rules(docs: DataFrame, host: str = "source", max_host_failure: float
     narrow = document_rules(docs.select("doc_id", F.col(host).alias("host"), "text")).drop("text")
     rules, _ = store(narrow, "rules")
     verdicts = host_verdicts(rules, "host", max_host_failure)
-    bad = verdicts.filter("host_rejected").select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
+    bad = told(verdicts.filter("host_rejected").select(F.col("host").alias("_host"), F.lit(True).alias("_bad")))
     joined = rules.join(bad, rules["host"].eqNullSafe(F.col("_host")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("_bad").isNull()).drop("_host", "_bad")
 
@@ -109,8 +109,7 @@ def keep_documents(docs: DataFrame, host: str = "source", max_host_failure: floa
     ).select("_row", "base_failed")
     marked = marked.withColumn("_host", F.col(f"_row.{host}"))
     marked, _ = store(marked, "ruled")
-    rejected = host_verdicts(marked, "_host", max_host_failure).filter("host_rejected").select(
-        F.col("host").alias("_bad_host")
-    )
+    verdicts = host_verdicts(marked, "_host", max_host_failure)
+    rejected = told(verdicts.filter("host_rejected").select(F.col("host").alias("_bad_host")))
     kept = marked.filter(~F.col("base_failed"))
     return kept.join(rejected, kept["_host"].eqNullSafe(F.col("_bad_host")), "left_anti").select("_row.*")
