@@ -26,8 +26,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source."""
     prepare(spark)
-    clean = line_dedup(docs).drop("n_lines", "n_removed")
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    clean = line_dedup(docs, counts=False)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

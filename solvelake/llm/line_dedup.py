@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import let
+from solvelake.llm.base import let, store
 
 
 def _lines(text: Column) -> Column:
@@ -30,7 +30,7 @@ def boilerplate_lines(
     page = docs.select(F.col(host).alias("host"), F.explode(F.array_compact(F.array_append(keys, F.lit(0)))).alias("key"))
     # Key 0 stands for the page itself, so that one aggregate counts pages and lines.
     pages_with = page.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    candidates = pages_with.filter((F.col("key") == 0) | (F.col("n") >= min_pages))
+    candidates, _ = store(pages_with.filter((F.col("key") == 0) | (F.col("n") >= min_pages)), "lines")
     per_host = candidates.filter("key = 0").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
     common = candidates.filter("key <> 0").join(per_host, F.col("host").eqNullSafe(F.col("_host")))
     return (
@@ -41,15 +41,16 @@ def boilerplate_lines(
 
 
 def line_dedup(
-    docs: DataFrame, host: str = "source", max_ratio: float = 0.1, min_pages: int = 5
+    docs: DataFrame, host: str = "source", max_ratio: float = 0.1, min_pages: int = 5, counts: bool = True
 ) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines`` and ``n_removed`` added.
+    """``docs`` with boilerplate lines taken out of ``text``, and, with ``counts``, ``n_lines`` and ``n_removed`` added.
 
     Lines end at a newline and compare without outer white space, by 64-bit hashes within a host; lines without a
     word stay. A null text stays null and has no lines, though its page counts. A null host is a host of its own.
-    Repeated rows are pages of their own. Columns of ``docs`` named n_lines or n_removed are replaced.
+    Repeated rows are pages of their own. Columns of ``docs`` with the names of the counts are replaced by them.
     """
-    found = boilerplate_lines(docs, host, max_ratio, min_pages)
+    # Stored first: its size is then known, and a small one is sent to the tasks instead of shuffling the texts.
+    found, _ = store(boilerplate_lines(docs, host, max_ratio, min_pages), "boilerplate")
     found = found.select(F.col("host").alias("_h"), "keys")
     rows = docs.select(F.struct("*").alias("_row"), F.col(host).alias("_host"), F.col("text").alias("_text"))
     joined = rows.join(found, F.col("_host").eqNullSafe(F.col("_h")), "left")
@@ -70,7 +71,7 @@ def line_dedup(
         F.lit(0).cast("long").alias("n_removed"),
     )
     out = joined.select("_row", F.when(F.col("_text").isNull(), none).otherwise(let(_lines(F.col("_text")), clean)).alias("_out"))
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return out.select(
-        *[F.col("_row").getField(c).alias(c) for c in own], "_out.text", "_out.n_lines", "_out.n_removed"
-    )
+    added = ["n_lines", "n_removed"] if counts else []
+    own = [c for c in docs.columns if c not in added]
+    columns = [(F.col("_out.text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in own]
+    return out.select(*columns, *[F.col(f"_out.{c}") for c in added])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 DDL = (
     "doc_id long, text string, lang string, source string, n_chars long, key int, rank string, length int, score int, "
-    "hits string, marks string, component int, _row string, label int, n int"
+    "hits string, marks string, component int, _row string, label int, n int, n_lines int, n_words string, w int"
 )
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
@@ -19,7 +19,7 @@ def rows():
         (11, "ONE", "en", "b"), (None, BASE, "en", "a"), (None, None, None, None), (12, "x " * 300, "en", "a"),
         (13, "a\x00b\x0bc\x0cd\re", "en", "a"), (-3, BASE + " less", "en", "a"),
     ]
-    return [(d, t, lang, s, len(t or ""), 1, "r", 2, 3, "h", "m", 4, "_", 5, 6) for d, t, lang, s in texts]
+    return [(d, t, lang, s, len(t or ""), 1, "r", 2, 3, "h", "m", 4, "_", 5, 6, 7, "x", 8) for d, t, lang, s in texts]
 
 
 def docs(spark):
