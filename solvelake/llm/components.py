@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = split_join(both.filter("v > u"), lowest, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        moved = split_join(both.filter("v > u"), lowest, ["u"], "inner")
+        large = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large, large_path = store(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

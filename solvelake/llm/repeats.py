@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import parts_for, row_key, store, told
+from solvelake.llm.base import discard, parts_for, row_key, store, told
 from solvelake.llm.hashing import U, mix
 
 SHARED, LATER = 0, 1
@@ -122,7 +122,8 @@ def per_document(answers: DataFrame) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tks, counts, marks = [], [], [], []
         for batch in batches:
-            for column, into, kind in (("docs", ids, "<i8"), ("tks", tks, "<i8"), ("counts", counts, "<u4"), ("marks", marks, "<u8")):
+            lists = (("docs", ids, "<i8"), ("tks", tks, "<i8"), ("counts", counts, "<u4"), ("marks", marks, "<u8"))
+            for column, into, kind in lists:
                 into += [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
         if not ids:
             return
@@ -133,7 +134,8 @@ def per_document(answers: DataFrame) -> DataFrame:
         rows: list[tuple[int, int, bytes]] = []
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
             own = order[a:b]
-            rows.append((int(ids[own[0]]), int(tks[own[0]]), b"".join(marks[first[k] : first[k] + counts[k]].tobytes() for k in own)))
+            together = b"".join(marks[first[k] : first[k] + counts[k]].tobytes() for k in own)
+            rows.append((int(ids[own[0]]), int(tks[own[0]]), together))
             if len(rows) >= 2048:
                 yield _document_batch(rows)
                 rows = []
@@ -158,7 +160,7 @@ def _pack(gathered: list, parts: int, within: bool) -> pa.RecordBatch:
     later, shared = settle(key, ext, has, ids[doc], tks[doc], place, within)
     # Settled here: occurrences with an earlier one in this task. Their part need not see them; it hands the answer on.
     settled = answer_batch(ids, tks, doc[later], place[later].astype(np.uint64) << U(1) | U(LATER), parts)
-    rows = [dict(zip(settled.schema.names, r, strict=True)) | {"part": r[0]} for r in zip(*settled.to_pydict().values(), strict=True)]
+    rows = [r | {"part": r["bucket"]} for r in settled.to_pylist()]
     # A key that one task finds shared stays so: the mark travels with the occurrence.
     go = np.flatnonzero(~later)
     to = ((key[go] >> U(32)) % U(parts)).astype(np.int64)
@@ -241,18 +243,26 @@ def marked(table: DataFrame, find: Find, within: bool) -> DataFrame:
     return sent.mapInArrow(answer, ANSWERS)
 
 
-def with_answers(table: DataFrame, answers: DataFrame, name: str, whole: bool = False) -> DataFrame:
-    """``table`` with all answers of a document as one binary ``name``, stored; ``whole``: also rows without any.
+def with_answers(table: DataFrame, answers: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents of ``table`` that have answers, with all answers of a document as one binary ``name``; stored, with
+    the path.
 
-    The answers of one document are bounded by its length. For the inner form, texts without answers are not shuffled
-    if the others are few enough (see ``told``).
+    The answers of one document are bounded by its length. Texts without answers are not shuffled if the others are
+    few enough (see ``told``).
     """
+    per_doc, path = store(per_document(answers), "answers")
+    same = [F.col("doc_id") == F.col("_d"), F.col("tk") == F.col("_t")]
+    wanted = table.join(told(per_doc.select("_d", "_t")), same, "left_semi")
+    out = store(wanted.join(per_doc, same).withColumnRenamed("_m", name).drop("_d", "_t"), name)
+    discard(table.sparkSession, path)
+    return out
+
+
+def beside_answers(table: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+    """All of ``table``, with the answers of a document as ``name``, null where there are none."""
     per_doc, _ = store(per_document(answers), "answers")
     same = [F.col("doc_id") == F.col("_d"), F.col("tk") == F.col("_t")]
-    if not whole:
-        table = table.join(told(per_doc.select("_d", "_t")), same, "left_semi")
-    joined = table.join(per_doc, same, "left" if whole else "inner")
-    return joined.withColumnRenamed("_m", name).drop("_d", "_t")
+    return table.join(per_doc, same, "left").withColumnRenamed("_m", name).drop("_d", "_t")
 
 
 def unpack(marks: bytes | None) -> tuple[np.ndarray, np.ndarray]:

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import row_key, store, words_of
+from solvelake.llm.base import row_key, words_of
 from solvelake.llm.hashing import grams, span_hashes, text_pieces, word_spans
-from solvelake.llm.repeats import marked, named, runs_of, unpack, with_answers
+from solvelake.llm.repeats import beside_answers, marked, named, runs_of, unpack, with_answers
 
 #: Every difference modulo 7 is one of two members: any two positions have the same offset, under 7, to members.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -69,7 +69,7 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     and in the smallest documents, are compared one by one (``more``). The smallest document of a window is never
     settled by an anchor, so none is missed.
     """
-    held, _ = store(with_answers(named(docs), marked(named(docs), _anchors(window), False), "marks"), "anchored")
+    held, _ = with_answers(named(docs), marked(named(docs), _anchors(window), False), "marks")
 
     def find(batch: pa.RecordBatch):
         marks = batch.column("marks").to_pylist()
@@ -86,7 +86,7 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
                 key = whole[first[doc] + place]
                 yield doc + row, place, key, key >> np.uint64(32), np.ones(len(key), bool)
 
-    return with_answers(held, marked(held, find, False), "more", whole=True)
+    return beside_answers(held, marked(held, find, False), "more")
 
 
 def kept_words(text: bytes, window: int, marks: bytes, more: bytes | None) -> tuple[list[bytes], int]:

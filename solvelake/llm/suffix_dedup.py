@@ -15,26 +15,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import parts_for, row_key, store
-from solvelake.llm.hashing import _BASE, _INV, _INVERSE, _POW, BYTES, CHUNK, U, _powers, mix, text_pieces
-from solvelake.llm.repeats import ANSWERS, _first, answer_batch, marked, named, runs_of, unpack, with_answers
+from solvelake.llm.base import discard, parts_for, row_key
+from solvelake.llm.hashing import _INV, _POW, BYTES, CHUNK, U, mix, text_pieces
+from solvelake.llm.repeats import ANSWERS, _first, answer_batch, beside_answers, marked, named, runs_of, unpack, with_answers
 
 PIECE = 1 << 18
+#: Bytes that are hashed at once.
+STRETCH = CHUNK - 1024
 TOP = np.uint64(2**64 - 1)
 #: Suffixes that a task sorts into one run.
 RUN = 1 << 17
 
 
-def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data)
-    power, inverse = (_POW, _INV) if n <= CHUNK else (_powers(_BASE, n + 1), _powers(_INVERSE, n + 1))
-    sums = np.zeros(n + 1, U)
-    np.cumsum(BYTES[data] * power[:n], out=sums[1:])
-    return sums, inverse
+def _sums(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(BYTES[data] * _POW[: len(data)], out=sums[1:])
+    return sums
 
 
-def _window_hashes(sums: np.ndarray, inverse: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    return mix((sums[at + size] - sums[at]) * inverse[at])
+def window_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the strings of ``size`` bytes at ascending places; a long text goes part by part."""
+    out = np.empty(len(at), U)
+    first = 0
+    while first < len(at):
+        base = int(at[first])
+        last = int(np.searchsorted(at, base + STRETCH, "left"))
+        own = at[first:last] - base
+        sums = _sums(data[base : base + STRETCH + size])
+        out[first:last] = mix((sums[own + size] - sums[own]) * _INV[own])
+        first = last
+    return out
 
 
 def _sliding(values: np.ndarray, width: int, combine) -> np.ndarray:
@@ -55,18 +65,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     """
     short = length // 2
     width = length - short + 1
-    none = np.zeros(0, np.int64), np.zeros(0, U)
-    if len(data) < length:
-        return none
-    sums, inverse = _sums(data)
-    hashes = mix((sums[short:] - sums[:-short]) * inverse[: len(data) - short + 1])
-    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))  # bytes left in the document
-    hashes[room[: len(hashes)] < short] = TOP
-    least = _sliding(hashes, width, np.minimum)
-    least[room[: len(least)] < length] = 0
-    padded = np.concatenate([np.zeros(width - 1, U), least, np.zeros(width - 1, U)])
-    at = np.flatnonzero((hashes == _sliding(padded, width, np.maximum)) & (hashes != TOP))
-    return at, hashes[at]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, U))]
+    # A long text goes part by part, with as much on either side as an anchor depends on.
+    for begin in range(0, len(data), STRETCH):
+        low, high = max(0, begin - length), min(len(data), begin + STRETCH + length)
+        if high - low < length:
+            continue
+        sums = _sums(data[low:high])
+        hashes = mix((sums[short:] - sums[:-short]) * _INV[: high - low - short + 1])
+        places = np.arange(low, low + len(hashes))
+        room = offsets[np.searchsorted(offsets, places, "right")] - places  # bytes left in the document
+        hashes[room < short] = TOP
+        least = _sliding(hashes, width, np.minimum)
+        least[room[: len(least)] < length] = 0
+        padded = np.concatenate([np.zeros(width - 1, U), least, np.zeros(width - 1, U)])
+        at = np.flatnonzero((hashes == _sliding(padded, width, np.maximum)) & (hashes != TOP))
+        at = at[(at + low >= begin) & (at + low < begin + STRETCH)]
+        found.append((at + low, hashes[at]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _find_anchors(length: int):
@@ -320,11 +336,11 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     cap = length + length - length // 2 + 1
     parts = parts_for(docs.sparkSession)
     table = named(docs)
-    held, _ = store(with_answers(table, marked(table, _find_anchors(length), True), "marks"), "anchored")
+    held, path = with_answers(table, marked(table, _find_anchors(length), True), "marks")
     runs = held.mapInArrow(_runs(length // 2, cap, parts), RUNS).repartitionById(parts, "part")
-    placed, _ = store(
-        with_answers(held.drop("marks"), runs.mapInArrow(_merged(length // 2, cap, parts), ANSWERS), "sorted"), "sorted"
-    )
+    merged = runs.mapInArrow(_merged(length // 2, cap, parts), ANSWERS)
+    placed, _ = with_answers(held.drop("marks"), merged, "sorted")
+    discard(docs.sparkSession, path)
 
     def find(batch: pa.RecordBatch):
         marks = batch.column("sorted").to_pylist()
@@ -335,12 +351,11 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
                 starts.append(np.flatnonzero(maybe) + offsets[d])
             at = np.concatenate(starts)
             if len(at):
-                sums, inverse = _sums(data)
-                key = _window_hashes(sums, inverse, at, length)
+                key = window_hashes(data, at, length)
                 doc = np.searchsorted(offsets, at, "right") - 1
                 yield doc + row, at - offsets[doc], key, key >> U(32), np.ones(len(at), bool)
 
-    return with_answers(placed, marked(placed, find, True), "more", whole=True)
+    return beside_answers(placed, marked(placed, find, True), "more")
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
