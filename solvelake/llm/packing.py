@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -136,14 +137,14 @@ def slots(spark: SparkSession, patterns: list[tuple[list[int], int]]) -> DataFra
     return spark.createDataFrame(rows, "length long, first long, last long, sequence long, offset long")
 
 
-def ranked(table: DataFrame, order: list[str], block_rows: int = 50_000) -> DataFrame:
+def ranked(table: DataFrame, order: list[str]) -> DataFrame:
     """``table`` with ``rank`` from 0 among the rows of each ``length``.
 
-    A length may be that of most rows, so ranks are counted in blocks of about ``block_rows`` (by the hash of
-    ``order``) and moved on by the sizes of the blocks before.
+    A length may be that of most rows, so ranks are counted in blocks (by the hash of ``order``) and moved on by the
+    sizes of the blocks before. There are as many blocks as the square root of the rows: neither a block nor the list
+    of the blocks of one length grows faster.
     """
-    n = table.count()
-    block = F.pmod(F.xxhash64(*order), F.lit(max(1, n // block_rows)))
+    block = F.pmod(F.xxhash64(*order), F.lit(max(1, math.isqrt(table.count()))))
     blocks = table.withColumn("_block", block)
     sizes = blocks.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
