@@ -117,44 +117,57 @@ def _featured(rows: DataFrame, settings: Settings) -> DataFrame:
     return rows.select("label", "weight", "text").mapInArrow(run, "label int, weight double, buckets binary")
 
 
-def train(buckets: list[np.ndarray], label: np.ndarray, weight: np.ndarray, settings: Settings) -> ToxicityModel:
+def log_count_ratios(counts: np.ndarray, texts: np.ndarray, settings: Settings) -> np.ndarray:
+    """The ratio of each bucket: ``counts`` (class, bucket) are the texts of a class that have it, of ``texts`` in all.
+
+    Shares are smoothed towards the share of all texts that have the bucket, and 0 stands where the shares of the two
+    classes do not lie apart for certain: the many n-grams of a few texts mean nothing, whatever class they are of.
+    """
+    everywhere = counts.sum(axis=0) / max(texts.sum(), 1)
+    shares = (counts + settings.smoothing * everywhere + 1e-9) / (texts[:, None] + settings.smoothing)
+    spread = np.sqrt(everywhere * (1 - everywhere) * (1 / np.maximum(texts, 1)).sum() + 1e-12)
+    apart = np.abs(counts[1] / max(texts[1], 1) - counts[0] / max(texts[0], 1)) / spread
+    return np.where(apart >= settings.certainty, np.log(shares[1] / shares[0]), 0)
+
+
+def train(
+    buckets: list[np.ndarray], label: np.ndarray, weight: np.ndarray, ratio: np.ndarray, settings: Settings
+) -> ToxicityModel:
     """Logistic regression on presence times log-count ratio, by full gradients with momentum and step scaling.
 
-    Without texts of both classes, every text gets the smoothed share of label 1.
+    ``buckets`` need hold those with a ratio only. Without texts of both classes, or without such buckets, every text
+    gets the smoothed share of label 1.
     """
-    size = 1 << settings.bits
     total = weight.sum()
     share = (weight[label == 1].sum() + 1) / (total + 2) if len(label) else 0.5
     bias = float(np.log(share / (1 - share)))
-    if not ((label == 1).any() and (label == 0).any()):
-        return ToxicityModel(np.zeros(size, np.float32), bias, settings)
-    lengths = np.array([len(b) for b in buckets])
+    weights = np.zeros(len(ratio), np.float32)
+    used = np.flatnonzero(ratio)
+    if not len(used) or not ((label == 1).any() and (label == 0).any()):
+        return ToxicityModel(weights, bias, settings)
+    at = np.full(len(ratio), -1, np.int32)
+    at[used] = np.arange(len(used))
+    rows = [i[i >= 0] for i in (at[b] for b in buckets)]
+    lengths = np.array([len(r) for r in rows])
     full = lengths > 0
-    index = np.concatenate(buckets).astype(np.int32)
+    index = np.concatenate(rows)
     starts = (np.cumsum(lengths) - lengths)[full]
-    # Texts of each class with a bucket, smoothed towards the share of all texts that have it, so that the many
-    # n-grams of a few texts stay near 0 whatever class those texts are of.
-    texts = np.array([(label == 0).sum(), (label == 1).sum()])
-    counts = [np.bincount(index, np.repeat((label == k).astype(np.float32), lengths), size) for k in (0, 1)]
-    everywhere = (counts[0] + counts[1]) / texts.sum()
-    shares = [(c + settings.smoothing * everywhere + 1e-9) / (n + settings.smoothing) for c, n in zip(counts, texts, strict=True)]
-    spread = np.sqrt(everywhere * (1 - everywhere) * (1 / texts[0] + 1 / texts[1]) + 1e-12)
-    certain = np.abs(counts[1] / texts[1] - counts[0] / texts[0]) / spread
-    ratio = np.where(certain >= settings.certainty, np.log(shares[1] / shares[0]), 0)
+    own, size = ratio[used], len(used)
     weight = weight / total
     w, mean, square = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, settings.rounds + 1):
-        scaled = (ratio * w).astype(np.float32)
         z = np.full(len(label), bias)
-        z[full] += np.add.reduceat(scaled[index], starts)
+        if len(starts):
+            z[full] += np.add.reduceat((own * w)[index], starts)
         slope = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label)
-        gradient = ratio * np.bincount(index, np.repeat(slope.astype(np.float32), lengths), size) + settings.ridge * w
+        gradient = own * np.bincount(index, np.repeat(slope, lengths), size) + settings.ridge * w
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         pace = settings.rate / np.sqrt(1 + step / 20)
         w -= pace * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
         bias -= pace * float(slope.sum())
-    return ToxicityModel((ratio * w).astype(np.float32), bias, settings)
+    weights[used] = own * w
+    return ToxicityModel(weights, bias, settings)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings()) -> ToxicityModel:
@@ -166,9 +179,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     chosen = sample(known, "label", settings.per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the sample
     table, _ = store(_featured(rows, settings), "toxic-sample")
-    data = table.toPandas()
-    buckets = [np.frombuffer(b, "<i4") for b in data["buckets"]]
-    return train(buckets, data["label"].to_numpy(dtype=np.int64), data["weight"].to_numpy(dtype=np.float64), settings)
+    # The sample comes one partition at a time, first to count and then for the buckets that matter alone.
+    counts, texts = np.zeros((2, 1 << settings.bits)), np.zeros(2)
+    for r in table.toLocalIterator():
+        counts[r["label"], np.frombuffer(r["buckets"], "<i4")] += 1
+        texts[r["label"]] += 1
+    ratio = log_count_ratios(counts, texts, settings)
+    buckets, label, weight = [], [], []
+    for r in table.toLocalIterator():
+        own = np.frombuffer(r["buckets"], "<i4")
+        buckets.append(own[ratio[own] != 0])
+        label.append(r["label"])
+        weight.append(r["weight"])
+    return train(buckets, np.array(label, np.int64), np.array(weight, np.float64), ratio, settings)
 
 
 def scores(texts: list[str], model: ToxicityModel) -> np.ndarray:
