@@ -192,6 +192,21 @@ def test_encoder_equals_tokenizers():
     assert [x.tolist() for x in fast] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_long_white_space(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    n = 1_100_000
+    texts = [" " * n, "\n" * n, "a b" + " \n\t" * (n // 3) + "c <|endoftext|> d", "x" + " " * 999_000 + "y"]
+    encode = packing.public_byte_bpe()
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert np.array_equal(ids, slow.encode(text, add_special_tokens=False).ids)
+    docs = [*enumerate(texts[:2]), (2, "a short text")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    check_packing(packing.pack_documents(table).collect(), docs, encode)
+
+
 def test_shortest_pack_first():
     assert packing.shortest_pack_first({}, 8) == []
     assert sorted(packing.shortest_pack_first({8: 2, 5: 1, 3: 1}, 8)) == [([5, 3], 1), ([8], 2)]
