@@ -65,6 +65,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of stored steps: it does so once the driver has collected their plans."""
+    spark._jvm.System.gc()
+
+
 def told(keys: DataFrame, limit: int = 1_000_000) -> DataFrame:
     """``keys`` (a few numbers a row), stored, for a join with texts.
 

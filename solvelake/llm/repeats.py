@@ -159,10 +159,16 @@ def _pack(gathered: list, parts: int, within: bool) -> pa.RecordBatch:
     place, key, ext, has = (np.concatenate([g[k] for g in gathered]) for k in (3, 4, 5, 6))
     later, shared = settle(key, ext, has, ids[doc], tks[doc], place, within)
     # Settled here: occurrences with an earlier one in this task. Their part need not see them; it hands the answer on.
-    settled = answer_batch(ids, tks, doc[later], place[later].astype(np.uint64) << U(1) | U(LATER), parts)
+    done = later.copy()
+    if within:
+        # So are copies of a key without ext, which are shared whatever stands elsewhere; one of them goes on.
+        copies = np.flatnonzero(shared & ~has)
+        done[copies] = True
+        done[copies[np.unique(key[copies], return_index=True)[1]]] = False
+    settled = answer_batch(ids, tks, doc[done], place[done].astype(np.uint64) << U(1) | later[done], parts)
     rows = [r | {"part": r["bucket"]} for r in settled.to_pylist()]
     # A key that one task finds shared stays so: the mark travels with the occurrence.
-    go = np.flatnonzero(~later)
+    go = np.flatnonzero(~done)
     to = ((key[go] >> U(32)) % U(parts)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     go, to = go[order], to[order]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import discard, parts_for, row_key
+from solvelake.llm.base import discard, free_shuffles, parts_for, row_key
 from solvelake.llm.hashing import _INV, _POW, BYTES, CHUNK, U, mix, text_pieces
 from solvelake.llm.repeats import ANSWERS, _first, answer_batch, beside_answers, marked, named, runs_of, unpack, with_answers
 
@@ -202,47 +202,59 @@ def _runs(short: int, cap: int, parts: int):
                     held.append((text[p : p + cap], len(names), p))
                 names.append((doc, tk))
                 if len(held) >= RUN or len(names) > 30_000:
-                    yield _sorted_runs(held, names, short, parts)
+                    yield _sorted_runs(held, names, short, cap, parts)
                     held, names = [], []
         if held:
-            yield _sorted_runs(held, names, short, parts)
+            yield _sorted_runs(held, names, short, cap, parts)
 
     return run
 
 
-RUNS = "part int, docs binary, tks binary, shared binary, own binary, tails binary, times binary, doc binary, place binary"
+RUNS = (
+    "part int, docs binary, tks binary, shared binary, own binary, tails binary, copied binary, doc binary, "
+    "place binary, bucket int, counts binary, marks binary"
+)
+SENT = pa.schema(
+    [(c.split()[0], pa.int32() if c.endswith("int") else pa.binary()) for c in RUNS.split(", ")]
+)
 
 
-def _sorted_runs(held: list, names: list, short: int, parts: int) -> pa.RecordBatch:
+def _sorted_runs(held: list, names: list, short: int, cap: int, parts: int) -> pa.RecordBatch:
+    """Of equal suffixes the earliest goes to its part, with a mark that it has copies; the others are answered here."""
+    ordered = sorted(set(names))
+    ids, tks = np.array([n[0] for n in ordered], np.int64), np.array([n[1] for n in ordered], np.int64)
+    rank = {n: i for i, n in enumerate(ordered)}
     # The part depends on the bytes that equal anchors share, so that all suffixes with a common anchor meet.
     by_part: dict[int, list] = {}
-    for entry in held:
-        head = entry[0][:short]
-        by_part.setdefault(int.from_bytes(hashlib.blake2b(head, digest_size=4).digest()) % parts, []).append(entry)
-    ids, tks = np.array([n[0] for n in names], np.int64), np.array([n[1] for n in names], np.int64)
-    out: list[list] = [[] for _ in range(9)]
+    for s, doc, p in held:
+        part = int.from_bytes(hashlib.blake2b(s[:short], digest_size=4).digest()) % parts
+        by_part.setdefault(part, []).append((s, rank[names[doc]], p))
+    rows, settled = [], []
     for part, entries in by_part.items():
         entries.sort()
-        strings, times = [], []
-        for s, _, _ in entries:
+        strings, firsts, copied = [], [], []
+        for s, doc, p in entries:
             if strings and strings[-1] == s:
-                times[-1] += 1
+                copied[-1] = 1
+                if (doc, p) != firsts[-1]:  # a repeated row of one document is no later copy
+                    settled.append((doc, p, cap + 1 if len(s) == cap else len(s)))
             else:
                 strings.append(s)
-                times.append(1)
+                firsts.append((doc, p))
+                copied.append(0)
         shared, own, tails = front_code(strings)
-        used, index = np.unique([e[1] for e in entries], return_inverse=True)
-        values = (
-            part, ids[used].tobytes(), tks[used].tobytes(), shared.tobytes(), own.tobytes(), tails,
-            np.array(times, np.uint32).tobytes(), index.astype(np.uint16).tobytes(),
-            np.array([e[2] for e in entries], np.uint32).tobytes(),
-        )
-        for column, value in zip(out, values, strict=True):
-            column.append(value)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]],
-        names=[c.split()[0] for c in RUNS.split(", ")],
-    )
+        used, index = np.unique([f[0] for f in firsts], return_inverse=True)
+        rows.append({
+            "part": part, "docs": ids[used].tobytes(), "tks": tks[used].tobytes(), "shared": shared.tobytes(),
+            "own": own.tobytes(), "tails": tails, "copied": np.array(copied, np.uint8).tobytes(),
+            "doc": index.astype(np.uint16).tobytes(), "place": np.array([f[1] for f in firsts], np.uint32).tobytes(),
+        })
+    if settled:
+        doc, place, value = np.array(settled, np.int64).T
+        found = value >= short
+        answers = answer_batch(ids, tks, doc[found], place[found] << 8 | value[found], parts)
+        rows += [r | {"part": r["bucket"]} for r in answers.to_pylist()]
+    return pa.RecordBatch.from_pylist(rows, SENT)
 
 
 def _merged(short: int, cap: int, parts: int):
@@ -253,13 +265,16 @@ def _merged(short: int, cap: int, parts: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, times, docs, doc, place, base = [], [], [], [], [], 0
+        runs, copied, docs, doc, place, base = [], [], [], [], [], 0
         for batch in batches:
-            for r in batch.to_pylist():
+            done = batch.filter(batch.column("bucket").is_valid())
+            if done.num_rows:
+                yield done.select(["bucket", "docs", "tks", "counts", "marks"])
+            for r in batch.filter(batch.column("bucket").is_null()).to_pylist():
                 runs.append(
                     front_decode(np.frombuffer(r["shared"], "<u2"), np.frombuffer(r["own"], "<u2"), r["tails"])
                 )
-                times.append(np.frombuffer(r["times"], "<u4").astype(np.int64))
+                copied.append(np.frombuffer(r["copied"], np.uint8) == 1)
                 docs.append((np.frombuffer(r["docs"], np.int64), np.frombuffer(r["tks"], np.int64)))
                 doc.append(np.frombuffer(r["doc"], "<u2").astype(np.int64) + base)
                 place.append(np.frombuffer(r["place"], "<u4").astype(np.int64))
@@ -267,28 +282,24 @@ def _merged(short: int, cap: int, parts: int):
         if not runs:
             return
         order = np.fromiter(
-            (x for item in merge(runs) for x in item), np.int64, 3 * sum(len(t) for t in times)
+            (x for item in merge(runs) for x in item), np.int64, 3 * sum(len(c) for c in copied)
         ).reshape(-1, 3)
         source, length, shared = order.T
         # The place of each merged string among all strings of all runs, run after run.
-        first_string = np.cumsum([0, *[len(t) for t in times]])
+        first_string = np.cumsum([0, *[len(c) for c in copied]])
         by_run = np.argsort(source, kind="stable")
         string = np.empty(len(source), np.int64)
         string[by_run] = np.arange(first_string[-1])
-        all_times = np.concatenate(times)
-        first_place = np.concatenate([[0], np.cumsum(all_times)])[:-1]
-        n = all_times[string]
-        each = np.repeat(first_place[string] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        doc, place = np.concatenate(doc)[each], np.concatenate(place)[each]
-        # Equal strings, of one run or many, are a class.
+        doc, place, has_copies = (np.concatenate(x)[string] for x in (doc, place, copied))
+        # Equal strings, each the earliest of its run, are a class.
         new = np.ones(len(source), bool)
         new[1:] = (shared[1:] != length[1:]) | (length[1:] != length[:-1])
         starts = np.flatnonzero(new)
-        size = np.add.reduceat(n, starts)
+        size = np.diff(np.append(starts, len(source)))
         before, whole = shared[starts].copy(), length[starts]
         before[0] = 0
         most = np.maximum(before, np.append(before[1:], 0))
-        most = np.where(size > 1, whole, most)
+        most = np.where((size > 1) | np.logical_or.reduceat(has_copies, starts), whole, most)
         group = np.repeat(np.arange(len(starts)), size)
         ids, tks = (np.concatenate([d[k] for d in docs]) for k in (0, 1))
         ranked = np.lexsort((place, tks[doc], ids[doc], group))
@@ -337,10 +348,12 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     parts = parts_for(docs.sparkSession)
     table = named(docs)
     held, path = with_answers(table, marked(table, _find_anchors(length), True), "marks")
+    free_shuffles(docs.sparkSession)
     runs = held.mapInArrow(_runs(length // 2, cap, parts), RUNS).repartitionById(parts, "part")
     merged = runs.mapInArrow(_merged(length // 2, cap, parts), ANSWERS)
     placed, _ = with_answers(held.drop("marks"), merged, "sorted")
     discard(docs.sparkSession, path)
+    free_shuffles(docs.sparkSession)
 
     def find(batch: pa.RecordBatch):
         marks = batch.column("sorted").to_pylist()

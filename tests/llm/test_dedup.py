@@ -9,7 +9,7 @@ import pytest
 from llm import brute, odd
 from llm.conftest import SMALL, documents
 
-from solvelake.llm import components, hashing, minhash_dedup, substring_dedup, suffix_dedup
+from solvelake.llm import components, hashing, minhash_dedup, repeats, substring_dedup, suffix_dedup
 from solvelake.llm.queries import QUERIES
 
 
@@ -156,6 +156,35 @@ def test_suffix_planted(spark, letters):
     assert got == brute.suffix_dedup(docs)
 
 
+def test_copies_are_settled_before_the_exchange():
+    """Of equal anchors and suffixes in a task one goes to the part of its key; the others are answered there."""
+    n, text = 1000, b"q" * 151
+    ids, tks = np.arange(n)[::-1].copy(), np.zeros(n, np.int64)
+    key = np.full(n, 77, np.uint64)
+    held = [(ids, tks, np.arange(n), np.full(n, 5, np.uint32), key, key, np.zeros(n, bool))]
+    names = [(n - i, 0) for i in range(n)]
+    suffixes = [(text, i, 5) for i in range(n)] + [(text, n - 1, 5), (b"r" * 60, 0, 9)]
+    anchors_sent = repeats._pack(held, 4, True).to_pylist()
+    suffixes_sent = suffix_dedup._sorted_runs(suffixes, names, 50, 151, 4).to_pylist()
+    assert sum(len(r["rows"]) for r in anchors_sent if r["bucket"] is None) == repeats.ROW_BYTES
+    assert sum(len(r["place"]) for r in suffixes_sent if r["bucket"] is None) == 2 * 4
+    for sent, marks in ((anchors_sent, {5 << 1 | repeats.SHARED}), (suffixes_sent, {5 << 8 | 152})):
+        found = [m for r in sent if r["bucket"] is not None for m in np.frombuffer(r["marks"], "<u8").tolist()]
+        assert len(found) == n - 1 and set(found) == marks
+
+
+def test_suffix_copies_and_repeated_rows(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(400))
+    docs = [(d, f"{d} " * (d % 7) + passage[d % 3 :] + f" {d}") for d in range(60)]
+    docs += [(90, "zy" * 70 + passage[:140]), (91, passage[250:])]
+    lone = (99, "".join(rng.choice("abcdefgh") for _ in range(300)))
+    for parts in (1, 5):
+        table = spark.createDataFrame(docs + [docs[7], docs[0], lone, lone], "doc_id long, text string").repartition(parts)
+        got = by_id(suffix_dedup.suffix_dedup(table), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == brute.suffix_dedup([*docs, lone])
+
+
 def test_suffix_odd(spark):
     got = by_id(suffix_dedup.suffix_dedup(odd.docs(spark), with_text=True), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     want = brute.suffix_dedup(odd.pairs())
