@@ -40,8 +40,8 @@ class Index:
 
 
 def index_for(percent: int, width: int = 6) -> Index:
-    """So many chunks that a pair just at the similarity meets in none in one of ten million cases, and distances
-    5.2 standard deviations above those of such a pair, which is as rare.
+    """So many chunks that a pair just at the similarity meets in none in one of ten million cases, and distances that
+    such a pair exceeds as rarely, by the exact binomial tail.
 
     At 85 %: 11 chunks; such pairs differ in 10 of 66 symbols on average, and none within 21 are lost.
     """
@@ -51,8 +51,15 @@ def index_for(percent: int, width: int = 6) -> Index:
     apart = 1 - j**width - width * (1 - j) * j ** (width - 1)
     chunks = max(2, math.ceil(math.log(1e-7) / math.log(apart))) if apart > 0 else 2
     n = chunks * width
-    most = lambda n: math.ceil(n * (1 - j) + 5.2 * math.sqrt(n * j * (1 - j)))
-    return Index(chunks, width, most(n), 512, most(512))
+    return Index(chunks, width, _most(n, 1 - j), 512, _most(512, 1 - j))
+
+
+def _most(n: int, p: float, rare: float = 1e-7) -> int:
+    """The least number that a binomial variable of ``n`` trials exceeds with probability ``rare`` at most."""
+    most, tail = n, 0.0
+    while most and (tail := tail + math.comb(n, most) * p**most * (1 - p) ** (n - most)) <= rare:
+        most -= 1
+    return most
 
 
 def _seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -91,6 +93,14 @@ def test_index_radius():
         minhash_dedup.index_for(20)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 99, 100])
+def test_distances_that_pairs_at_the_threshold_exceed(percent):
+    index, p = minhash_dedup.index_for(percent), 1 - Fraction(percent, 100)
+    for n, most in ((index.symbols, index.max_distance), (index.finer, index.max_finer)):
+        tail = lambda k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1))  # noqa: E731, B023
+        assert tail(most) <= 1e-7 and (most == 0 or tail(most - 1) > 1e-7)
+
+
 def test_components_of_a_path(spark):
     rng = random.Random(1)
     ids = list(range(200))
