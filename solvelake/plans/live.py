@@ -16,14 +16,18 @@ from solvelake.streaming import ledger, sources, status
 
 #: Micro-batches of a streaming query: the events by the remainder of their id, so that most come late.
 BATCHES = 4
+#: Rows of a file of a micro-batch, about; more rows make more files, not larger ones.
+FILE_ROWS = 250_000
 
 
 def events(spark, sf):
     path = work_path(spark, "events")
+    rows = tb.raw(spark, sf, "events")
+    files = max(1, rows.count() // (BATCHES * FILE_ROWS))
     for i in range(BATCHES):
-        part = tb.raw(spark, sf, "events").where(F.col("event_id") % BATCHES == i)
-        part.coalesce(1).write.parquet(f"{path}/part={i}")  # a file for each micro-batch
-    return sources.read_files(spark, f"{path}/*", tb.RAW["events"], per_trigger=1)
+        # As many files for each micro-batch, dealt by turns; a later batch has later files.
+        rows.where(F.col("event_id") % BATCHES == i).repartition(files).write.parquet(f"{path}/part={i}")
+    return sources.read_files(spark, f"{path}/*", tb.RAW["events"], per_trigger=files)
 
 
 def attempt_stream(spark, sf):

@@ -154,3 +154,19 @@ def test_status_over_batches(spark, tmp_path):
     log = stream(spark, src, ddl)
     run(status.start_status(log, out, str(tmp_path / "cp")))
     assert as_dict(status.read_status(spark, out, log), "chall", "status") == {1: "success", 2: "failure"}
+
+
+def test_a_batch_of_events_has_files_as_its_rows_grow(spark, tmp_path, monkeypatch):
+    from solvelake.plans import live
+
+    sf = "/root/testdata/sf0.001"
+    want = as_set(live.stream_first_correct(spark, sf), "id", "batch_id", "correct", "counted")
+    path = str(tmp_path / "events")
+    total = live.tb.raw(spark, sf, "events").count()
+    monkeypatch.setattr(live, "FILE_ROWS", total // 12)
+    with monkeypatch.context() as m:
+        m.setattr(live, "work_path", lambda *_: path)
+        live.events(spark, sf)
+    files = [len(list((tmp_path / "events" / f"part={i}").glob("*.parquet"))) for i in range(live.BATCHES)]
+    assert files == [3] * live.BATCHES
+    assert as_set(live.stream_first_correct(spark, sf), "id", "batch_id", "correct", "counted") == want
