@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import store, told
+from solvelake.llm.base import row_key, store, told
 from solvelake.llm.components import components
 from solvelake.llm.hashing import BYTES_LOWER, U, grams, mix, span_hashes, text_pieces, word_spans
 from solvelake.operators.joins import split_join
@@ -304,7 +304,34 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5, index: Index | None = None) -> DataFrame:
-    """The rows of ``docs``, with their own columns, of each component's smallest document."""
+    """One row, with its own columns, for each component's smallest document and each text under its id.
+
+    A row without a doc_id goes if its set equals that of a row with one, or that of another row without one, of which
+    a single row stays. Rows without a doc_id whose set is empty stay, as they link with nothing.
+    """
+    tk = row_key(F.col("text"))
     gone = near_duplicates(docs, percent, size, index).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    return rows.join(told(gone.distinct()), F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), tk.alias("_tk"))
+    named = rows.filter("_id is not null").join(told(gone.distinct()), F.col("_id") == F.col("_gone"), "left_anti")
+    # Only rows that are repeated are brought together; the other texts are not shuffled.
+    keys = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_i"), tk.alias("_t"))
+    repeated = told(keys.groupBy("_i", "_t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    same = (F.col("_id") == F.col("_i")) & (F.col("_tk") == F.col("_t"))
+    once = named.join(repeated, same, "left_semi").groupBy("_id", "_tk").agg(F.first("_row").alias("_row"))
+    kept = named.join(repeated, same, "left_anti").select("_row").union(once.select("_row"))
+    return kept.union(_without_id(docs, rows.filter("_id is null"), size, index or index_for(percent))).select("_row.*")
+
+
+def _without_id(docs: DataFrame, rows: DataFrame, size: int, index: Index) -> DataFrame:
+    """The ``rows`` without a doc_id that stay (see ``keep_one``)."""
+    mark = ["n_shingles", "f1", "f2"]
+    nameless = docs.filter("doc_id is null").select(row_key(F.col("text")).alias("doc_id"), "text")
+    sets, _ = store(signatures(nameless, size, index).select(F.col("doc_id").alias("_t"), *mark), "nameless")
+    if sets.isEmpty():
+        return rows.select("_row")
+    full = sets.filter("n_shingles > 0")
+    known = signatures(docs.filter("doc_id is not null"), size, index).select(*mark)
+    first = full.groupBy(*mark).agg(F.min("_t").alias("_t")).join(known, mark, "left_anti").select("_t")
+    once = rows.join(told(first), F.col("_tk") == F.col("_t"), "left_semi").groupBy("_tk").agg(F.first("_row").alias("_row"))
+    empty = told(sets.filter("n_shingles = 0").select("_t").distinct())
+    return once.select("_row").union(rows.join(empty, F.col("_tk") == F.col("_t"), "left_semi").select("_row"))

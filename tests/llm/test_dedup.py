@@ -79,6 +79,15 @@ def test_near_duplicates_odd(spark):
     assert minhash_dedup.keep_one(odd.empty(spark)).count() == 0
 
 
+def test_one_row_of_copies_is_kept(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a, 0), (1, a, 0), (1, c, 0), (2, a, 0), (None, a, 1), (None, b, 2), (None, b, 2), (None, b.upper(), 2)]
+    rows += [(None, None, 3), (None, "", 4), (None, "", 4), (5, None, 5), (5, None, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = sorted(((r["doc_id"] or 0, r["n"]) for r in minhash_dedup.keep_one(table).collect()))
+    assert kept == [(0, 2), (0, 3), (0, 4), (0, 4), (1, 0), (1, 0), (5, 5)]
+
+
 def test_index_radius():
     """Signatures that differ in fewer than 2 * chunks symbols agree in a chunk but for one symbol."""
     index = minhash_dedup.index_for(85)
