@@ -14,10 +14,13 @@ from solvelake.llm import (
     line_dedup,
     minhash_dedup,
     packing,
+    periodic_runs,
     quality_classifier,
     quality_rules,
+    source_divergence,
     substring_dedup,
     suffix_dedup,
+    token_counts,
     toxicity,
 )
 from solvelake.llm import sql as oracle
@@ -99,6 +102,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents")).drop("ids")
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_source_divergence", oracle.SOURCE_DIVERGENCE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

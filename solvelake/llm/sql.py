@@ -82,3 +82,40 @@ verdict as (
 """
 
 DECONTAMINATION = f"{CONTAMINATION}\nselect doc_id, n_words, n_hit, n_items, items_sha256, contaminated from verdict"
+
+
+SOURCE_DIVERGENCE = """
+with d as materialized (
+  select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'),
+                        lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) ts
+  from documents),
+occurs as materialized (select r, lang, source, unnest(ts) term from d),
+kept as materialized (select lang, term from occurs group by lang, term having count(distinct r) >= 30),
+sizes as (select lang, count(*) v from kept group by lang),
+grps as materialized (
+  select lang, source, coalesce(v, 0) v from (select distinct lang, source from d) left join sizes using (lang)),
+cells as (select lang, source, term, count(*) c from occurs join kept using (lang, term) group by lang, source, term),
+full_cells as (
+  select g.lang, g.source, k.term, g.v, coalesce(c.c, 0)::hugeint c
+  from grps g join kept k using (lang) left join cells c using (lang, source, term)),
+p as materialized (
+  select lang, source, term, c,
+         1 + (1000000000 * (c + 5)) // (sum(c) over (partition by lang, source)::hugeint + 5 * v) p
+  from full_cells),
+q as (
+  select lang, term, 1 + (1000000000 * (c + 5)) // (sum(c) over (partition by lang)::hugeint + 5 * v) p
+  from (select lang, term, any_value(v) v, sum(c)::hugeint c from full_cells group by lang, term)),
+pairs as (
+  select a.lang, a.source, 'pair' part, b.source item,
+         coalesce((select sum(abs(x.p - y.p)) from p x join p y using (lang, term)
+                   where x.lang = a.lang and x.source = a.source and y.source = b.source), 0) f
+  from grps a join grps b on a.lang = b.lang and a.source <> b.source),
+terms as (
+  select p.lang, p.source, 'term' part, p.term item, p.p - q.p f
+  from p join q using (lang, term) where p.c > 0 and p.p > q.p)
+select lang, source, part, item, f::bigint "value", n::int rank
+from (select *, row_number() over (partition by lang, source, part order by f desc, encode(item)) n
+      from (select * from pairs union all select * from terms))
+where part = 'pair' or n <= 50
+"""

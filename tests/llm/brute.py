@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 from collections import Counter, defaultdict
 
 
@@ -85,3 +87,65 @@ def line_dedup(docs, max_ratio=0.1, min_pages=5):
         d: None if t is None else "\n".join(x for x in t.split("\n") if (h, x.strip(spaces)) not in boiler)
         for d, h, t in docs
     }
+
+
+def runs(words):
+    """Every (start, length, smallest period) of a stretch of max(12, 2 * period) words that no neighbour extends."""
+    out = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(12, 2 * q):
+                out.setdefault((i, j - i + q), q)  # a multiple of the period makes the same stretch
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text, plant):
+    """(n_runs, start, length, period, exponent_milli, runs sha, collapsed sha)"""
+    w = (text or "").encode().split()
+    h = zlib.crc32(str(doc_id).encode())
+    if plant and doc_id is not None and w and h % 10 == 0:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = runs(w)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2])) if found else None
+    longest = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+    return len(found), *longest, sha("".join("%d,%d,%d\n" % r for r in found).encode()), sha(kept)
+
+
+def divergence(rows, min_docs, top):
+    """rows: (lang, source, text) -> {(lang, source, part, item, value, rank)}"""
+    pages, counts, whole = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for lang, source, text in rows:
+        lang, source = lang or "", source or ""
+        fold = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        found = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", fold)
+        pages.update((lang, t) for t in set(found))
+        counts[lang, source].update(found)
+        whole[lang].update(found)
+    kept = defaultdict(list)
+    for (lang, t), n in pages.items():
+        if n >= min_docs:
+            kept[lang].append(t)
+    shares = {}
+    for name, c in [*counts.items(), *whole.items()]:
+        v = kept[name[0] if isinstance(name, tuple) else name]
+        n = sum(c[t] for t in v)
+        shares[name] = {t: 1 + 10**9 * (c[t] + 5) // (n + 5 * len(v)) for t in v}
+    out = set()
+    for lang, source in counts:
+        p = shares[lang, source]
+        pairs = [(o, sum(abs(p[t] - shares[x, o][t]) for t in p)) for x, o in counts if x == lang and o != source]
+        some = [(t, p[t] - shares[lang][t]) for t in p if counts[lang, source][t] and p[t] > shares[lang][t]]
+        for part, items, limit in (("pair", pairs, len(pairs)), ("term", some, top)):
+            order = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:limit]
+            out |= {(lang, source, part, item, f, k + 1) for k, (item, f) in enumerate(order)}
+    return out
