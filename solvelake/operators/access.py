@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solvelake.operators import passes
 from solvelake.operators.joins import split_join
 from solvelake.session import cut, release
 
@@ -70,57 +71,85 @@ def admit(claims: DataFrame, users: DataFrame, challenges: DataFrame) -> DataFra
     )
 
 
+def _may_hand_on(admins: set, row: tuple) -> bool:
+    """A known admin, or a command whose actor is admin by then and makes its target one."""
+    actor, target = row
+    if target in admins or (actor is not None and actor not in admins):
+        return False
+    admins.add(target)
+    return actor is not None
+
+
 def admins_since(commands: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, since): when each user becomes admin; -1 for those who are.
+    """(user_id, since): the place ``_at`` of the command that makes each user an admin; null for those who are.
 
-    A promotion counts if its actor is admin before it. Each round hands admin rights on from the users whose time
-    was lowered in the last one, until no time falls any more; a chain inside the batch takes one round per link.
-    One table holds the times so far. After rounds 1, 2, 4, 8, ... the commands that can lower no time any more go.
+    ``commands`` has a total order ``_at`` (see ``passes.in_turn``). A promotion counts if its actor is admin before it.
+    Commands of those who are admins already need no order. The others form groups of connected users; a group in
+    which nobody is made admin from outside drops out, and each other one is read once in order. Groups of more than
+    ``passes.GROUP`` commands hand rights on round by round.
     """
-    known = users.select(F.col("id").alias("target_id"))
-    usable = cut(
-        commands.where("auth_ok").join(known, "target_id", "left_semi").select("seq", "admin_id", "target_id")
+    known = users.select(F.col("id").alias("target_id"), F.col("admin").alias("_is"))
+    usable = commands.where("auth_ok and _at is not null").join(known, "target_id")
+    usable = usable.where("not coalesce(_is, false)").select("_at", "admin_id", "target_id")
+    chiefs = users.where("admin").select(F.col("id").alias("admin_id"), F.lit(True).alias("_chief"))
+    marked = cut(usable.join(chiefs, "admin_id", "left"))
+    first = cut(marked.where("_chief").groupBy("target_id").agg(F.min("_at").alias("since")))
+    later = split_join(marked.where("_chief is null"), first, ["target_id"]).where("since is null or _at < since")
+    # A command more of one actor for one target changes nothing unless the actor became admin in between.
+    later = cut(later.select("_at", "admin_id", "target_id").where("admin_id <> target_id"))
+    linked = later.withColumns({"_u": passes.node("user", "admin_id"), "_v": passes.node("user", "target_id")})
+    of = cut(passes.groups(linked, "_u", "_v"))
+    seeds = first.withColumn("node", passes.node("user", "target_id")).join(of, "node")
+    seeds = cut(seeds.select("group", F.col("since").alias("_at"), F.lit(None).cast(dict(users.dtypes)["id"]).alias("admin_id"), "target_id"))
+    alive = seeds.groupBy("group").agg(F.lit(True).alias("_alive"))
+    grouped = split_join(linked, of.withColumnRenamed("node", "_u"), ["_u"], "inner").select("group", "_at", "admin_id", "target_id")
+    grouped = cut(split_join(grouped, alive, ["group"], "inner").drop("_alive"))
+    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
+    events = cut(split_join(grouped.unionByName(seeds), sizes, ["group"], "inner"))
+    read = ["admin_id", "target_id"]
+    fits = events.where(F.col("_n") <= passes.GROUP)
+    made = passes.pass_over(fits, "group", ["_at"], set, _may_hand_on, read, ["target_id", "_at"])
+    large = _round_by_round(events.where(F.col("_n") > passes.GROUP))
+    won = first.unionByName(made.withColumnRenamed("_at", "since")).unionByName(large)
+    won = won.groupBy(F.col("target_id").alias("user_id")).agg(F.min("since").alias("since"))
+    return won.unionByName(
+        users.where("admin").select(F.col("id").alias("user_id"), F.lit(None).cast(won.schema["since"].dataType).alias("since"))
     )
-    frontier = cut(users.where("admin").select(F.col("id").alias("user_id"), F.lit(-1).cast("bigint").alias("since")))
-    since, n = frontier, 0
+
+
+def _round_by_round(events: DataFrame) -> DataFrame:
+    """(target_id, since) of users that become admins by ``events``; those without an actor are given."""
+    usable = cut(events.where("admin_id is not null").select("_at", "admin_id", "target_id"))
+    frontier = cut(events.where("admin_id is null").select("target_id", F.col("_at").alias("since")))
+    since = frontier
     while not frontier.isEmpty():
-        n += 1
-        actors = frontier.select(F.col("user_id").alias("admin_id"), "since")
-        granted = (
-            usable.join(actors, "admin_id")
-            .where("since < seq")
-            .groupBy(F.col("target_id").alias("user_id"))
-            .agg(F.min("seq").alias("since"))
-        )
+        actors = frontier.select(F.col("target_id").alias("admin_id"), "since")
+        granted = split_join(usable, actors, ["admin_id"], "inner").where("since < _at")
+        granted = granted.groupBy("target_id").agg(F.min("_at").alias("since"))
         before = since.withColumnRenamed("since", "_was")
-        lowered = cut(
-            granted.join(before, "user_id", "left").where("_was is null or since < _was").select("user_id", "since")
-        )
-        folded = cut(since.unionByName(lowered).groupBy("user_id").agg(F.min("since").alias("since")))
+        lowered = granted.join(before, "target_id", "left").where("_was is null or since < _was")
+        lowered = cut(lowered.select("target_id", "since"))
+        folded = cut(since.unionByName(lowered).groupBy("target_id").agg(F.min("since").alias("since")))
         release(frontier, since)
         frontier, since = lowered, folded
-        if n & (n - 1) == 0:
-            held = since.select(F.col("user_id").alias("target_id"), F.col("since").alias("_was"))
-            useful = usable.join(held, "target_id", "left").where("_was is null or seq < _was")
-            left = cut(useful.select("seq", "admin_id", "target_id"))
-            release(usable)
-            usable = left
     return since
 
 
 def promotions(commands: DataFrame, users: DataFrame) -> DataFrame:
     """Promotion commands (seq, admin_id, target_id, auth_ok) with ``outcome``, as if applied in ``seq`` order.
 
-    Checks in order: auth (bad credential), does_not_exist (actor), auth (actor is no admin by then),
-    does_not_exist (target); else promoted.
+    Checks in order: missing_seq (null), auth (bad credential), does_not_exist (actor), auth (actor is no admin by
+    then), does_not_exist (target); else promoted. Commands of one ``seq`` apply in the order of a hash of the command.
     """
-    since = admins_since(commands, users).select(F.col("user_id").alias("admin_id"), "since")
+    commands = passes.in_turn(commands)
+    since = admins_since(commands, users).select(F.col("user_id").alias("admin_id"), "since", F.lit(True).alias("_admin"))
     actors = users.select(F.col("id").alias("admin_id"), F.lit(True).alias("_actor"))
     targets = users.select(F.col("id").alias("target_id"), F.lit(True).alias("_target"))
     outcome = (
-        F.when(~F.coalesce("auth_ok", F.lit(False)), "auth")
+        F.when(F.col("_at").isNull(), "missing_seq")
+        .when(~F.coalesce("auth_ok", F.lit(False)), "auth")
         .when(F.col("_actor").isNull(), "does_not_exist")
-        .when(F.col("since").isNull() | (F.col("since") >= F.col("seq")), "auth")
+        .when(F.col("_admin").isNull() | (F.col("since") >= F.col("_at")), "auth")
         .when(F.col("_target").isNull(), "does_not_exist")
         .otherwise("promoted")
     )
@@ -129,5 +158,5 @@ def promotions(commands: DataFrame, users: DataFrame) -> DataFrame:
         .join(actors, "admin_id", "left")
         .join(targets, "target_id", "left")
         .withColumn("outcome", outcome)
-        .drop("since", "_actor", "_target")
+        .drop("since", "_admin", "_actor", "_target", "_at")
     )

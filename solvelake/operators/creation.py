@@ -8,48 +8,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.functions.common import fold, stable_id, stamp
+from solvelake.operators import passes
 from solvelake.operators.joins import split_join
 from solvelake.session import cut, release
 
 
-def first_come(claims: DataFrame, left: str, right: str) -> DataFrame:
-    """Accept claims (seq, left, right) in ``seq`` order, each if both of its keys are still free.
+def _free(taken: tuple[set, set], row: tuple) -> bool:
+    """Take both keys if both are free."""
+    left, right = row
+    if left in taken[0] or right in taken[1]:
+        return False
+    taken[0].add(left)
+    taken[1].add(right)
+    return True
+
 
-    A claim with a null key is never accepted. Claims that are alone on both keys are settled first, so the rounds run
-    over contested ones only.
+def _in_rounds(open_: DataFrame, left: str, right: str, patient: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Accepted claims, and those left open once a round settles less than a quarter (never, if ``patient``).
 
     Every round accepts the claims that come first for both of their keys and drops the others on those keys. The
-    earliest open claim always qualifies, so the rounds end; there are as many as the longest chain of claims that
-    wait for one another. Taking the first claim per key in one pass would be wrong: a claim that loses on one key
-    must not block its other key.
+    earliest open claim always qualifies. Taking the first claim per key in one pass would be wrong: a claim that
+    loses on one key must not block its other key.
     """
-    whole = claims.select("seq", left, right).dropna(subset=[left, right])
-    rivals = [whole.groupBy(k).agg(F.count(F.lit(1)).alias(n)) for k, n in ((left, "_l"), (right, "_r"))]
-    counted = cut(split_join(split_join(whole, rivals[0], [left]), rivals[1], [right]))
-    alone = (F.col("_l") == 1) & (F.col("_r") == 1)
-    taken: list[DataFrame] = [counted.where(alone).select("seq", left, right)]
-    open_ = cut(counted.where(~alone).select("seq", left, right))
-    while not open_.isEmpty():
-        by_left = open_.groupBy(left).agg(F.min("seq").alias("seq"))
-        by_right = open_.groupBy(right).agg(F.min("seq").alias("seq"))
-        won = cut(open_.join(by_left, [left, "seq"]).join(by_right, [right, "seq"]).select("seq", left, right))
+    taken: list[DataFrame] = []
+    n = open_.count()
+    while n:
+        by_left = open_.groupBy(left).agg(F.min("_at").alias("_at"))
+        by_right = open_.groupBy(right).agg(F.min("_at").alias("_at"))
+        won = cut(open_.join(by_left, [left, "_at"]).join(by_right, [right, "_at"]).select("_at", left, right))
         taken.append(won)
         if len(taken) == 16:
             folded = cut(reduce(DataFrame.unionByName, taken))
             release(*taken)
             taken = [folded]
         rest = cut(
-            open_.join(won.select(left), left, "left_anti")
-            .join(won.select(right), right, "left_anti")
-            .select("seq", left, right)
+            split_join(split_join(open_, won.select(left), [left], "left_anti"), won.select(right), [right], "left_anti")
+            .select("_at", left, right)
         )
         release(open_)
-        open_ = rest
+        before, n, open_ = n, rest.count(), rest
+        if not patient and 4 * n > 3 * before:
+            break
+    return taken, open_
+
+
+def first_come(claims: DataFrame, left: str, right: str) -> DataFrame:
+    """Accept claims (``_at``, left, right) in the order of ``_at``, each if both of its keys are still free.
+
+    ``_at`` is a total order (see ``passes.in_turn``). A claim with a null key or a null place is never accepted.
+
+    Claims that are alone on both keys are settled first. Contested ones go through rounds of joins as long as a round
+    settles a quarter of them, which takes a logarithmic number of rounds. What is left waits in chains: its groups of
+    connected keys are found, and each is read once in order (groups of more than ``passes.GROUP`` claims go on in
+    rounds).
+    """
+    whole = claims.select("_at", left, right).dropna(subset=["_at", left, right])
+    rivals = [whole.groupBy(k).agg(F.count(F.lit(1)).alias(n)) for k, n in ((left, "_l"), (right, "_r"))]
+    counted = cut(split_join(split_join(whole, rivals[0], [left]), rivals[1], [right]))
+    alone = (F.col("_l") == 1) & (F.col("_r") == 1)
+    taken = [counted.where(alone).select("_at", left, right)]
+    won, open_ = _in_rounds(cut(counted.where(~alone).select("_at", left, right)), left, right, patient=False)
+    taken += won
+    if not open_.isEmpty():
+        linked = open_.withColumns({"_u": passes.node("left", left), "_v": passes.node("right", right)})
+        of = cut(passes.groups(linked, "_u", "_v").withColumnRenamed("node", "_u"))
+        grouped = cut(split_join(linked, of, ["_u"], "inner").select("_at", left, right, "group"))
+        sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
+        sized = cut(split_join(grouped, sizes, ["group"], "inner"))
+        fits = sized.where(F.col("_n") <= passes.GROUP)
+        taken.append(cut(
+            passes.pass_over(fits, "group", ["_at"], lambda: (set(), set()), _free, [left, right], ["_at", left, right])
+        ))
+        large = cut(sized.where(F.col("_n") > passes.GROUP).select("_at", left, right))
+        taken += _in_rounds(large, left, right, patient=True)[0]
     return reduce(DataFrame.unionByName, taken)
 
 
 def _holder(accepted: DataFrame, key: str, as_: str) -> DataFrame:
-    return accepted.select(key, F.col("seq").alias(as_))
+    return accepted.select(key, F.col("_at").alias(as_))
 
 
 def create_teams(
@@ -58,15 +94,16 @@ def create_teams(
     """Create teams with their founder as first member.
 
     ``commands`` is (seq, name, description, eligible, affiliation, founder_id, auth_ok). Checks in order: missing_name
-    (null), name_taken, does_not_exist (founder), already_on_team, auth; else created. Returns teams, users and the commands with
-    ``outcome`` and ``team_id``.
+    (null), missing_seq (null), name_taken, does_not_exist (founder), already_on_team, auth; else created. Commands
+    apply in ``seq`` order; those of one ``seq`` in the order of a hash of the command, and of equal commands one is
+    created. Returns teams, users and the commands with ``outcome`` and ``team_id``.
     """
     stored = teams.select(fold("name").alias("name_key"), F.lit(True).alias("_stored"))
     founders = users.select(
         F.col("id").alias("founder_id"), F.lit(True).alias("_user"), F.col("team_id").alias("_team")
     )
     known = cut(
-        commands.withColumn("name_key", fold("name"))
+        passes.in_turn(commands).withColumn("name_key", fold("name"))
         .join(stored, "name_key", "left")
         .join(founders, "founder_id", "left")
     )
@@ -76,15 +113,16 @@ def create_teams(
     both = split_join(by_name, _holder(accepted, "founder_id", "_founder_at"), ["founder_id"])
     outcome = (
         F.when(F.col("name").isNull(), "missing_name")
-        .when(F.col("_stored") | (F.col("_name_at") < F.col("seq")), "name_taken")
+        .when(F.col("seq").isNull(), "missing_seq")
+        .when(F.col("_stored") | (F.col("_name_at") < F.col("_at")), "name_taken")
         .when(F.col("_user").isNull(), "does_not_exist")
-        .when(F.col("_team").isNotNull() | (F.col("_founder_at") < F.col("seq")), "already_on_team")
+        .when(F.col("_team").isNotNull() | (F.col("_founder_at") < F.col("_at")), "already_on_team")
         .when(~F.coalesce("auth_ok", F.lit(False)), "auth")
         .otherwise("created")
     )
     made_id = stable_id("team", "name_key") if new_id is None else new_id
     judged = both.withColumn("outcome", outcome).withColumn("team_id", F.when(outcome == "created", made_id))
-    judged = cut(judged.drop("_stored", "_user", "_team", "_name_at", "_founder_at", "name_key"))
+    judged = cut(judged.drop("_stored", "_user", "_team", "_name_at", "_founder_at", "name_key", "_at"))
 
     made = judged.where("outcome = 'created'")
     new_teams = made.select(
@@ -108,12 +146,13 @@ def create_users(
     """Create users with their credential; name and email are unique.
 
     ``commands`` is (seq, name, email, eligible, admin, sub, provider). Returns users, credentials and the commands
-    with ``outcome``: missing_name or missing_email (null), name_taken, email_taken or created.
+    with ``outcome``: missing_name, missing_email or missing_seq (null), name_taken, email_taken or created. Commands
+    of one ``seq`` apply in the order of a hash of the command.
     """
     names = users.select(fold("name").alias("name_key"), F.lit(True).alias("_name"))
     emails = users.select(fold("email").alias("email_key"), F.lit(True).alias("_email"))
     known = cut(
-        commands.withColumn("name_key", fold("name"))
+        passes.in_turn(commands).withColumn("name_key", fold("name"))
         .withColumn("email_key", fold("email"))
         .join(names, "name_key", "left")
         .join(emails, "email_key", "left")
@@ -124,13 +163,14 @@ def create_users(
     outcome = (
         F.when(F.col("name").isNull(), "missing_name")
         .when(F.col("email").isNull(), "missing_email")
-        .when(F.col("_name") | (F.col("_name_at") < F.col("seq")), "name_taken")
-        .when(F.col("_email") | (F.col("_email_at") < F.col("seq")), "email_taken")
+        .when(F.col("seq").isNull(), "missing_seq")
+        .when(F.col("_name") | (F.col("_name_at") < F.col("_at")), "name_taken")
+        .when(F.col("_email") | (F.col("_email_at") < F.col("_at")), "email_taken")
         .otherwise("created")
     )
     made_id = stable_id("user", "name_key") if new_id is None else new_id
     judged = both.withColumn("outcome", outcome).withColumn("user_id", F.when(outcome == "created", made_id))
-    judged = cut(judged.drop("_name", "_email", "_name_at", "_email_at", "name_key", "email_key"))
+    judged = cut(judged.drop("_name", "_email", "_name_at", "_email_at", "name_key", "email_key", "_at"))
 
     made = judged.where("outcome = 'created'")
     new_users = made.select(

@@ -4,7 +4,7 @@ import random
 
 from helpers import as_dict, frame
 
-from solvelake.operators import access
+from solvelake.operators import access, passes
 
 USERS = "id long, team_id long, admin boolean"
 CREDS = "user_id long, provider_name string, sub string"
@@ -92,3 +92,32 @@ def test_promotion_before_rights_fails(spark):
         frame(spark, commands, "seq long, admin_id long, target_id long, auth_ok boolean"), frame(spark, users, USERS)
     )
     assert as_dict(got, "seq", "outcome") == {1: "auth", 2: "promoted", 3: "promoted"}
+
+
+PROMOTE = "seq long, admin_id long, target_id long, auth_ok boolean"
+
+
+def test_long_promotion_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of a thousand, half of it out of order, with commands that no admin ever backs."""
+    cuts, real = [], passes.cut
+    for m in (access, passes):
+        monkeypatch.setattr(m, "cut", lambda df: cuts.append(1) or real(df))
+    users = [(i, None, i == 0) for i in range(1200)]
+    commands = [(i, i, i + 1, True) for i in range(1000)]
+    commands += [(5000 - i, 1100 + i, 1101 + i, True) for i in range(50)]
+    got = access.promotions(frame(spark, commands, PROMOTE), frame(spark, users, USERS))
+    assert as_dict(got, "seq", "outcome") == sequential(commands, users)
+    assert len(cuts) <= 60
+
+
+def test_large_promotion_groups_and_places(spark, monkeypatch):
+    monkeypatch.setattr(passes, "GROUP", 3)
+    users = [(i, None, i == 0) for i in range(40)]
+    rng = random.Random(5)
+    commands = [(i, i, i + 1, True) for i in range(9)] + [(100 + i, rng.randrange(40), rng.randrange(40), True) for i in range(60)]
+    got = access.promotions(frame(spark, [*commands, (None, 0, 39, True)], PROMOTE), frame(spark, users, USERS))
+    assert as_dict(got.where("seq is not null"), "seq", "outcome") == sequential(commands, users)
+    assert [r["outcome"] for r in got.where("seq is null").collect()] == ["missing_seq"]
+    # Two commands of one place apply one after the other: either order gives one or two promotions of a chain.
+    pair = access.promotions(frame(spark, [(1, 0, 1, True), (1, 1, 2, True)], PROMOTE), frame(spark, users, USERS))
+    assert as_dict(pair, "target_id", "outcome")[1] == "promoted"

@@ -6,7 +6,7 @@ import pytest
 from helpers import as_dict, as_list, as_set, frame, ts
 from pyspark.sql import functions as F
 
-from solvelake.operators import creation, credentials, ledger, patches, quality, refresh, removal, upserts
+from solvelake.operators import creation, credentials, ledger, passes, patches, quality, refresh, removal, upserts
 
 NOW, OLD = str(ts(500)), ts(0)
 USER = "id long, name string, email string, team_id long, eligible boolean, admin boolean, score int, " \
@@ -227,8 +227,8 @@ def test_new_provider_row(spark):
 
 
 def test_null_claims_end(spark):
-    claims = frame(spark, [(1, None, "a"), (2, "x", None), (3, "x", "a"), (4, "x", "b")], "seq long, l string, r string")
-    assert as_set(creation.first_come(claims, "l", "r"), "seq") == {(3,)}
+    claims = placed(spark, [(1, None, "a"), (2, "x", None), (3, "x", "a"), (4, "x", "b")])
+    assert seqs(creation.first_come(claims, "l", "r")) == [3]
 
 
 def test_touch_without_an_instant(spark):
@@ -410,3 +410,95 @@ def test_cascade(spark):
     assert got["users"] == {1, 2, 3}
     got = ids(removal.cascade_delete(tables, "users", frame(spark, [(2,)], "id long")))
     assert got["solve_attempts"] == {1, 4} and got["solve_successes"] == {1} and got["auth_oauth"] == {1}
+
+
+# --- order and long chains ---------------------------------------------------------------------------------------
+
+CLAIM = "seq long, l string, r string"
+
+
+def placed(spark, rows, ddl=CLAIM):
+    return passes.in_turn(frame(spark, rows, ddl))
+
+
+def seqs(df):
+    return sorted(r["_at"]["seq"] for r in df.collect())
+
+
+def one_by_one(rows):
+    left, right, out = set(), set(), []
+    for seq, a, b in sorted(rows):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            out.append(seq)
+    return out
+
+
+def counting(monkeypatch, *modules):
+    cuts, real = [], passes.cut
+    for m in modules:
+        monkeypatch.setattr(m, "cut", lambda df: cuts.append(1) or real(df))
+    return cuts
+
+
+def test_claims_without_seq_and_with_equal_seq(spark):
+    rows = [(None, "x", "a"), (None, "x", "a"), (5, "a", "x"), (5, "a", "y"), (5, "a", "x"), (6, "b", "y")]
+    got = [(r["_at"]["seq"], r["l"], r["r"]) for r in creation.first_come(placed(spark, rows), "l", "r").collect()]
+    assert len(got) == 2 and sum(g[:2] == (5, "a") for g in got) == 1
+    assert (6, "b", "y") in got or (5, "a", "y") in got
+    assert creation.first_come(placed(spark, rows[:2]), "l", "r").isEmpty()
+
+
+def test_claims_in_a_chain_take_few_rounds(spark, monkeypatch):
+    """A thousand claims that each wait for the one before, beside a hot key and random claims."""
+    cuts = counting(monkeypatch, creation, passes)
+    chain = [(i, f"l{i // 2}", f"r{(i + 1) // 2}") for i in range(1000)]
+    assert seqs(creation.first_come(placed(spark, chain), "l", "r")) == one_by_one(chain)
+    assert len(cuts) <= 60  # four a round of the groups, of which there are about a dozen
+    rng = random.Random(8)
+    rows = [(i, f"a{rng.randrange(60)}", f"b{rng.randrange(60)}" if i % 3 else "hot") for i in range(600)]
+    assert seqs(creation.first_come(placed(spark, rows), "l", "r")) == one_by_one(rows)
+
+
+def test_large_groups_go_on_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(passes, "GROUP", 5)
+    chain = [(i, f"l{i // 2}", f"r{(i + 1) // 2}") for i in range(24)] + [(50 + i, f"x{i // 2}", f"y{(i + 1) // 2}") for i in range(4)]
+    assert seqs(creation.first_come(placed(spark, chain), "l", "r")) == one_by_one(chain)
+
+
+def test_groups_of_links(spark):
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, 100), (200, 201), (203, 201), (300, 7)]
+    got = as_dict(passes.groups(frame(spark, links, "a long, b long"), "a", "b"), "node", "group")
+    want = {i: 1 for i in [*range(1, 41), 300]} | {100: 100, 200: 200, 201: 200, 203: 200}
+    assert got == want
+    assert passes.groups(frame(spark, [], "a long, b long"), "a", "b").count() == 0
+
+
+def test_create_teams_without_seq(spark):
+    users = frame(spark, [user(1, name="Ann"), user(2, name="Bob")], USER)
+    teams = frame(spark, [], "id string, name string, description string, eligible boolean, affiliation string, score int, "
+                  "last_solve timestamp_ntz, inserted_at timestamp_ntz, updated_at timestamp_ntz")
+    users = users.withColumn("team_id", F.lit(None).cast("string"))
+    ddl = "seq long, name string, description string, eligible boolean, affiliation string, founder_id long, auth_ok boolean"
+    ask = [(None, "N", "", True, "", 1, True), (4, "T", "", True, "", 1, True), (4, "t", "", True, "", 2, True)]
+    made, _, judged = creation.create_teams(teams, users, frame(spark, ask, ddl), NOW)
+    assert sorted(r[0] for r in judged.select("outcome").collect()) == ["created", "missing_seq", "name_taken"]
+    assert made.count() == 1 and "_at" not in judged.columns
+
+
+def test_credentials_of_a_user_who_changes_providers(spark, monkeypatch):
+    """1,000 accepted commands of one user, under changing providers: as many jobs as for ten."""
+    ddl = "seq long, user_id long, old_provider string, old_sub string, new_provider string, new_sub string"
+    stored = frame(spark, [(1, "p0", "s0", 10), (2, "p0", "z", 11)], "user_id long, provider_name string, sub string, id long")
+    counts = []
+    for n in (10, 1000):
+        cuts = counting(monkeypatch, credentials, passes)
+        rows = [(i, 1, f"p{i % 3}", f"s{i}", f"p{(i + 1) % 3}", f"s{i + 1}") for i in range(n)]
+        rows += [(None, 1, "p0", "s0", "p1", "q"), (n, 2, "p0", "no", "p1", "x")]
+        now, judged = credentials.update_credentials(stored, frame(spark, rows, ddl), NOW, F.lit(99))
+        got = as_set(judged.groupBy("outcome").count(), "outcome", "count")
+        assert got == {("stored", n), ("auth", 1), ("missing_seq", 1)}
+        assert as_dict(now.where("user_id = 1"), "provider_name", "sub")[f"p{n % 3}"] == f"s{n}"
+        counts.append(len(cuts))
+    assert counts[0] == counts[1]
