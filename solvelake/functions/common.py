@@ -32,8 +32,13 @@ def stamp(text: str | None) -> Column:
 
 
 def stable_id(kind: str, *cols: Column | str) -> Column:
-    """A uuid-shaped id that depends only on its inputs, so a retried task writes the same id."""
-    digest = F.md5(F.concat_ws("|", F.lit(kind), *[_c(c).cast("string") for c in cols]))
+    """A uuid-shaped id that depends only on its inputs, so a retried task writes the same id.
+
+    Each part is written with its length, a null as a mark of its own, so that no two lists of parts read alike.
+    """
+    texts = [F.lit(kind), *[_c(c).cast("string") for c in cols]]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    digest = F.md5(F.concat_ws("|", *parts))
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(digest, start, size) for start, size in cuts])
 

@@ -1,25 +1,34 @@
 """Partial updates: a batch of patches equals applying them one at a time in ``seq`` order.
 
 A null field of a patch leaves the column as it is, so the value that stands is the last non-null one. A tri-state
-field ``x`` comes with a boolean ``has_x``: set, cleared (``has_x`` and null) or left alone.
+field ``x`` comes with a boolean ``has_x``: set, cleared (``has_x`` and null) or left alone. A patch without a ``seq``
+has no place in the order: it changes nothing and affects no row. Patches of one ``seq`` apply by the value they set,
+the largest last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.functions.common import fold, stamp
-from solvelake.operators.quality import require_unique
+from solvelake.operators.quality import change_duplicates, unless_clashes
+from solvelake.schemas import UNIQUE
 
 
 def fold_patches(patches: DataFrame, key: str, fields: Sequence[str], tri_state: Sequence[str] = ()) -> DataFrame:
     """One row per key with the last value per field; tri-state fields become a struct that is null if untouched."""
-    last = [F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f"_{f}") for f in fields]
-    last += [F.max_by(F.struct(F.col(f).alias("v")), F.when(F.col(f"has_{f}"), F.col("seq"))).alias(f"_{f}") for f in tri_state]
-    return patches.groupBy(F.col(key).alias("id")).agg(*last, F.count(F.lit(1)).alias("_patches"))
+
+    def latest(value: Column, given: Column) -> Column:
+        return F.max(F.when(given, F.struct(F.col("seq").alias("seq"), value.alias("v"))))
+
+    last = [latest(F.col(f), F.col(f).isNotNull())["v"].alias(f"_{f}") for f in fields]
+    last += [latest(F.struct(F.col(f).alias("v")), F.col(f"has_{f}"))["v"].alias(f"_{f}") for f in tri_state]
+    placed = patches.where("seq is not null")
+    return placed.groupBy(F.col(key).alias("id")).agg(*last, F.count(F.lit(1)).alias("_patches"))
 
 
 def apply_patches(
@@ -30,41 +39,55 @@ def apply_patches(
     tri_state: Sequence[str] = (),
     touch: bool = False,
     now: str | None = None,
+    unique: str | None = None,
 ) -> DataFrame:
-    """``table`` after all patches; with ``touch``, ``updated_at`` of patched rows becomes ``now`` (None: the clock)."""
+    """``table`` after all patches; with ``touch``, ``updated_at`` of patched rows becomes ``now`` (None: the clock).
+
+    ``unique`` names the table whose unique keys the patches must leave whole; only the keys that they change are
+    looked at (see ``quality.unless_clashes``).
+    """
     folded = fold_patches(patches, key, fields, tri_state)
     new = {f: F.coalesce(f"_{f}", f) for f in fields}
+    keys = [k for k in UNIQUE.get(unique, []) if set(k) <= set(fields)] if unique else []
     for f in tri_state:
         new[f] = F.when(F.col(f"_{f}").isNotNull(), F.col(f"_{f}.v")).otherwise(F.col(f))
     if touch:
         new["updated_at"] = F.when(F.col("_patches").isNotNull(), stamp(now)).otherwise(F.col("updated_at"))
     extra = [f"_{f}" for f in [*fields, *tri_state]]
-    return table.join(folded, "id", "left").withColumns(new).drop("_patches", *extra)
+    out = table.join(folded, "id", "left").withColumns(new).drop("_patches", *extra)
+    if not keys:
+        return out
+    columns = [c for c in fields if any(c in k for k in keys)]
+    changed = folded.where(reduce(lambda a, b: a | b, [F.col(f"_{c}").isNotNull() for c in columns]))
+    after = table.select("id", *{c for k in keys for c in k}).join(changed.withColumn("_wrote", F.lit(True)), "id", "left")
+    after = after.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).withColumn("_wrote", F.coalesce("_wrote", F.lit(False)))
+    written = changed.select(*[F.col(f"_{c}").alias(c) for c in columns])
+    return unless_clashes(out, change_duplicates(after, written, unique), unique)
 
 
 def patch_outcomes(patches: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """(seq, id, affected): 1 if the patched row exists, else 0 (the request fails)."""
+    """(seq, id, affected): 1 if the patched row exists, else 0 (the request fails); 0 without a ``seq``."""
     known = table.select(F.col("id").alias(key), F.lit(1).cast("bigint").alias("_n"))
     zero = F.lit(0).cast("bigint")
     return patches.select("seq", key).join(known, key, "left").select(
-        "seq", F.col(key).alias("id"), F.coalesce("_n", zero).alias("affected")
+        "seq", F.col(key).alias("id"), F.when(F.col("seq").isNull(), zero).otherwise(F.coalesce("_n", zero)).alias("affected")
     )
 
 
 def patch_teams(teams: DataFrame, patches: DataFrame, unique: bool = True) -> DataFrame:
     """Patches (seq, team_id, name, description, eligible, affiliation, has_affiliation); no ``updated_at`` change.
 
-    Here and below, a batch after which two rows share a unique key is refused as a whole, with a ValueError;
-    ``unique=False`` leaves that check to the caller.
+    Here and below, a batch after which a row shares a unique key that it wrote is refused as a whole: the result
+    fails when it is used. ``unique=False`` leaves that check to the caller.
     """
-    out = apply_patches(teams, patches, "team_id", ["name", "description", "eligible"], ["affiliation"])
-    return require_unique(out, "teams") if unique else out
+    fields = ["name", "description", "eligible"]
+    return apply_patches(teams, patches, "team_id", fields, ["affiliation"], unique="teams" if unique else None)
 
 
 def patch_users(users: DataFrame, patches: DataFrame, now: str | None, unique: bool = True) -> DataFrame:
     """Patches (seq, user_id, name, eligible, admin)."""
-    out = apply_patches(users, patches, "user_id", ["name", "eligible", "admin"], touch=True, now=now)
-    return require_unique(out, "users") if unique else out
+    fields = ["name", "eligible", "admin"]
+    return apply_patches(users, patches, "user_id", fields, touch=True, now=now, unique="users" if unique else None)
 
 
 CHALLENGE_FIELDS = [
@@ -74,14 +97,15 @@ CHALLENGE_FIELDS = [
 
 def patch_challenges(challenges: DataFrame, patches: DataFrame, now: str | None, unique: bool = True) -> DataFrame:
     """Patches (seq, challenge_id, the nine fields, links); see ``patched_links`` for the links."""
-    out = apply_patches(challenges, patches, "challenge_id", CHALLENGE_FIELDS, touch=True, now=now)
-    return require_unique(out, "challenges") if unique else out
+    table = "challenges" if unique else None
+    return apply_patches(challenges, patches, "challenge_id", CHALLENGE_FIELDS, touch=True, now=now, unique=table)
 
 
 def patched_links(patches: DataFrame) -> DataFrame:
     """(challenge_id, links): the last link list given for each challenge, if any was."""
-    given = patches.where("links is not null")
-    return given.groupBy("challenge_id").agg(F.max_by("links", "seq").alias("links"))
+    given = patches.where("links is not null and seq is not null")
+    last = F.max(F.struct("seq", "links"))["links"]
+    return given.groupBy("challenge_id").agg(last.alias("links"))
 
 
 def join_team(users: DataFrame, teams: DataFrame, commands: DataFrame, now: str | None) -> tuple[DataFrame, DataFrame]:

@@ -20,9 +20,8 @@ def duplicates(df: DataFrame, keys: list[str], folded: Iterable[str] = ()) -> Da
     return df.dropna(subset=keys).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def table_duplicates(df: DataFrame, table: str) -> DataFrame:
-    """(table, key, value, n) over the primary and unique keys of ``table`` that ``df`` has, in one pass."""
-    keys = [k for k in [schemas.PRIMARY_KEYS[table], *schemas.UNIQUE.get(table, [])] if set(k) <= set(df.columns)]
+def _entries(df: DataFrame, table: str, keys: list[list[str]], *more: str) -> DataFrame:
+    """(key, value, sizes, and the columns ``more``): one row for each of ``keys`` without a null part."""
     folded = schemas.FOLDED.get(table, ())
     parts = []
     for k in keys:
@@ -32,20 +31,58 @@ def table_duplicates(df: DataFrame, table: str) -> DataFrame:
         sizes = F.concat_ws(",", *[F.length(t).cast("string") for t in texts])
         entry = F.struct(F.lit(",".join(k)).alias("key"), F.concat_ws(",", *texts).alias("value"), sizes.alias("sizes"))
         parts.append(F.when(whole, entry))
-    rows = df.select(F.inline(F.array_compact(F.array(*parts))))
+    return df.select(F.inline(F.array_compact(F.array(*parts))), *more)
+
+
+def _keys(df: DataFrame, table: str) -> list[list[str]]:
+    return [k for k in [schemas.PRIMARY_KEYS[table], *schemas.UNIQUE.get(table, [])] if set(k) <= set(df.columns)]
+
+
+def table_duplicates(df: DataFrame, table: str) -> DataFrame:
+    """(table, key, value, n) over the primary and unique keys of ``table`` that ``df`` has, in one pass."""
+    rows = _entries(df, table, _keys(df, table))
     counted = rows.groupBy("key", "value", "sizes").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return counted.select(F.lit(table).alias("table"), "key", "value", "n")
 
 
+def _refuse(clashes: DataFrame, table: str) -> None:
+    found = clashes.limit(5).collect()
+    if found:
+        shown = "; ".join(f"{r['key']}={r['value']} ({r['n']} rows)" for r in found)
+        raise ValueError(f"unique keys of {table} violated: {shown}")
+
+
 def require_unique(df: DataFrame, table: str) -> DataFrame:
     """``df`` itself, or a ValueError that names some clashing keys: a batch that would break a key is not written."""
-    clashes = table_duplicates(df, table).limit(5).collect()
-    if clashes:
-        shown = "; ".join(f"{r['key']}={r['value']} ({r['n']} rows)" for r in clashes)
-        raise ValueError(f"unique keys of {table} violated: {shown}")
+    _refuse(table_duplicates(df, table), table)
     return df
 
 
+def change_duplicates(rows: DataFrame, written: DataFrame, table: str) -> DataFrame:
+    """(table, key, value, n) for the unique keys that a batch writes and that clash in ``rows``, the table after it.
+
+    ``rows`` has the key columns and ``_wrote``, true for rows whose keys the batch may have changed. ``written`` has
+    all values that the batch may write, by key column, without the table. Rows with other values are not shuffled, as
+    long as ``written`` is small enough for the planner to send to every task.
+    """
+    keys = _keys(written, table)
+    entry = ["key", "value", "sizes"]
+    met = _entries(rows, table, keys, "_wrote").join(_entries(written, table, keys), entry, "left_semi")
+    counted = met.groupBy(*entry).agg(F.count(F.lit(1)).alias("n"), F.max("_wrote").alias("_wrote"))
+    return counted.where("n > 1 and _wrote").select(F.lit(table).alias("table"), "key", "value", "n")
+
+
+def unless_clashes(out: DataFrame, clashes: DataFrame, table: str) -> DataFrame:
+    """``out``, which fails when it is used if there are ``clashes`` (see ``change_duplicates``), and names one of them.
+
+    The check is a subquery of the same plan: what it shares with ``out`` is computed once, and no row is given out
+    before it is done.
+    """
+    named = F.concat(F.lit(f"unique keys of {table} violated: "), "key", F.lit("="), "value", F.lit(" ("), F.col("n").cast("string"), F.lit(" rows)"))
+    found = clashes.agg(F.min(named).alias("clash")).scalar()
+    return out.where(F.when(found.isNull(), F.lit(True)).otherwise(F.raise_error(found).cast("boolean")))
+
+
 def orphans(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
     """Rows of ``child`` whose non-null ``column`` points to no row of ``parent``."""
     ids = parent.select(F.col("id").alias(column))

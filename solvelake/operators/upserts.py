@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from solvelake.functions.common import stable_id, stamp
 from solvelake.operators.joins import split_join
-from solvelake.operators.quality import require_unique
+from solvelake.operators.quality import change_duplicates, require_unique, unless_clashes
 from solvelake.schemas import LINK_TYPES
 from solvelake.session import cut
 
@@ -56,10 +56,11 @@ def upsert_challenges(
 
     ``commands`` is (seq, id or null, source_folder, the upsert fields, links). The last command per folder stands.
     An id given explicitly replaces the stored one, but not if rows of ``children`` (frames with a ``challenge_id``)
-    hang on that: such commands are rejected. ``new_id`` names created challenges and may use source_folder.
+    hang on that: such commands are rejected, as are those without a ``seq``. ``new_id`` names created challenges and may use source_folder.
 
-    A batch after which two challenges share an id, a name or a folder is refused as a whole, with a ValueError, unless
-    ``unique`` is false.
+    A batch after which a challenge that it wrote shares its id or name with another is refused as a whole, unless
+    ``unique`` is false: the returned challenges and links fail when they are used. Only the keys that the batch writes
+    are met with the table.
 
     Returns the challenges, the link replacements for ``replace_links``, and the commands with ``outcome``.
     """
@@ -77,15 +78,15 @@ def upsert_challenges(
     )
     clash = F.col("_pinned").isNotNull() & F.col("id").isNotNull() & (F.col("id") != F.col("_pinned"))
     judged = split_join(commands, pinned, ["source_folder"]).withColumn(
-        "outcome", F.when(clash, "id_in_use").otherwise("stored")
+        "outcome", F.when(F.col("seq").isNull(), "missing_seq").when(clash, "id_in_use").otherwise("stored")
     ).drop("_pinned")
 
     last = (
         judged.where("outcome = 'stored'")
         .groupBy("source_folder")
         .agg(
-            F.max_by(F.struct(*UPSERT_FIELDS, "links"), "seq").alias("new"),
-            F.max_by("id", F.when(F.col("id").isNotNull(), F.col("seq"))).alias("given"),
+            F.max(F.struct("seq", F.struct(*UPSERT_FIELDS, "links").alias("new")))["new"].alias("new"),
+            F.max(F.when(F.col("id").isNotNull(), F.struct("seq", "id")))["id"].alias("given"),
         )
     )
     made_id = stable_id("challenge", "source_folder") if new_id is None else new_id
@@ -98,6 +99,11 @@ def upsert_challenges(
     columns["updated_at"] = F.when(fresh, stamp(now)).otherwise(F.col("updated_at"))
     merged = both.withColumns(columns)
     if unique:
-        require_unique(merged.select("id", "name", "source_folder"), "challenges")
+        after = challenges.select("source_folder", F.col("id").alias("old_id"), "name").join(last, "source_folder", "full")
+        after = after.select(
+            F.coalesce("given", "old_id", made_id).alias("id"), F.coalesce("new.name", "name").alias("name"), fresh.alias("_wrote")
+        )
+        written = last.select(F.coalesce("given", made_id).alias("id"), "new.name")
+        merged = unless_clashes(merged, change_duplicates(after, written, "challenges"), "challenges")
     lists = merged.where(fresh).select(F.col("id").alias("challenge_id"), F.col("new.links").alias("links"))
     return merged.select(*challenges.columns), lists, judged

@@ -43,7 +43,7 @@ def stored_tables(spark, sf):
     """
     select id, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-'
                || substr(m, 21, 12) made
-    from (select id, md5('user|' || lower(name)) m from users)
+    from (select id, md5('4:user|' || length(lower(name)) || ':' || lower(name)) m from users)
     """,
 )
 def made_ids(spark, sf):

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from helpers import as_dict, as_list, as_set, frame, ts
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from solvelake.operators import creation, credentials, ledger, passes, patches, quality, refresh, removal, upserts
@@ -295,11 +296,11 @@ def test_clashing_upserts_are_refused(spark):
         "links array<struct<type:string,location:string>>"
     none = frame(spark, [], LINK)
     same_id = frame(spark, [command(1, 2, "a", 1, [])], ddl)
-    with pytest.raises(ValueError, match="id=2"):
-        upserts.upsert_challenges(challenges, same_id, [none], NOW)
+    with pytest.raises(SparkRuntimeException, match="id=2"):
+        upserts.upsert_challenges(challenges, same_id, [none], NOW)[0].collect()
     two_ids = frame(spark, [command(1, 9, "a", 1, []), command(2, 9, "z", 1, [])], ddl)
-    with pytest.raises(ValueError, match="id=9"):
-        upserts.upsert_challenges(challenges, two_ids, [none], NOW)
+    with pytest.raises(SparkRuntimeException, match="id=9"):
+        upserts.upsert_challenges(challenges, two_ids, [none], NOW)[0].collect()
     lists = frame(spark, [(1, [("web", "u"), ("nc", "u")])], "challenge_id long, links array<struct<type:string,location:string>>")
     with pytest.raises(ValueError, match="challenge_id,url=1,u"):
         upserts.replace_links(none, challenges, lists)
@@ -320,12 +321,40 @@ def test_link_lists_for_unknown_challenges(spark):
 def test_clashing_rename_is_refused(spark):
     users = frame(spark, [user(1, name="Ann"), user(2, name="Bob")], USER)
     p = frame(spark, [(1, 2, "ANN", None, None)], "seq long, user_id long, name string, eligible boolean, admin boolean")
-    with pytest.raises(ValueError, match="name=ann"):
-        patches.patch_users(users, p, NOW)
+    with pytest.raises(SparkRuntimeException, match="name=ann"):
+        patches.patch_users(users, p, NOW).collect()
     assert patches.patch_users(users, p, NOW, unique=False).count() == 2
     assert quality.require_unique(users, "users") is users
 
 
+def test_keys_of_a_change(spark):
+    """Swaps and moves are fine, clashes with rows that stay or among the written rows are not; other rows do not count."""
+    users = frame(spark, [user(i, name=n) for i, n in enumerate(["Ann", "Bob", "Cy", "Cy"])], USER)
+    ddl = "seq long, user_id long, name string, eligible boolean, admin boolean"
+
+    def renamed(*names):
+        rows = [(s, i, n, None, None) for s, (i, n) in enumerate(names)]
+        return as_dict(patches.patch_users(users, frame(spark, rows, ddl), NOW), "id", "name")
+
+    assert renamed((0, "Bob"), (1, "ann")) == {0: "Bob", 1: "ann", 2: "Cy", 3: "Cy"}
+    assert renamed((0, "Zed"), (9, "Bob"))[0] == "Zed"
+    for clash in ([(0, "bob")], [(0, "New"), (1, "NEW")], [(0, "x"), (1, "cy")], [(2, "CY")]):
+        with pytest.raises(SparkRuntimeException, match="name="):
+            renamed(*clash)
+
+
+def test_patches_without_seq_or_of_one_seq(spark):
+    users = frame(spark, [user(1, name="Ann"), user(2, name="Bob"), user(3, name="Cy")], USER)
+    ddl = "seq long, user_id long, name string, eligible boolean, admin boolean"
+    p = frame(spark, [(None, 1, "No", True, None), (7, 2, "Ba", None, None), (7, 2, "Bz", None, True), (7, 2, "Bk", None, False)], ddl)
+    out = patches.patch_users(users, p, NOW)
+    assert as_dict(out, "id", "name") == {1: "Ann", 2: "Bz", 3: "Cy"}
+    assert as_dict(out, "id", "updated_at") == {1: OLD, 2: ts(500), 3: OLD}
+    assert as_dict(out, "id", "admin")[2] is True
+    got = [(r[0], r[2]) for r in patches.patch_outcomes(p, users, "user_id").orderBy("seq").collect()]
+    assert got == [(None, 0), (7, 1), (7, 1), (7, 1)]
+
+
 ATTEMPT = "id long, flag_guess string, correct boolean, user_id long, challenge_id long, team_id long, " \
     "inserted_at timestamp_ntz"
 

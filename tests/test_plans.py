@@ -8,8 +8,9 @@ import pytest
 from helpers import frame, ts
 from pyspark.sql import functions as F
 
-from solvelake.operators import access, leaderboard, ledger, patches, scores
+from solvelake.operators import access, leaderboard, ledger, patches, quality, scores
 from solvelake.plans import QUERIES
+from solvelake.session import cut
 from solvelake.sources import testbed as tb
 
 SMALL = "/root/testdata/sf0.001"
@@ -118,9 +119,8 @@ def test_history_windows_stay_small_for_a_hot_team(spark):
 
 
 def test_patches_combine_before_the_shuffle(spark):
-    users = frame(spark, [(1, "a", True, False, ts(0))], "id long, name string, eligible boolean, admin boolean, updated_at timestamp_ntz")
     p = frame(spark, [(1, 1, "b", None, None)], "seq long, user_id long, name string, eligible boolean, admin boolean")
-    assert "partial_max_by" in plan(patches.patch_users(users, p, str(ts(1))))
+    assert "partial_max(" in plan(patches.fold_patches(p, "user_id", ["name", "eligible", "admin"]))
 
 
 def test_limit_is_checked_before_any_plan():
@@ -132,3 +132,12 @@ def test_limit_is_checked_before_any_plan():
 def test_few_scans(spark, name, scans):
     """Children are read once, whatever the number of their parents, and deleted sets are written once."""
     assert plan(QUERIES[name](spark, SMALL)).count("FileScan") <= scans
+
+
+def test_unique_keys_are_checked_by_change(spark):
+    """The table is read for the keys that a batch writes, and is neither counted nor shuffled for that."""
+    after = cut(tb.users(spark, SMALL).select("id", "name", (F.col("id") < 5).alias("_wrote")))
+    text = plan(quality.change_duplicates(after, cut(after.where("_wrote").select("name")), "users"))
+    assert "LeftSemi, BuildRight" in text and text.count("FileScan") == 2
+    # Only rows that hold a written key are shuffled, to be counted.
+    assert text.count("Exchange hashpartitioning") == 1

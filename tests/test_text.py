@@ -127,6 +127,10 @@ def test_ids_and_times(spark):
     assert len(got[3]) == 36 and len(got[4]) == 36 and got[3] != got[4]
     a, b, c = one(spark, stable_id("k", F.lit(1)), stable_id("k", F.lit(1)), stable_id("j", F.lit(1)))
     assert a == b != c
+    none = F.lit(None).cast("string")
+    lists = [["a|b", "c"], ["a", "b|c"], ["u", none], ["u"], ["u", "-"], [none, "u"], ["u", ""], ["1:a"], ["a"]]
+    made = one(spark, *[stable_id("k", *[F.lit(p) if isinstance(p, str) else p for p in parts]) for parts in lists])
+    assert len(set(made)) == len(lists)
     half = F.lit("2024-01-01 00:00:00.5").cast("timestamp_ntz")
     less = F.lit("2024-01-01 00:00:00.499999").cast("timestamp_ntz")
     assert one(spark, epoch(to_second(half)), epoch(to_second(less))) == (1704067201, 1704067200)
