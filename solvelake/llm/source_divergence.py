@@ -15,8 +15,9 @@ from solvelake.llm.base import discard, store
 
 #: Terms in a shard, on average; shards are told to tasks until they have so many bytes, the others in later passes.
 SHARD, TOLD = 1 << 14, 48 << 20
-#: Entries that a task counts before it hands them on, slots that it holds, and bytes of text that it splits at a time.
-ENTRIES, SLOTS, SPLIT = 1 << 18, 1 << 22, 1 << 22
+#: Entries that a task holds before it hands them on or forgets them, terms that it looks up together, slots that it
+#: holds, and bytes of text that it splits at a time.
+ENTRIES, TERMS, SLOTS, SPLIT = 1 << 18, 1 << 20, 1 << 22, 1 << 22
 
 #: Bytes of terms: A-Z as a-z, other ASCII characters than letters as spaces.
 FOLD = bytes(
@@ -117,8 +118,8 @@ def names(tables: DataFrame) -> DataFrame:
 def recount(docs: DataFrame, tables: DataFrame, shards: int) -> DataFrame:
     """``lang``, ``source``, ``id``, ``n``: occurrences of kept terms in each group, where there are any.
 
-    Tasks get the perfect hashes, look every term of their texts up, and add to an array of slots per group and shard;
-    what they hand on is summed. If the hashes have more than ``TOLD`` bytes, the texts are read once for each so many.
+    Tasks get the perfect hashes, look the terms of their texts up, and add to an array of slots per group and shard;
+    what they hand on is summed. A term that was looked up lately is remembered with its slot. If the hashes have more than ``TOLD`` bytes, the texts are read once for each so many.
     """
     spark = docs.sparkSession
     passes: list[list[int]] = []
@@ -136,54 +137,60 @@ def recount(docs: DataFrame, tables: DataFrame, shards: int) -> DataFrame:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = {shard: perfect_hash.load(data) for shard, data in told.value.items()}
-            held: dict[tuple[bytes, bytes], Counter] = {}
+            places: dict[bytes, dict[bytes, int]] = {}  # by language: the id of a term, -1 for those without a slot
+            held: dict[tuple[bytes, bytes], list[bytes]] = {}
             slots: dict[tuple[bytes, bytes, int], np.ndarray] = {}
 
+            def learn(lang: bytes, new: list[bytes]) -> None:
+                keys = [lang + b"\0" + term for term in new]
+                hashed = perfect_hash.hash_keys(keys)
+                shard = hashed.view(np.int64) % shards
+                ids = np.full(len(keys), -1)
+                for k in np.unique(shard).tolist():
+                    if k in hashes:
+                        own = np.flatnonzero(shard == k)
+                        slot = hashes[k].slots([keys[i] for i in own.tolist()], hashed[own])
+                        ids[own] = np.where(slot < 0, -1, k << 32 | slot)
+                places[lang].update(zip(new, ids.tolist(), strict=True))
+
             def settle() -> None:
-                for (lang, source), counts in held.items():
-                    if not counts:
-                        continue
-                    keys = [lang + b"\0" + term for term in counts]
-                    n = np.fromiter(counts.values(), np.int64, len(counts))
-                    hashed = perfect_hash.hash_keys(keys)
-                    shard = hashed.view(np.int64) % shards
-                    order = np.argsort(shard, kind="stable")
-                    edges = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0))
-                    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
-                        table = hashes.get(int(shard[order[a]]))
-                        if table is None:
-                            continue
-                        own = order[a:b]
-                        slot = table.slots([keys[k] for k in own.tolist()], hashed[own])
-                        name = (lang, source, int(shard[own[0]]))
+                for (lang, source), found in held.items():
+                    place = places.setdefault(lang, {})
+                    if len(place) > ENTRIES:
+                        place.clear()
+                    new = list(set(found).difference(place))
+                    if new:
+                        learn(lang, new)
+                    ids = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+                    ids, n = np.unique(ids[ids >= 0], return_counts=True)
+                    shard, slot = ids >> 32, ids & 0xFFFFFFFF
+                    for k in np.unique(shard).tolist():
+                        name = (lang, source, k)
                         if name not in slots:
-                            slots[name] = np.zeros(len(table), np.int64)
-                        slots[name][slot[slot >= 0]] += n[own][slot >= 0]
+                            slots[name] = np.zeros(len(hashes[k]), np.int64)
+                        slots[name][slot[shard == k]] += n[shard == k]
                 held.clear()
 
             def flush() -> Iterator[pa.RecordBatch]:
                 for (lang, source, shard), array in slots.items():
                     some = np.flatnonzero(array)
-                    if len(some):
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([lang.decode()] * len(some), pa.string()),
-                                pa.array([source.decode()] * len(some), pa.string()),
-                                pa.array((shard << 32) + some), pa.array(array[some]),
-                            ],
-                            names=["lang", "source", "id", "n"],
-                        )
+                    group = [pa.repeat(pa.scalar(x.decode()), len(some)) for x in (lang, source)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*group, pa.array((shard << 32) + some), pa.array(array[some])], names=["lang", "source", "id", "n"]
+                    )
                 slots.clear()
 
+            n = 0
             for batch in batches:
                 for lang, source, text in _rows(batch, "lang", "source", "text"):
-                    counts = held.setdefault((lang, source), Counter())
                     for part in terms(text):
-                        counts.update(part)
-                if sum(map(len, held.values())) > ENTRIES:
-                    settle()
-                    if sum(map(len, slots.values())) > SLOTS:
-                        yield from flush()
+                        held.setdefault((lang, source), []).extend(part)
+                        n += len(part)
+                        if n > TERMS:
+                            settle()
+                            n = 0
+                            if sum(map(len, slots.values())) > SLOTS:
+                                yield from flush()
             settle()
             yield from flush()
 

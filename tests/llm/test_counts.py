@@ -177,7 +177,7 @@ def test_terms_in_parts(monkeypatch):
 @pytest.mark.parametrize(("shard", "told", "entries", "slots"), [(1 << 14, 48 << 20, 1 << 18, 1 << 22), (16, 2000, 50, 30)])
 def test_source_divergence(spark, monkeypatch, shard, told, entries, slots):
     """One shard and many, told at once or in several passes, and tasks that hand on at every batch."""
-    for name, value in (("SHARD", shard), ("TOLD", told), ("ENTRIES", entries), ("SLOTS", slots)):
+    for name, value in (("SHARD", shard), ("TOLD", told), ("ENTRIES", entries), ("TERMS", entries), ("SLOTS", slots)):
         monkeypatch.setattr(source_divergence, name, value)
     rng = random.Random(6)
     rows = [
