@@ -15,9 +15,11 @@ CHUNK = 1 << 18
 _rng = np.random.default_rng(20240229)
 #: A random number for each byte.
 BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-#: The same for bytes with A-Z taken as a-z.
-BYTES_LOWER = BYTES.copy()
-BYTES_LOWER[65:91] = BYTES[97:123]
+#: Bytes with A-Z taken as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The first so many of eight bytes.
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,21 +69,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTES) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands. Spans ascend and do not overlap."""
-    out = np.empty(len(starts), U)
-    first = 0
-    while first < len(starts):
-        base = int(starts[first])
-        last = max(first + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
-        size = int(ends[last - 1]) - base
-        power, inverse = (_POW, _INV) if size <= CHUNK else (_powers(_BASE, size + 1), _powers(_INVERSE, size + 1))
-        sums = np.zeros(size + 1, U)
-        np.cumsum(table[data[base : base + size]] * power[:size], out=sums[1:])
-        a, b = starts[first:last] - base, ends[first:last] - base
-        out[first:last] = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(U)
-        first = last
-    return mix(out)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (``lower``: with A-Z as a-z), the same wherever the span stands.
+
+    Eight bytes after eight are mixed into what came before, so no two spans of up to eight bytes share a hash, and
+    longer ones only as random numbers do.
+    """
+    padded = np.concatenate([LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(U))
+    open_, at = np.flatnonzero(size), 0
+    while len(open_):
+        left = size[open_] - at
+        out[open_] = mix(out[open_] ^ (eight[starts[open_] + at] & _HEADS[np.minimum(left, 8)]))
+        open_, at = open_[left > 8], at + 8
+    return out
 
 
 def grams(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.llm.base import row_key, store, told
 from solvelake.llm.components import components
-from solvelake.llm.hashing import BYTES_LOWER, U, grams, mix, span_hashes, text_pieces, word_spans
+from solvelake.llm.hashing import U, grams, mix, span_hashes, text_pieces, word_spans
 from solvelake.operators.joins import split_join
 
 
@@ -92,7 +92,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The ascending distinct shingle hashes of each text: words lower-cased in A-Z, all of them if fewer than ``size``."""
     for _, offsets, data in text_pieces(column):
         starts, ends, first = word_spans(data, offsets)
-        words = span_hashes(data, starts, ends, BYTES_LOWER)
+        words = span_hashes(data, starts, ends, lower=True)
         runs = grams(words, size)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= size:
@@ -303,6 +303,11 @@ def near_duplicates(
     )
 
 
+def _least_row() -> Column:
+    """Of rows with one id and text the first by all its columns, so that a repeated task keeps the same one."""
+    return F.min_by("_row", F.to_json("_row")).alias("_row")
+
+
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5, index: Index | None = None) -> DataFrame:
     """One row, with its own columns, for each component's smallest document and each text under its id.
 
@@ -317,7 +322,7 @@ def keep_one(docs: DataFrame, percent: int = 80, size: int = 5, index: Index | N
     keys = docs.filter("doc_id is not null").select(F.col("doc_id").alias("_i"), tk.alias("_t"))
     repeated = told(keys.groupBy("_i", "_t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     same = (F.col("_id") == F.col("_i")) & (F.col("_tk") == F.col("_t"))
-    once = named.join(repeated, same, "left_semi").groupBy("_id", "_tk").agg(F.first("_row").alias("_row"))
+    once = named.join(repeated, same, "left_semi").groupBy("_id", "_tk").agg(_least_row())
     kept = named.join(repeated, same, "left_anti").select("_row").union(once.select("_row"))
     return kept.union(_without_id(docs, rows.filter("_id is null"), size, index or index_for(percent))).select("_row.*")
 
@@ -332,6 +337,6 @@ def _without_id(docs: DataFrame, rows: DataFrame, size: int, index: Index) -> Da
     full = sets.filter("n_shingles > 0")
     known = signatures(docs.filter("doc_id is not null"), size, index).select(*mark)
     first = full.groupBy(*mark).agg(F.min("_t").alias("_t")).join(known, mark, "left_anti").select("_t")
-    once = rows.join(told(first), F.col("_tk") == F.col("_t"), "left_semi").groupBy("_tk").agg(F.first("_row").alias("_row"))
+    once = rows.join(told(first), F.col("_tk") == F.col("_t"), "left_semi").groupBy("_tk").agg(_least_row())
     empty = told(sets.filter("n_shingles = 0").select("_t").distinct())
     return once.select("_row").union(rows.join(empty, F.col("_tk") == F.col("_t"), "left_semi").select("_row"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvelake.llm.base import held_out, store
-from solvelake.llm.hashing import BYTES_LOWER, grams, span_hashes, text_pieces, word_spans
+from solvelake.llm.hashing import grams, span_hashes, text_pieces, word_spans
 from solvelake.llm.labels import sample, trainable
 
 #: Bytes whose share of a text is a feature.
@@ -81,7 +81,7 @@ def text_features(column: pa.Array) -> np.ndarray:
         columns = [np.log1p(words), mean, spread]
         counts = np.stack([byte_counts(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
         columns += [counts[:, list(kind)].sum(axis=1) / size for kind in KINDS.values()]
-        hashes = span_hashes(data, starts, ends, BYTES_LOWER)
+        hashes = span_hashes(data, starts, ends, lower=True)
         fives = grams(hashes, 5)
         breaks = np.flatnonzero(data == 10)
         line_starts = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < len(data)], breaks + 1]))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from solvelake.llm.base import discard, parts_for, row_key, store, told
 from solvelake.llm.hashing import U, mix
@@ -36,7 +37,9 @@ Find = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def named(docs: DataFrame) -> DataFrame:
-    """``doc_id`` as a long, ``tk``, ``text``: rows with an id and a text."""
+    """``doc_id`` as a long, ``tk``, ``text``: rows with an id and a text. Ids are whole numbers."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id is a whole number here, not {docs.schema['doc_id'].dataType.simpleString()}")
     return docs.filter("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("tk"), "text"
     )

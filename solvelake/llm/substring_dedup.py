@@ -108,7 +108,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False)
     A word goes if a window of ``window`` consecutive words over it also starts in a document with a smaller doc_id,
     whatever goes there. Null and empty texts have no words. Rows of one doc_id are not smaller than one another;
     equal rows get equal results. Rows without a doc_id stay whole and are no source. Windows are compared by hashes
-    of 64 bits or more.
+    of 64 bits or more. A doc_id that is no whole number is refused with a TypeError.
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words or more")

@@ -378,7 +378,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, with_text: bool = False) ->
     A byte goes if a string of ``length`` bytes of its document covers it that also starts earlier: in a document
     with a smaller doc_id, or before in the same one, overlapping or not, whatever goes there. Null and empty texts
     have no bytes. Equal rows of one doc_id count as one document; rows of one id with different texts stand in the
-    order of a hash of their text. Rows without a doc_id stay whole and are no source.
+    order of a hash of their text. Rows without a doc_id stay whole and are no source. A doc_id that
+    is no whole number is refused with a TypeError.
     """
     cap = length + length - length // 2 + 1
     found = repeated_strings(docs, length)

@@ -263,3 +263,56 @@ def test_span_hashes_do_not_depend_on_place():
         found += [hashes[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
     assert [len(f) for f in found] == [2, 0, 0, 3, 2]
     assert found[0][1] == found[3][0] == found[3][2] == found[4][0] and found[0][0] != found[3][1]
+
+
+def swapped(n):
+    """Two different strings of ``2 ** n`` letters on which every polynomial hash modulo 2^64 with an odd base agrees."""
+    s = "a"
+    for _ in range(n):
+        s += s.translate({97: "b", 98: "a"})
+    return s, s.translate({97: "b", 98: "a"})
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    one, two = swapped(11)
+    rest = " ".join(f"r{i}" for i in range(12))
+    docs = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"w {rest}"), (4, f"{one} {rest}")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = by_id(substring_dedup.substring_dedup(table), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substring_dedup(docs) and [got[d][1] for d in (1, 2, 3, 4)] == [0, 0, 0, 13]
+    got = by_id(minhash_dedup.near_duplicates(table, 100), "n_shingles", "component_id")
+    assert got == brute.near_duplicates(docs, 100) and got[2][1] == 2 and got[4][1] == 1
+
+
+def test_span_hashes_are_one_to_one():
+    rng = random.Random(9)
+    spans = sorted({bytes(rng.randrange(256) for _ in range(rng.randrange(1, 20))) for _ in range(3000)} | {b"\0" * k for k in range(1, 30)})
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([len(s) for s in spans])
+    starts = ends - [len(s) for s in spans]
+    hashes = hashing.span_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(spans)
+    for k in (0, 7, len(spans) - 1):
+        alone = np.frombuffer(spans[k], np.uint8)
+        assert hashing.span_hashes(alone, np.array([0]), np.array([len(alone)]))[0] == hashes[k]
+    upper, lower = (np.frombuffer(s, np.uint8) for s in (b"AbZ[\xc3\x89", b"abz[\xc3\x89"))
+    whole = np.array([0]), np.array([6])
+    assert hashing.span_hashes(upper, *whole, lower=True) == hashing.span_hashes(lower, *whole)
+
+
+def test_text_ids(spark):
+    table = spark.createDataFrame([("x", "a b c")], "doc_id string, text string")
+    for operator in (suffix_dedup.suffix_dedup, substring_dedup.substring_dedup):
+        with pytest.raises(TypeError, match="whole number"):
+            operator(table)
+    assert minhash_dedup.near_duplicates(table).count() == 1
+
+
+def test_one_of_repeated_rows_stays_whatever_the_order(spark):
+    rows = [(1, "a b c", s) for s in ("z", "m", None, "b")] + [(None, "q r", s) for s in ("y", "x")]
+    kept = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(seed + 1)
+        kept.add(tuple(sorted((r[0] is None, r[2] or "") for r in minhash_dedup.keep_one(table).collect())))
+    assert len(kept) == 1 and len(kept.pop()) == 2
