@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvelake.operators import scores
@@ -19,7 +19,7 @@ def check_limit(limit: int) -> int:
     return limit
 
 
-def _order():
+def order() -> list[Column]:
     return [F.desc("score"), F.asc_nulls_last("last_solve"), F.asc("inserted_at"), F.asc("id")]
 
 
@@ -29,8 +29,8 @@ def top_teams(teams: DataFrame, limit: int) -> DataFrame:
     The rank is taken over the at most 100 rows left after the limit.
     """
     check_limit(limit)
-    top = teams.orderBy(*_order()).limit(limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*_order())).cast("bigint"))
+    top = teams.orderBy(*order()).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order())).cast("bigint"))
 
 
 def ranked(teams: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def ranked(teams: DataFrame) -> DataFrame:
     of the parts come to the driver.
     """
     parts = int(teams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = teams.repartitionByRange(parts, *_order()).sortWithinPartitions(*_order())
+    dealt = teams.repartitionByRange(parts, *order()).sortWithinPartitions(*order())
     at = F.col("_at")
     placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
     # The id counts up from 2**33 times the number of the part.

@@ -57,7 +57,7 @@ def stream_first_correct(spark, sf):
     """Every attempt, counted by arrival; within one micro-batch by time."""
     attempts = attempt_stream(spark, sf)
     path = work_path(spark, "arrivals")
-    done(ledger.start_arrivals(attempts, path, work_path(spark, "winners"), work_path(spark, "checkpoint")))
+    done(ledger.start_arrivals(attempts, path, work_path(spark, "checkpoint")))
     return ledger.read_arrivals(spark, path, attempts).select("id", "batch_id", "correct", "counted")
 
 
@@ -83,7 +83,7 @@ def stream_leaderboard(spark, sf):
         compact_every=2,
     )
     done(q)
-    return ledger.latest_board(spark, board, "bigint").withColumn("last_solve", epoch("last_solve"))
+    return ledger.latest_board(spark, board, 10, "bigint").withColumn("last_solve", epoch("last_solve"))
 
 
 @query(

@@ -4,9 +4,11 @@ import random
 
 import pytest
 from helpers import as_dict, as_set, frame, ts
+from pyspark.sql import functions as F
 
 from solvelake.operators import ledger as batch
 from solvelake.operators import scores
+from solvelake.sources import buckets
 from solvelake.streaming import changes, ledger, sources, status
 
 ATTEMPT = "id long, user_id long, team_id long, challenge_id long, correct boolean, inserted_at timestamp_ntz"
@@ -61,7 +63,7 @@ def test_arrival_ledger_keeps_the_first_comer(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     write_batches(spark, src, parts)
     s = stream(spark, src)
-    run(ledger.start_arrivals(s, out, str(tmp_path / "winners"), str(tmp_path / "cp")))
+    run(ledger.start_arrivals(s, out, str(tmp_path / "cp")))
     assert as_dict(ledger.read_arrivals(spark, out, s), "id", "counted", "batch_id") == {
         1: (False, 0), 2: (True, 0), 3: (False, 1), 4: (True, 1)
     }
@@ -96,7 +98,7 @@ def test_unchanged_winners_are_not_written_again_and_snapshots_fold(spark, tmp_p
     s = stream(spark, src)
     run(ledger.start_ledger(s, out, str(tmp_path / "cp"), ledger.EVENT_TIME, compact_every=2))
     written = spark.read.parquet(out).groupBy("batch_id").count()
-    assert as_dict(written, "batch_id", "count") == {0: 2, 2: 1, 3: 1}
+    assert as_dict(written, "batch_id", "count") == {2: 1, 3: 1}  # the first two are behind a snapshot
     assert sorted(changes._snapshots(spark, out)) == [1, 3]
     got = ledger.read_ledger(spark, out, s, ledger.EVENT_TIME)
     assert as_set(got, "attempt_id", "user_id", "challenge_id", "team_id", "solved_at") == want(parts, spark)
@@ -125,7 +127,7 @@ def test_leaderboard_over_batches(spark, tmp_path, tables):
     led = batch.first_correct(frame(spark, [r for p in parts for r in p], ATTEMPT))
     total = scores.team_scores(teams, led, challenges)
     top = ledger.top_of(teams, total, 3)
-    board = ledger.latest_board(spark, paths[2], "bigint")
+    board = ledger.latest_board(spark, paths[2], 3, "bigint")
     assert as_dict(board, "rank", "id", "score", "last_solve") == as_dict(top, "rank", "id", "score", "last_solve")
 
 
@@ -170,3 +172,84 @@ def test_a_batch_of_events_has_files_as_its_rows_grow(spark, tmp_path, monkeypat
     files = [len(list((tmp_path / "events" / f"part={i}").glob("*.parquet"))) for i in range(live.BATCHES)]
     assert files == [3] * live.BATCHES
     assert as_set(live.stream_first_correct(spark, sf), "id", "batch_id", "correct", "counted") == want
+
+
+def test_arrivals_go_on_after_a_restart_and_from_an_earlier_ledger(spark, tmp_path):
+    """State outlives the query: nothing written before is read, and pairs of an earlier ledger count no more."""
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    write_batches(spark, src, [[(1, 1, 1, 1, True, ts(9)), (2, 1, 1, 2, None, ts(1)), (3, 1, 3, 3, True, ts(2))]])
+    earlier = frame(spark, [(99, 1, 3, 3, ts(0))], "attempt_id long, user_id long, challenge_id long, team_id long, solved_at timestamp_ntz")
+    run(ledger.start_arrivals(stream(spark, src), out, cp, earlier))
+    changes._drop(spark, out)
+    frame(spark, [(4, 1, 1, 1, True, ts(0)), (5, 2, 1, 2, True, ts(7)), (6, 2, 1, 2, True, ts(7))], ATTEMPT).coalesce(1).write.parquet(f"{src}/part=1")
+    run(ledger.start_arrivals(stream(spark, src), out, cp, earlier))
+    got = as_dict(ledger.read_arrivals(spark, out, stream(spark, src)), "id", "counted", "batch_id")
+    assert got == {4: (False, 1), 5: (True, 1), 6: (False, 1)}
+
+
+def test_folders_stay_few_over_many_batches(spark, tmp_path, monkeypatch):
+    """Folders behind a finished snapshot go, and the ledger stays whole, also for a batch that is repeated."""
+    data = rows(160, 11)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_batches(spark, src, split(data, 20))
+    s = stream(spark, src)
+    run(ledger.start_ledger(s, out, str(tmp_path / "cp"), ledger.EVENT_TIME, compact_every=4))
+    assert len(changes._listed(spark, out, "batch_id")) <= 7
+    assert changes._snapshots(spark, out) == [15, 19]
+    got = ledger.read_ledger(spark, out, s, ledger.EVENT_TIME)
+    assert as_set(got, "attempt_id", "user_id", "challenge_id", "team_id", "solved_at") == want([data], spark)
+    again = ledger.read_ledger(spark, out, s, ledger.EVENT_TIME, upto=18)
+    seen = [r for part in split(data, 20)[:19] for r in part]
+    assert as_set(again, "attempt_id", "user_id", "challenge_id", "team_id", "solved_at") == want([seen], spark)
+
+
+def test_bounded_state(spark, tmp_path):
+    """Late attempts within the bound count, later ones do not, and state of spans that are over goes."""
+    day = 86_400
+    parts = [
+        [(1, 1, 1, 1, True, ts(50_000)), (2, 2, 2, 2, True, ts(100))],
+        [(3, 1, 1, 1, True, ts(40_000)), (4, 1, 5, 5, True, ts(3 * day))],
+        [(5, 1, 6, 6, True, ts(3 * day + 5))],
+        [(6, 1, 1, 1, True, ts(10)), (7, 1, 5, 5, True, ts(3 * day - 20)), (8, 3, 7, 7, True, ts(3 * day + 9))],
+    ]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_batches(spark, src, parts)
+    s = stream(spark, src)
+    q = ledger.start_ledger(s, out, str(tmp_path / "cp"), ledger.EVENT_TIME, changes.Bound("inserted_at"))
+    run(q)
+    got = ledger.read_ledger(spark, out, s, ledger.EVENT_TIME)
+    assert as_set(got, "attempt_id") == {(3,), (2,), (7,), (5,), (8,)}
+    assert sum(p["stateOperators"][0]["numRowsRemoved"] for p in q.recentProgress if p["stateOperators"]) >= 2
+
+
+def test_leaderboard_writes_the_touched_buckets_only(spark, tmp_path, tables):
+    teams, challenges, _ = tables
+    paths = [str(tmp_path / x) for x in ("ledger", "scores", "board", "cp")]
+    src = str(tmp_path / "in")
+    parts = [[(1, 1, 1, 1, True, ts(50)), (2, 2, 2, 1, True, ts(60))], [(3, 3, 2, 2, True, ts(10))], [(4, 1, 2, 1, True, ts(99))]]
+    write_batches(spark, src, parts)
+    start = ledger.start_leaderboard(stream(spark, src), teams, challenges, *paths, 4, parts=16)
+    run(start)
+    of = as_dict(teams.select("id", buckets.bucket_of(["id"], 16).alias("b")), "id", "b")
+    assert set(buckets.manifest(spark, f"{paths[1]}/solves")) == {of[1], of[2]}
+    stands = buckets.manifest(spark, paths[2])
+    assert stands[of[2]] == 1 and stands[of[1]] == (1 if of[1] == of[2] else 0) and {stands[of[3]], stands[of[4]]} <= {-1, 0, 1}
+    board = ledger.latest_board(spark, paths[2], 4, "bigint")
+    assert as_dict(board, "rank", "id", "score") == {1: (2, 30), 2: (1, 10), 3: (3, 0), 4: (4, 0)}
+
+
+def test_buckets_keep_two_versions(spark, tmp_path):
+    path, ddl = str(tmp_path / "store"), "k long, v string"
+    buckets.rewrite(frame(spark, [(i, "a") for i in range(40)], ddl), path, ["k"], list(range(8)), 0, 8)
+    hit = buckets.touched(frame(spark, [(3,), (4,)], "k long"), ["k"], 8)
+    for version in (1, 2, 3):
+        rows = buckets.read(spark, path, ddl, hit, version - 1).withColumn("v", F.lit(f"v{version}"))
+        buckets.rewrite(rows, path, ["k"], hit, version, 8)
+    now = as_dict(buckets.read(spark, path, ddl), "k", "v")
+    assert set(now) == set(range(40)) and now[3] == now[4] == "v3" and set(now.values()) == {"a", "v3"}
+    assert as_dict(buckets.read(spark, path, ddl, hit, upto=2), "k", "v")[3] == "v2"
+    assert buckets._listed(spark, f"{path}/data", "version") == [0, 2, 3]
+    assert buckets._listed(spark, f"{path}/manifest", "version") == [2, 3]
+    buckets.rewrite(frame(spark, [], ddl), path, ["k"], hit, 4, 8)
+    assert not set(hit) & set(buckets.manifest(spark, path)) and buckets.read(spark, path, ddl, hit).count() == 0
+    assert buckets.read(spark, str(tmp_path / "none"), ddl).count() == 0
