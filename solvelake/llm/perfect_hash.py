@@ -56,9 +56,11 @@ class PerfectHash:
     def slots(self, keys: list[bytes], hashes: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 for those that are not among the stored ones."""
         out = self.places(hashes)
-        text, ends = self.text, self.ends.tolist()
-        for k, (key, slot) in enumerate(zip(keys, out.tolist(), strict=True)):
-            if slot < 0 or text[ends[slot - 1] if slot else 0 : ends[slot]] != key:
+        text, starts = self.text, np.append(0, self.ends)
+        for k, (key, slot, a, b) in enumerate(
+            zip(keys, out.tolist(), starts[out].tolist(), starts[out + 1].tolist(), strict=True)
+        ):
+            if slot < 0 or text[a:b] != key:
                 out[k] = self.rest.get(key, -1)
         return out
 

@@ -154,15 +154,16 @@ def recount(docs: DataFrame, tables: DataFrame, shards: int) -> DataFrame:
                 places[lang].update(zip(new, ids.tolist(), strict=True))
 
             def settle() -> None:
-                for (lang, source), found in held.items():
+                counted = {group: Counter(found) for group, found in held.items()}
+                for lang in {lang for lang, _ in counted}:
                     place = places.setdefault(lang, {})
                     if len(place) > ENTRIES:
                         place.clear()
-                    new = list(set(found).difference(place))
-                    if new:
-                        learn(lang, new)
-                    ids = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
-                    ids, n = np.unique(ids[ids >= 0], return_counts=True)
+                    learn(lang, list(set().union(*(c for g, c in counted.items() if g[0] == lang)).difference(place)))
+                for (lang, source), counts in counted.items():
+                    ids = np.fromiter(map(places[lang].__getitem__, counts), np.int64, len(counts))
+                    n = np.fromiter(counts.values(), np.int64, len(counts))[ids >= 0]
+                    ids = ids[ids >= 0]
                     shard, slot = ids >> 32, ids & 0xFFFFFFFF
                     for k in np.unique(shard).tolist():
                         name = (lang, source, k)
