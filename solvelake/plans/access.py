@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from solvelake.operators import access, attempts, ledger, refresh
 from solvelake.plans.registry import query
+from solvelake.session import work_path
+from solvelake.sources import buckets
 from solvelake.sources import testbed as tb
 
 # Claims with a named team, user and challenge of which some are wrong: cheap events name a user that does not exist,
@@ -150,8 +152,8 @@ whole as (
 """
 
 
-def batch(spark, sf):
-    """The claims of the second half, admitted, counted and scored on top of the first."""
+def half(spark, sf):
+    """The claims of the second half, the tables after the first, its log and its ledger."""
     start = F.lit(tb.START).cast("timestamp_ntz")
     log = tb.stored_attempts(spark, sf)
     early = log.where(F.col("inserted_at") < start)
@@ -168,31 +170,54 @@ def batch(spark, sf):
     )
     then = F.lit("2023-06-01 00:00:00").cast("timestamp_ntz")
     stored = {"score": F.lit(0).cast("bigint"), "last_solve": then, "updated_at": then}
-    return attempts.process(
+    return (
         claims,
         creds,
         refresh.recompute_owners(u.withColumns(stored), old, c, "user_id"),
         refresh.recompute_owners(t.withColumns(stored), old, c, "team_id"),
         refresh.recompute_challenges(c.withColumns({"solve_count": F.lit(0).cast("bigint"), "updated_at": then}), old),
-        early,
-        old,
-        tb.NOW,
-        -F.col("attempt_id"),
-    )
+    ), early, old
 
 
-@query(
-    "attempt_batch",
-    """
+def batch(spark, sf):
+    """The claims of the second half, admitted, counted and scored on top of the first."""
+    tables, log, old = half(spark, sf)
+    return attempts.process(*tables, log, old, tb.NOW, -F.col("attempt_id"))
+
+
+AFTER = """
     select t.id team_id, cast(coalesce((select sum(c.points) from whole w join challenges c on c.id = w.challenge_id
                                         where w.team_id = t.id), 0) as bigint) score,
            t.id in (select team_id from right_ones where rn = 1) touched
     from teams t
-    """,
-    BATCH,
-)
-def attempt_batch(spark, sf):
-    """The teams after the batch."""
+    """
+
+
+def _teams_after(out):
     now = F.lit(tb.NOW).cast("timestamp_ntz")
-    out = batch(spark, sf)
     return out.teams.select(F.col("id").alias("team_id"), "score", (F.col("updated_at") == now).alias("touched"))
+
+
+@query("attempt_batch", AFTER, BATCH)
+def attempt_batch(spark, sf):
+    """The teams after the batch."""
+    return _teams_after(batch(spark, sf))
+
+
+@query("attempt_batch_stored", AFTER, BATCH)
+def attempt_batch_stored(spark, sf):
+    """The teams after the batch, against a ledger in buckets."""
+    tables, log, old = half(spark, sf)
+    path = work_path(spark, "ledger-store")
+    attempts.store_ledger(log, old, path)
+    return _teams_after(attempts.process_stored(*tables, path, 1, tb.NOW, -F.col("attempt_id")))
+
+
+@query("attempt_batch_ledger", "select attempt_id, team_id from old union all select id, team_id from right_ones where rn = 1", BATCH)
+def attempt_batch_ledger(spark, sf):
+    """The stored ledger after the batch, as its buckets of users have it."""
+    tables, log, old = half(spark, sf)
+    path = work_path(spark, "ledger-store")
+    attempts.store_ledger(log, old, path)
+    attempts.process_stored(*tables, path, 1, tb.NOW, -F.col("attempt_id"))
+    return buckets.read(spark, f"{path}/user_id", "attempt_id bigint, team_id bigint")

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 from helpers import as_dict, as_set, frame, ts
 
 from solvelake.operators import attempts, ledger
+from solvelake.sources import buckets
 
 NOW = str(ts(900))
 
@@ -56,3 +59,55 @@ def test_batch_from_claim_to_tables(spark):
     assert as_dict(out.users, "id", "score", "updated_at") == {1: (30, ts(900)), 2: (30, ts(900)), 3: (0, ts(0))}
     assert as_dict(out.challenges, "id", "solve_count") == {1: 2, 2: 2}
     assert as_set(out.bloods, "attempt_id", "chall", "team", "user") == {(13, "two", "reds", "ann")}
+
+
+def test_stored_ledger_equals_the_whole_over_batches(spark, tmp_path):
+    """Batches against buckets give what batches against the whole ledger give, and write what they touch only."""
+    rng = random.Random(4)
+    stored = "score int, last_solve timestamp_ntz, updated_at timestamp_ntz"
+    users = frame(spark, [(i, f"u{i}", i % 5, 0, None, ts(0)) for i in range(20)], f"id long, name string, team_id long, {stored}")
+    teams = frame(spark, [(i, f"t{i}", 0, None, ts(0)) for i in range(5)], f"id long, name string, {stored}")
+    challenges = frame(
+        spark, [(i, f"c{i}", "F", 10 + i, 0, ts(0)) for i in range(6)],
+        "id long, name string, flag string, points int, solve_count int, updated_at timestamp_ntz",
+    )
+    creds = frame(spark, [(i, "p", f"s{i}") for i in range(20)], "user_id long, provider_name string, sub string")
+    log = frame(
+        spark, [(1, 1, 1, 1, True, ts(1)), (2, 2, 2, 1, False, ts(2)), (3, 3, 3, 2, True, ts(3))],
+        "id long, user_id long, team_id long, challenge_id long, correct boolean, inserted_at timestamp_ntz",
+    )
+    led = ledger.first_correct(log)
+    path = str(tmp_path / "store")
+    attempts.store_ledger(log, led, path, 16)
+    ddl = "id long, user_id long, team_id long, challenge_id long, flag_guess string, inserted_at timestamp_ntz, sub string, provider string"
+    for version in (1, 2):
+        rows = []
+        for i in range(12):
+            u = rng.randrange(20)
+            rows.append((100 * version + i, u, u % 5, rng.randrange(4 + version), rng.choice("FFG"), ts(100 * version + i), f"s{u}", "p"))
+        claims = frame(spark, rows, ddl)
+        whole = attempts.process(claims, creds, users, teams, challenges, log, led, NOW)
+        part = attempts.process_stored(claims, creds, users, teams, challenges, path, version, NOW, parts=16)
+        assert as_set(part.attempts, "id", "correct", "already_solved", "counted") == as_set(whole.attempts, "id", "correct", "already_solved", "counted")
+        assert as_set(part.bloods, "attempt_id", "chall", "team", "user") == as_set(whole.bloods, "attempt_id", "chall", "team", "user")
+        for table in ("users", "teams"):
+            assert as_set(getattr(part, table), "id", "score", "last_solve") == as_set(getattr(whole, table), "id", "score", "last_solve")
+        assert as_set(part.challenges, "id", "solve_count") == as_set(whole.challenges, "id", "solve_count")
+        led = led.unionByName(whole.successes.select(*led.columns))
+        log = log.unionByName(whole.attempts.select(*log.columns))
+        for key in attempts.STORED:
+            held = buckets.read(spark, f"{path}/{key}", led.schema)
+            assert as_set(held, *attempts.SOLVE) == as_set(led, *attempts.SOLVE)
+            changed = buckets.touched(part.successes, [key], 16)
+            assert {k for k, v in buckets.manifest(spark, f"{path}/{key}").items() if v == version} == set(changed)
+
+
+def test_a_batch_opens_its_buckets_only(spark, tmp_path):
+    rows = frame(spark, [(i, i, i, i, ts(i)) for i in range(400)], "attempt_id long, user_id long, challenge_id long, team_id long, solved_at timestamp_ntz")
+    path = str(tmp_path / "store")
+    buckets.rewrite(rows, path, ["team_id"], list(range(32)), 0, 32)
+    claims = frame(spark, [(7,), (9,)], "team_id long")
+    hit = buckets.touched(claims, ["team_id"], 32)
+    part = buckets.read(spark, path, rows.schema, hit)
+    assert len(part.inputFiles()) == len(hit) <= 2 and len(buckets.read(spark, path, rows.schema).inputFiles()) > 20
+    assert {7, 9} <= {r[0] for r in part.select("team_id").collect()}
