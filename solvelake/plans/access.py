@@ -209,8 +209,8 @@ def attempt_batch_stored(spark, sf):
     """The teams after the batch, against a ledger in buckets."""
     tables, log, old = half(spark, sf)
     path = work_path(spark, "ledger-store")
-    attempts.store_ledger(log, old, path)
-    return _teams_after(attempts.process_stored(*tables, path, 1, tb.NOW, -F.col("attempt_id")))
+    attempts.store_ledger(log, old, path, 8)
+    return _teams_after(attempts.process_stored(*tables, path, 1, tb.NOW, -F.col("attempt_id"), 8))
 
 
 @query("attempt_batch_ledger", "select attempt_id, team_id from old union all select id, team_id from right_ones where rn = 1", BATCH)
@@ -218,6 +218,6 @@ def attempt_batch_ledger(spark, sf):
     """The stored ledger after the batch, as its buckets of users have it."""
     tables, log, old = half(spark, sf)
     path = work_path(spark, "ledger-store")
-    attempts.store_ledger(log, old, path)
-    attempts.process_stored(*tables, path, 1, tb.NOW, -F.col("attempt_id"))
+    attempts.store_ledger(log, old, path, 8)
+    attempts.process_stored(*tables, path, 1, tb.NOW, -F.col("attempt_id"), 8)
     return buckets.read(spark, f"{path}/user_id", "attempt_id bigint, team_id bigint")

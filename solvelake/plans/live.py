@@ -80,7 +80,7 @@ def stream_leaderboard(spark, sf):
     q = ledger.start_leaderboard(
         attempt_stream(spark, sf), tb.teams(spark, sf), tb.challenges(spark, sf),
         work_path(spark, "ledger"), work_path(spark, "scores"), board, work_path(spark, "checkpoint"), 10,
-        compact_every=2,
+        compact_every=2, parts=8,
     )
     done(q)
     return ledger.latest_board(spark, board, 10, "bigint").withColumn("last_solve", epoch("last_solve"))
@@ -133,7 +133,9 @@ def stream_deploy_status(spark, sf):
     BODIES,
 )
 def stream_routed_commands(spark, sf):
-    bodies = events(spark, sf).select(
+    """The bodies of the events, those of errors delivered twice as by a client that asks again; each is routed once."""
+    again = F.when(F.col("event_type") == "error", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    bodies = events(spark, sf).withColumn("delivery", F.explode(again)).select(
         F.col("event_id").alias("request_id"), F.expr(BODY.replace("{s}", "string")).alias("body")
     )
     path = work_path(spark, "routed")

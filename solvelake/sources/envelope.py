@@ -168,9 +168,14 @@ def _specification() -> Column:
     return F.from_json(F.lit(json.dumps(spec)), "map<string,array<struct<name:string,type:string,required:boolean>>>")
 
 
+def requests_ddl(id_type: str = "string") -> str:
+    return f"request_id {id_type}, body string, received_at timestamp_ntz"
+
+
 def read_requests(spark: SparkSession, path: str, fmt: str = "json", id_type: str = "string") -> DataFrame:
-    """Requests (request_id, body) from files, one per row; ``streaming.sources.read_files`` is the live form."""
-    return spark.read.schema(f"request_id {id_type}, body string").format(fmt).load(path)
+    """Requests (request_id, body, received_at) from files, one per row; ``streaming.sources.read_requests`` is the live
+    form."""
+    return spark.read.schema(requests_ddl(id_type)).format(fmt).load(path)
 
 
 def _get(v: Column, path: str, type_: str = "variant") -> Column:

@@ -133,7 +133,7 @@ def read_log(
 
 def _snapshots(spark: SparkSession, path: str) -> list[int]:
     """Batches after which a finished snapshot was written."""
-    return _listed(spark, f"{path}-snapshots", "upto", marked=True)
+    return _listed(spark, f"{path}-snapshots", "upto", "_SUCCESS")
 
 
 def fold(log: DataFrame, keys: list[str], pick: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -248,8 +249,35 @@ def test_buckets_keep_two_versions(spark, tmp_path):
     now = as_dict(buckets.read(spark, path, ddl), "k", "v")
     assert set(now) == set(range(40)) and now[3] == now[4] == "v3" and set(now.values()) == {"a", "v3"}
     assert as_dict(buckets.read(spark, path, ddl, hit, upto=2), "k", "v")[3] == "v2"
-    assert buckets._listed(spark, f"{path}/data", "version") == [0, 2, 3]
-    assert buckets._listed(spark, f"{path}/manifest", "version") == [2, 3]
-    buckets.rewrite(frame(spark, [], ddl), path, ["k"], hit, 4, 8)
-    assert not set(hit) & set(buckets.manifest(spark, path)) and buckets.read(spark, path, ddl, hit).count() == 0
+    assert buckets._listed(spark, path, "version") == [0, 2, 3]
+    buckets._drop(spark, f"{path}/version=3/{buckets.MARK}")  # as if its writer had failed
+    assert as_dict(buckets.read(spark, path, ddl), "k", "v")[3] == "v2"
+    buckets.rewrite(frame(spark, [], ddl), path, ["k"], hit, 3, 8)
+    assert buckets.read(spark, path, ddl, hit).count() == 0 and buckets.read(spark, path, ddl, hit, upto=2).count() > 0
     assert buckets.read(spark, str(tmp_path / "none"), ddl).count() == 0
+
+
+def test_a_request_delivered_twice_is_routed_once(spark, tmp_path):
+    """In one micro-batch, in the next and after a restart; files that were read are archived."""
+    body = json.dumps({"sql": {"__type": "user", "details": {"__query_name": "get_all", "params": {}}}})
+    src, out, cp, old = (str(tmp_path / x) for x in ("in", "out", "cp", "old"))
+    ddl = "request_id string, body string, received_at timestamp_ntz"
+
+    def deliver(name, *requests):
+        frame(spark, [(i, b, ts(at)) for i, b, at in requests], ddl).coalesce(1).write.json(f"{src}/{name}")
+
+    def route():
+        s = sources.read_requests(spark, f"{src}/*", per_trigger=1, archive=old)
+        run(sources.start_routing(s, out, cp, received="received_at", within="1 minute"))
+
+    deliver("a", ("1", body, 0), ("1", body, 1), ("2", "{", 2))
+    deliver("b", ("2", "{", 20), ("3", body, 21))
+    route()
+    deliver("c", ("3", body, 25), ("4", body, 26), ("1", body, 27))
+    route()
+    got = [tuple(r) for r in spark.read.parquet(out).select("request_id", "target").orderBy("request_id").collect()]
+    assert [g[0] for g in got] == ["1", "2", "3", "4"] and got[1][1] == "refused"
+    assert spark.read.schema(ddl).json(f"{src}/c").count() == 3
+    from solvelake.sources import envelope
+
+    assert envelope.read_requests(spark, f"{src}/c").count() == 3
