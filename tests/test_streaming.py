@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from solvelake.operators import ledger as batch
 from solvelake.operators import scores
-from solvelake.sources import buckets
+from solvelake.sources import buckets, envelope
 from solvelake.streaming import changes, ledger, sources, status
 
 ATTEMPT = "id long, user_id long, team_id long, challenge_id long, correct boolean, inserted_at timestamp_ntz"
@@ -277,7 +277,22 @@ def test_a_request_delivered_twice_is_routed_once(spark, tmp_path):
     route()
     got = [tuple(r) for r in spark.read.parquet(out).select("request_id", "target").orderBy("request_id").collect()]
     assert [g[0] for g in got] == ["1", "2", "3", "4"] and got[1][1] == "refused"
-    assert spark.read.schema(ddl).json(f"{src}/c").count() == 3
-    from solvelake.sources import envelope
+    # Nothing is lost: what is read stands in the archive or still in the source.
+    held = [spark.read.option("recursiveFileLookup", True).schema(ddl).json(x).count() for x in (src, old)]
+    assert sum(held) == 8 and held[1] > 0
+    deliver("d", ("5", body, 30))
+    assert as_set(envelope.read_requests(spark, f"{src}/d"), "request_id", "body") == {("5", body)}
 
-    assert envelope.read_requests(spark, f"{src}/c").count() == 3
+
+def test_a_duplicate_later_than_the_bound_is_dropped_and_ids_without_one_are_kept_for_ever(spark, tmp_path):
+    ddl = "request_id string, body string, received_at timestamp_ntz"
+    src = str(tmp_path / "in")
+    for i, part in enumerate([[("a", "x", ts(0))], [("b", "x", ts(9000))], [("d", "x", ts(9100))], [("a", "x", ts(9200)), ("c", "x", ts(5))]]):
+        frame(spark, part, ddl).coalesce(1).write.json(f"{src}/{i}")
+    got = {}
+    for name, received in (("ever", None), ("bound", "received_at")):
+        out = sources.once(sources.read_requests(spark, f"{src}/*", per_trigger=1), received, "1 minute")
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-cp"))
+        run(q.trigger(availableNow=True).start())
+        got[name] = sorted(r[0] for r in spark.read.parquet(str(tmp_path / name)).select("request_id").collect())
+    assert got == {"ever": ["a", "b", "c", "d"], "bound": ["a", "a", "b", "d"]}
