@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from solvelake.llm.base import held_out
 from solvelake.llm.labels import trainable
 
-#: Characters of text that are taken together. A longer text is counted segment by segment, without the n-grams that
-#: would cross from one into the next.
+#: Characters of text that are taken together. A longer text is counted segment by segment; each begins with the end of
+#: the one before, so that every n-gram is counted once.
 CHARS = 1 << 18
 
 
-def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def ngram_buckets(
+    texts: list[str], orders: tuple[int, ...], bits: int, leads: list[int] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of lower-cased texts, and the text that each belongs to.
 
     Characters other than letters count as one kind of gap; n-grams of gaps only, or over the end of a text, are left
-    out.
+    out, and so are those that end within the first ``leads`` characters of their text.
     """
     joined = "\0".join(t.lower().replace("\0", " ") for t in texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -32,6 +34,8 @@ def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple
     letters[unique == 0] = 0
     codes = letters[np.searchsorted(unique, codes)].astype(np.uint64)
     text = np.searchsorted(ends, np.arange(len(codes)), "left")
+    begin = np.append(0, ends[:-1] + 1) + np.array(leads or [0] * len(texts), np.int64)
+    counted = np.arange(len(codes)) >= begin[np.minimum(text, len(texts) - 1)]
     buckets, owners = [], []
     for order in orders:
         n = len(codes) - order + 1
@@ -45,7 +49,7 @@ def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple
             acc ^= acc >> np.uint64(29)
             broken |= part == 0
             gap &= part == 32
-        ok = ~(broken | gap)
+        ok = ~(broken | gap) & counted[order - 1 :]
         buckets.append((acc[ok] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64))
         owners.append(text[:n][ok])
     if not buckets:
@@ -53,21 +57,28 @@ def ngram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def segments(texts: list[str], limit: int = CHARS) -> Iterator[tuple[list[int], list[str]]]:
-    """Runs of about ``limit`` characters: texts, or segments of long ones, with the row of each."""
+def segments(
+    texts: list[str], orders: tuple[int, ...], limit: int = CHARS
+) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Runs of about ``limit`` characters: texts, or segments of long ones, with the row of each and the number of
+    characters that it repeats from the segment before."""
     rows: list[int] = []
     parts: list[str] = []
+    leads: list[int] = []
     size = 0
     for i, t in enumerate(texts):
+        t = t.lower() if len(t) > limit else t
         for at in range(0, max(len(t), 1), limit):
             if parts and size + len(t) - at > limit:
-                yield rows, parts
-                rows, parts, size = [], [], 0
+                yield rows, parts, leads
+                rows, parts, leads, size = [], [], [], 0
+            lead = min(at, max(orders) - 1)
             rows.append(i)
-            parts.append(t[at : at + limit])
+            parts.append(t[at - lead : at + limit])
+            leads.append(lead)
             size += len(parts[-1]) + 1
     if parts:
-        yield rows, parts
+        yield rows, parts, leads
 
 
 @dataclass
@@ -98,8 +109,8 @@ def fit(
             langs = batch.column("lang").to_pylist()
             for name in langs:
                 n[name] = n.get(name, 0) + 1
-            for rows, texts in segments(batch.column("text").to_pylist()):
-                buckets, owner = ngram_buckets(texts, orders, bits)
+            for rows, texts, leads in segments(batch.column("text").to_pylist(), orders):
+                buckets, owner = ngram_buckets(texts, orders, bits, leads)
                 names = sorted({langs[r] for r in rows})
                 index = {x: i for i, x in enumerate(names)}
                 own = np.array([index[langs[r]] for r in rows])
@@ -133,8 +144,8 @@ def fit(
 def log_likelihoods(model: LanguageModel, texts: list[str]) -> np.ndarray:
     """Texts x languages: sparse counts of the n-grams of some texts at a time, times the matrix."""
     out = np.tile(model.log_priors, (len(texts), 1))
-    for rows, parts in segments(texts):
-        buckets, owner = ngram_buckets(parts, model.orders, model.bits)
+    for rows, parts, leads in segments(texts, model.orders):
+        buckets, owner = ngram_buckets(parts, model.orders, model.bits, leads)
         if not len(buckets):
             continue
         cell, times = np.unique((owner << model.bits) + buckets, return_counts=True)

@@ -42,15 +42,22 @@ class ToxicityModel:
     settings: Settings = field(default_factory=Settings)
 
 
-def _cut(text: str) -> list[str]:
-    """The text in parts of about ``GROUP_CHARS`` characters, cut at white space where there is some."""
-    parts, at = [], 0
-    while len(text) - at > GROUP_CHARS:
+def _cut(text: str, overlap: int) -> list[tuple[str, bool, bool]]:
+    """The text in parts of about ``GROUP_CHARS`` characters, cut at white space where there is some.
+
+    Otherwise the cut is inside a word: the next part begins ``overlap`` characters earlier, and both parts are marked
+    as open there (at their start, at their end), which makes no edge of a word.
+    """
+    parts, at, open_ = [], 0, False
+    while len(text) - at > GROUP_CHARS + overlap:
         gap = SPACE.search(text, at + GROUP_CHARS, at + 2 * GROUP_CHARS)
-        end = gap.end() if gap else at + 2 * GROUP_CHARS
-        parts.append(text[at:end])
-        at = end
-    return [*parts, text[at:]]
+        end = gap.end() if gap else min(at + 2 * GROUP_CHARS, len(text))
+        inside = not gap and end < len(text)
+        parts.append((text[at:end], open_, inside))
+        if end == len(text):
+            return parts
+        at, open_ = end - overlap * inside, inside
+    return [*parts, (text[at:], open_, False)]
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -69,12 +76,18 @@ def presence(texts: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarr
 
     N-grams are of lower-cased words with a space on either side, and don't go beyond them.
     """
-    bits = settings.bits
     if len(texts) == 1 and len(texts[0]) > 2 * GROUP_CHARS:
-        found = [presence([part], settings)[1] for part in _cut(texts[0])]
-        bucket = np.unique(np.concatenate(found))
+        parts = _cut(texts[0].lower(), max(settings.orders) - 1)
+        bucket = np.unique(np.concatenate([_presence([part], settings, *open_)[1] for part, *open_ in parts]))
         return np.zeros(len(bucket), np.int64), bucket
-    joined = "\0".join(" " + " ".join(t.lower().replace("\0", " ").split()) + " " for t in texts) + "\0"
+    return _presence(texts, settings)
+
+
+def _presence(
+    texts: list[str], settings: Settings, open_start: bool = False, open_end: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    bits, before, after = settings.bits, " " * (not open_start), " " * (not open_end)
+    joined = "\0".join(before + " ".join(t.lower().replace("\0", " ").split()) + after for t in texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     stop = codes == 0
     text = np.cumsum(stop) - stop

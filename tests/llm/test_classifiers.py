@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -113,3 +114,25 @@ def test_trees_find_steps_and_interactions():
     model = quality_classifier.train(x, y, np.ones(len(y)), quality_classifier.Settings())
     p = quality_classifier.predict(model, x)
     assert ((p > 0.5) == (y == 1)).mean() > 0.97 and (0, 1) in [(i, j) for i, j, *_ in model.pairs]
+
+
+def test_segments_of_long_texts_count_every_ngram_once():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abÉİ ß\n.ΣxYz") for _ in range(n)) for n in (0, 1, 5, 13, 14, 40, 200)]
+    whole = [np.bincount(language_id.ngram_buckets([t.lower()], (1, 2, 3), 12)[0], minlength=1 << 12) for t in texts]
+    for limit in (3, 7, 13, 1000):
+        got = np.zeros((len(texts), 1 << 12), np.int64)
+        for rows, parts, leads in language_id.segments(texts, (1, 2, 3), limit):
+            buckets, owner = language_id.ngram_buckets(parts, (1, 2, 3), 12, leads)
+            np.add.at(got, (np.array(rows)[owner], buckets), 1)
+        assert (got == np.array(whole)).all(), limit
+
+
+def test_parts_of_long_texts_have_the_ngrams_of_the_whole(monkeypatch):
+    rng = random.Random(4)
+    settings = toxicity.Settings()
+    texts = ["".join(rng.choice("abcdÉ" + " " * spaces) for _ in range(n)) for n in (30, 41, 97, 400) for spaces in (0, 1)]
+    whole = [toxicity.presence([t], settings)[1].tolist() for t in texts]
+    for size in (16, 20, 33):
+        monkeypatch.setattr(toxicity, "GROUP_CHARS", size)
+        assert [toxicity.presence([t], settings)[1].tolist() for t in texts] == whole
