@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -149,3 +150,45 @@ def divergence(rows, min_docs, top):
             order = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:limit]
             out |= {(lang, source, part, item, f, k + 1) for k, (item, f) in enumerate(order)}
     return out
+
+
+def ngrams(text, orders, bits):
+    """Buckets of the n-grams of letters and gaps, one by one."""
+    full = 2**64 - 1
+    letters = [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    for order in orders:
+        for i in range(len(letters) - order + 1):
+            part = letters[i : i + order]
+            if set(part) == {32}:
+                continue
+            acc = order
+            for c in part:
+                acc = (acc ^ c) * 0x9E3779B97F4A7C15 & full
+                acc ^= acc >> 29
+            yield (acc * 0xBF58476D1CE4E5B9 & full) >> (64 - bits)
+
+
+def languages(rows, orders=(1, 2, 3), bits=16, alpha=0.5):
+    """rows: (doc_id, text, lang) -> {doc_id: (held_out, language, posterior)} of naive Bayes over all rows not held out."""
+    out_of = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in rows}
+    counts, pages = defaultdict(Counter), Counter()
+    for d, text, lang in rows:
+        if not out_of[d] and text is not None and lang is not None:
+            counts[lang].update(ngrams(text, orders, bits))
+            pages[lang] += 1
+    names = sorted(pages)
+    total = {x: sum(counts[x].values()) + alpha * 2**bits for x in names}
+    out = {}
+    for d, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out[d] = (out_of[d], "und", 0.0)
+            continue
+        own = Counter(ngrams(text, orders, bits))
+        logs = [
+            math.log((pages[x] + 1) / (sum(pages.values()) + len(names)))
+            + sum(n * math.log((counts[x][b] + alpha) / total[x]) for b, n in own.items())
+            for x in names
+        ]
+        best = max(range(len(names)), key=lambda i: logs[i])
+        out[d] = (out_of[d], names[best], 1 / sum(math.exp(v - logs[best]) for v in logs))
+    return out

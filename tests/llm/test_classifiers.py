@@ -8,7 +8,8 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from llm import odd
+from llm import brute, odd
+from llm.conftest import SMALL
 
 from solvelake.llm import labels, language_id, quality_classifier, toxicity
 from solvelake.llm.queries import QUERIES
@@ -136,3 +137,12 @@ def test_parts_of_long_texts_have_the_ngrams_of_the_whole(monkeypatch):
     for size in (16, 20, 33):
         monkeypatch.setattr(toxicity, "GROUP_CHARS", size)
         assert [toxicity.presence([t], settings)[1].tolist() for t in texts] == whole
+
+
+def test_language_query_against_plain_counts(spark):
+    """Every prediction and score of the query on the smallest table equals a model counted one n-gram at a time."""
+    table = pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text", "lang"])
+    want = brute.languages(list(zip(*table.to_pydict().values(), strict=True)))
+    got = {r[0]: tuple(r[1:4]) for r in QUERIES["op5_language_id"](spark, SMALL).collect()}
+    assert {d: v[:2] for d, v in got.items()} == {d: v[:2] for d, v in want.items()}
+    assert all(got[d][2] == pytest.approx(want[d][2], abs=1e-3) for d in want)
