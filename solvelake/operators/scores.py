@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvelake.functions.common import epoch, stamp
+from solvelake.sources import buckets
 
 SLICE = 3600  # seconds per slice of a running total
 
@@ -112,6 +113,19 @@ def score_at(probes: DataFrame, ledger: DataFrame, challenges: DataFrame) -> Dat
     )
 
 
+def score_at_stored(
+    probes: DataFrame, path: str, challenges: DataFrame, upto: int | None = None, parts: int = buckets.BUCKETS
+) -> DataFrame:
+    """``score_at`` against a ledger in buckets of teams (see ``attempts.store_ledger``), as of now or of version ``upto``.
+
+    Only the buckets of the probed teams are opened.
+    """
+    types = dict(probes.dtypes)["team_id"], dict(challenges.dtypes)["id"]
+    ddl = f"team_id {types[0]}, challenge_id {types[1]}, solved_at timestamp_ntz"
+    own = buckets.touched(probes, ["team_id"], parts)
+    return score_at(probes, buckets.read(probes.sparkSession, f"{path}/team_id", ddl, own, upto), challenges)
+
+
 def initial_scores(team_ids: DataFrame, ledger: DataFrame, challenges: DataFrame, start: str) -> DataFrame:
     """(team_id, score, time): the score of every listed team at ``start``, solves at ``start`` not yet in."""
     before = totals(with_points(ledger.where(F.col("solved_at") < stamp(start)), challenges), "team_id")

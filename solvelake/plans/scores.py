@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solvelake.functions.common import epoch
-from solvelake.operators import scores
+from solvelake.operators import attempts, scores
 from solvelake.operators.ledger import first_correct
 from solvelake.plans.registry import query
+from solvelake.session import work_path
 from solvelake.sources import testbed as tb
 
 PRIOR = """
@@ -77,13 +78,13 @@ def last_solves(spark, sf):
     )
 
 
-@query(
-    "team_score_asof",
-    f"""
+ASOF = f"""
     select a.id, a.team_id, {PRIOR.format(team='a.team_id', at='p.solved_at', limit='a.inserted_at')} score
     from attempts a
-    """,
-)
+    """
+
+
+@query("team_score_asof", ASOF)
 def team_score_asof(spark, sf):
     """The score of the team at the instant of each of its attempts."""
     log = tb.stored_attempts(spark, sf)
@@ -91,6 +92,16 @@ def team_score_asof(spark, sf):
     return scores.score_at(probes, first_correct(log), tb.challenges(spark, sf)).select("id", "team_id", "score")
 
 
+@query("team_score_asof_stored", ASOF)
+def team_score_asof_stored(spark, sf):
+    """The same from a ledger in buckets."""
+    log = tb.stored_attempts(spark, sf)
+    path = work_path(spark, "ledger-store")
+    attempts.store_ledger(log, first_correct(log), path, 8)
+    probes = log.select("id", "team_id", F.col("inserted_at").alias("at"))
+    return scores.score_at_stored(probes, path, tb.challenges(spark, sf), parts=8).select("id", "team_id", "score")
+
+
 @query(
     "score_history",
     f"""

@@ -3,8 +3,9 @@ from __future__ import annotations
 import random
 
 from helpers import as_dict, as_set, frame, ts
+from pyspark.sql import functions as F
 
-from solvelake.operators import attempts, ledger
+from solvelake.operators import attempts, ledger, scores
 from solvelake.sources import buckets
 
 NOW = str(ts(900))
@@ -111,3 +112,16 @@ def test_a_batch_opens_its_buckets_only(spark, tmp_path):
     part = buckets.read(spark, path, rows.schema, hit)
     assert len(part.inputFiles()) == len(hit) <= 2 and len(buckets.read(spark, path, rows.schema).inputFiles()) > 20
     assert {7, 9} <= {r[0] for r in part.select("team_id").collect()}
+
+
+def test_scores_at_instants_open_the_probed_teams_only(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, i, rng.randrange(8), rng.randrange(30), ts(rng.randrange(9000))) for i in range(200)]
+    led = frame(spark, rows, "attempt_id long, user_id long, challenge_id long, team_id long, solved_at timestamp_ntz")
+    challenges = frame(spark, [(i, 10 + i) for i in range(8)], "id long, points int")
+    path = str(tmp_path / "store")
+    attempts.store_ledger(led.withColumn("correct", F.lit(True)), led, path, 32)
+    probes = frame(spark, [(1, 3, ts(5000)), (2, 3, ts(0)), (3, 9, ts(8999)), (4, 77, ts(5))], "id long, team_id long, at timestamp_ntz")
+    got = scores.score_at_stored(probes, path, challenges, parts=32)
+    assert as_dict(got, "id", "score") == as_dict(scores.score_at(probes, led, challenges), "id", "score")
+    assert sum("team_id" in f for f in got.inputFiles()) <= 3
