@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvelake.llm.base import LOWER, UPPER, let, lower_ascii, row_key, store, told, windows
+from solvelake.llm.base import let, lower_ascii, row_key, store, told, windows
 
 #: What separates words once A-Z is lower-cased: ASCII other than digits and a-z.
 BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -15,11 +17,15 @@ def item_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAKS), "")
 
 
+#: Windows whose hashes go to the tasks at a time, and hashes in a bucket of their table.
+PER_PASS, PER_BUCKET = 500_000, 4
+
+
 def benchmark_windows(benchmark: DataFrame, size: int = 13) -> DataFrame:
     """``gram`` (words joined by a space), ``len`` and the ``items`` that hold it.
 
     An item with fewer than ``size`` words, but not none, is one window. Items without an id are numbered by no one:
-    their windows count with a null item.
+    their windows count without an item.
     """
     words = benchmark.select("item_id", item_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     grams = F.when(F.size("w") < size, F.array(F.array_join("w", " "))).otherwise(
@@ -29,63 +35,72 @@ def benchmark_windows(benchmark: DataFrame, size: int = 13) -> DataFrame:
     return rows.groupBy("gram", "len").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
 
 
-def _likely(lens: list[int], members: dict[int, list[int]]) -> Column:
-    """Whether a text has a window whose hash is a member: one SQL expression, so that the words are split once.
+def _table(hashes: DataFrame, buckets: int) -> Column:
+    """The hashes (column ``h``) as one hash set: a constant array of ``buckets`` short arrays.
 
-    The members are literals of an IN list, which Spark keeps as a hash set.
+    It comes to the driver as one text of some 20 bytes a hash, and goes to the tasks with the plan.
     """
-    tests = []
-    for n in lens:
-        listed = ",".join(f"{h}L" if h > -(2**63) else "bigint('-9223372036854775808')" for h in members[n])
-        starts = f"if(size(w) >= {n}, sequence(1, size(w) - {n - 1}), cast(array() as array<int>))"
-        tests.append(f"exists(transform({starts}, i -> xxhash64(slice(w, i, {n}))), h -> h in ({listed}))")
-    words = (
-        f"array_remove(split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), r'{BREAKS}'), '')"
-    )
-    return F.expr(
-        f"transform(array({words}), w -> named_struct('n', cast(size(w) as bigint), 'likely', {' or '.join(tests)}))[0]"
-    )
+    filled = hashes.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.collect_list("h").alias("hs"))
+    every = hashes.sparkSession.range(buckets).select(F.col("id").alias("b")).join(filled, "b", "left")
+    none = F.array().cast("array<bigint>")
+    rows = F.sort_array(F.collect_list(F.struct("b", F.coalesce("hs", none).alias("hs"))))
+    return F.from_json(F.lit(every.agg(F.to_json(rows.getField("hs"))).first()[0]), "array<array<bigint>>")
 
 
-def scan(docs: DataFrame, grams: DataFrame, lens: list[int], set_limit: int = 100_000) -> DataFrame:
-    """``doc_id``, ``key``, ``n_words`` and the ``text`` of documents that may hold a window; null for the rest.
+def scan(docs: DataFrame, grams: DataFrame, lens: list[int], per_pass: int = PER_PASS) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``key`` and ``n_words`` of every row, and every place (``doc_id``, ``key``, ``pos``, ``len``,
+    ``gram``) whose words have the hash of a benchmark window.
 
-    Up to ``set_limit`` windows go to every task as a set of hashes; a larger benchmark leaves every text in.
+    Each window of a text is looked up in a hash set of 64-bit hashes and only found ones leave the row, so texts are
+    never shuffled, whatever the size of the benchmark. Beyond ``per_pass`` windows the set is told in shares, one
+    pass over the texts each.
     """
-    if not lens:
-        found = F.struct(F.size(item_words(F.col("text"))).cast("long").alias("n"), F.lit(False).alias("likely"))
-    elif grams.count() <= set_limit:
-        members: dict[int, list[int]] = {n: [] for n in lens}
-        for r in grams.select("len", F.xxhash64(F.split("gram", " ")).alias("h")).collect():  # at most set_limit
-            members[r["len"]].append(r["h"])
-        found = _likely(lens, members)
-    else:
-        n = F.size(item_words(F.col("text"))).cast("long")
-        found = let(n, lambda x: F.struct(x.alias("n"), (x >= lens[0]).alias("likely")))
-    rows = docs.select("doc_id", row_key(F.col("text")).alias("key"), "text", found.alias("_found"))
-    return rows.select(
-        "doc_id", "key", F.col("_found.n").alias("n_words"), F.when(F.col("_found.likely"), F.col("text")).alias("text")
-    )
+    found = "array<struct<pos:int,len:int,gram:string>>"
+    hashes, _ = store(grams.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct(), "hashes")
+    count = hashes.count()
+    passes = max(1, -(-count // max(1, per_pass)))
+    buckets = max(1, count // passes // PER_BUCKET)
+
+    def places(words: Column, table: Column, n: int) -> Column:
+        seen = F.transform(
+            windows(words, n), lambda h, i: F.when(F.array_contains(F.get(table, F.pmod(h, F.lit(buckets)).cast("int")), h), i + 1)
+        )
+        return F.transform(
+            F.array_compact(seen),
+            lambda p: F.struct(p.alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(words, p, n), " ").alias("gram")),
+        )
 
+    def row(words: Column, table: Column) -> Column:
+        at = F.flatten(F.array(*[places(words, table, n) for n in lens])) if lens else F.array().cast(found)
+        return F.struct(F.size(words).cast("long").alias("n"), at.alias("at"))
 
-def find_hits(scanned: DataFrame, grams: DataFrame, lens: list[int]) -> DataFrame:
-    """Every place (``doc_id``, ``key``, ``pos``, ``len``, ``items``) where a window's words start in a document."""
+    steps = []
+    for share in range(passes):
+        table = _table(hashes.filter(F.pmod(F.xxhash64("h"), F.lit(passes)) == share), buckets)  # of about ``per_pass``
+        of_row = let(table, lambda t: let(item_words(F.col("text")), lambda w: row(w, t)))  # noqa: B023
+        rows = docs.select("doc_id", row_key(F.col("text")).alias("key"), of_row.alias("_of"))
+        out = rows.select("doc_id", "key", F.col("_of.n").alias("n_words"), F.col("_of.at").alias("at"))
+        steps.append(store(out, "scanned")[0])
+    met = reduce(DataFrame.union, steps).select("doc_id", "key", F.explode("at").alias("at"))
+    return steps[0].select("doc_id", "key", "n_words"), met.select("doc_id", "key", "at.*")
 
-    def placed(words: Column, n: int) -> Column:
-        return F.transform(
-            windows(words, n, lambda s: F.array_join(s, " ")),
-            lambda g, i: F.struct((i + 1).alias("pos"), F.lit(n).alias("len"), g.alias("gram")),
-        )
 
-    def places(words: Column) -> Column:
-        return F.flatten(F.array(*[placed(words, n) for n in lens]))
+def hits_and_items(places: DataFrame, grams: DataFrame) -> DataFrame:
+    """Per document (``doc_id``, ``key``) the places whose words are a benchmark window's, and the items they occur in.
 
-    at = (
-        scanned.filter(F.col("text").isNotNull())
-        .select("doc_id", "key", F.explode(let(item_words(F.col("text")), places)).alias("at"))
-        .select("doc_id", "key", "at.pos", "at.len", "at.gram")
+    Hashes that met are verified as text. Items are looked up once for each window of a document, not for each place.
+    """
+    true = places.join(grams.select("gram"), "gram", "left_semi")
+    runs = true.select("doc_id", "key", F.struct("pos", "len").alias("hit"), F.lit(None).cast("string").alias("item"))
+    named = true.select("doc_id", "key", "gram").distinct().join(grams.select("gram", "items"), "gram")
+    items = named.select(
+        "doc_id", "key", F.lit(None).cast("struct<pos:int,len:int>").alias("hit"), F.explode("items").alias("item")
+    )
+    return (
+        runs.unionByName(items)
+        .groupBy("doc_id", "key")
+        .agg(F.sort_array(F.collect_set("hit")).alias("hits"), F.sort_array(F.collect_set("item")).alias("items"))
     )
-    return at.join(grams, ["gram", "len"]).select("doc_id", "key", "pos", "len", "items")
 
 
 def _covered(places: Column) -> Column:
@@ -103,7 +118,7 @@ def _covered(places: Column) -> Column:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, size: int = 13, min_percent: int = 5, set_limit: int = 100_000
+    docs: DataFrame, benchmark: DataFrame, size: int = 13, min_percent: int = 5, set_limit: int = PER_PASS
 ) -> DataFrame:
     """One row per row of ``docs``: ``n_words``, ``n_hit``, ``items`` (ids as sorted strings), ``hits``,
     ``contaminated`` and ``key`` (of the text).
@@ -111,28 +126,16 @@ def contamination(
     A word is hit if it lies inside any occurrence of a benchmark window; a document is contaminated if hit words
     are at least ``min_percent`` of its words. Null and empty texts have no words and no hits; an empty benchmark
     contaminates nothing; equal rows get equal results; rows of one id with different texts are judged apart.
-    ``hits`` holds the (pos, len) runs in words, from 1.
+    ``hits`` holds the (pos, len) runs in words, from 1. The set of hashes holds about ``set_limit`` windows at a time.
     """
     grams, _ = store(benchmark_windows(benchmark, size), "grams")
     lens = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most ``size`` numbers
-    scanned, _ = store(scan(docs, grams, lens, set_limit), "scanned")
-    base = scanned.drop("text")
-    none = F.array().cast("array<struct<pos:int,len:int>>")
-    if lens:
-        per_doc = (
-            find_hits(scanned, grams, lens)
-            .groupBy("doc_id", "key")
-            .agg(
-                F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("hits"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-            )
-            .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "hits", "items")
-        )
-        same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-        base = base.join(per_doc, same, "left").drop("_id", "_key")
-        hits, items = F.coalesce("hits", none), F.coalesce("items", F.array().cast("array<string>"))
-    else:
-        hits, items = none, F.array().cast("array<string>")
+    base, places = scan(docs, grams, lens, set_limit)
+    per_doc = hits_and_items(places, grams).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    base = base.join(per_doc, same, "left").drop("_id", "_key")
+    hits = F.coalesce("hits", F.array().cast("array<struct<pos:int,len:int>>"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
     out = base.withColumns({"hits": hits, "items": items}).withColumn("n_hit", _covered(F.col("hits")))
     bad = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= min_percent * F.col("n_words"))
     return out.withColumn("contaminated", bad)
@@ -140,7 +143,7 @@ def contamination(
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, remove: str = "documents", size: int = 13, min_percent: int = 5,
-    set_limit: int = 100_000,
+    set_limit: int = PER_PASS,
 ) -> DataFrame:
     """``docs`` without contaminated documents, or, with ``remove="spans"``, without the hit words in any document.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,6 +128,38 @@ def test_windows_and_spans(spark):
     assert spans[6] == "z " * 60 and spans[4] is None
 
 
+def test_large_benchmark(spark):
+    """200,000 windows, in one set of hashes and in shares, against plain sets of windows."""
+    draw = random.Random(5)
+    items = {f"i{n}": [f"w{draw.randrange(5000)}" for _ in range(413)] for n in range(500)}
+    items["short"], items["again"] = ["only", "five", "words", "of", "it"], items["i7"][:200]
+    texts = []
+    for n in range(60):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(0, 300))]
+        if n % 3 == 0:
+            start = draw.randrange(380)
+            words[20:20] = items[f"i{n}"][start : start + draw.randrange(10, 60)]
+        texts.append(words + (items["short"] if n % 7 == 0 else []))
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    bench_ = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id string, text string")
+    grams = {}
+    for name, words in items.items():
+        size = min(13, len(words))
+        for i in range(len(words) - size + 1):
+            grams.setdefault(tuple(words[i : i + size]), set()).add(name)
+    assert len(grams) > 200_000
+    want = {}
+    for n, words in enumerate(texts):
+        at = [(i, size) for size in (5, 13) for i in range(len(words) - size + 1) if tuple(words[i : i + size]) in grams]
+        hit = {j for i, size in at for j in range(i, i + size)}
+        names = set().union(*(grams[tuple(words[i : i + size])] for i, size in at))
+        want[n] = (len(words), len(hit), sorted(names))
+    assert len([1 for w in want.values() if w[1]]) > 20
+    for limit in (decontaminate.PER_PASS, 70_000):
+        rows = decontaminate.contamination(docs, bench_, set_limit=limit).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in rows} == want
+
+
 def test_contamination_odd(spark):
     items = bench(spark, [odd.BASE, None])
     got = decontaminate.contamination(odd.docs(spark), items).collect()
