@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvelake.functions.common import epoch, stamp
@@ -102,6 +102,20 @@ def _seconds(ledger: DataFrame, challenges: DataFrame) -> DataFrame:
     return with_points(ledger, challenges).withColumn("second", epoch("solved_at"))
 
 
+def gains(ledger: DataFrame, challenges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points won by each team as ``gains``, an array of (at, gain): per (team_id, hour) by second, at most ``SLICE``
+    of them, and per team_id by hour, one for each hour of the event with solves."""
+    scored = _seconds(ledger, challenges).where("team_id is not null and second is not null")
+    marks = scored.withColumn("hour", F.expr(f"second div {SLICE}"))
+    per_second = marks.groupBy("team_id", "hour", "second").agg(F.sum("points").cast("bigint").alias("gain"))
+    per_hour = marks.groupBy("team_id", "hour").agg(F.sum("points").cast("bigint").alias("gain"))
+
+    def listed(at: str) -> Column:
+        return F.collect_list(F.struct(F.col(at).alias("at"), "gain")).alias("gains")
+
+    return per_second.groupBy("team_id", "hour").agg(listed("second")), per_hour.groupBy("team_id").agg(listed("hour"))
+
+
 def score_at(probes: DataFrame, ledger: DataFrame, challenges: DataFrame) -> DataFrame:
     """``probes`` (team_id, at, ...) with ``score``: points of solves strictly before ``at``."""
     p = probes.withColumn("second", epoch("at"))

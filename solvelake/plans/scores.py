@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from solvelake.functions import sql
 from solvelake.functions.common import epoch
 from solvelake.operators import attempts, scores
 from solvelake.operators.ledger import first_correct
 from solvelake.plans.registry import query
-from solvelake.session import work_path
+from solvelake.session import cut, work_path
 from solvelake.sources import testbed as tb
 
 PRIOR = """
@@ -102,6 +103,17 @@ def team_score_asof_stored(spark, sf):
     return scores.score_at_stored(probes, path, tb.challenges(spark, sf), parts=8).select("id", "team_id", "score")
 
 
+@query("team_score_asof_sql", ASOF)
+def team_score_asof_sql(spark, sf):
+    """The same through the SQL name."""
+    log = tb.stored_attempts(spark, sf)
+    own, c = cut(first_correct(log)), tb.challenges(spark, sf)
+    teams = scores.with_scores(tb.teams(spark, sf), own, c, "team_id")
+    sql.register(spark, teams, tb.users(spark, sf), c, tb.links(spark, sf), own, prefix="asof_")
+    log.createOrReplaceTempView("asof_attempts")
+    return spark.sql("select id, team_id, asof_get_team_score_at(team_id, inserted_at) score from asof_attempts")
+
+
 @query(
     "score_history",
     f"""
