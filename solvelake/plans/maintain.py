@@ -62,7 +62,7 @@ merged as (
 """
 
 
-def upserted(spark, sf):
+def upserted(spark, sf, stored=True):
     n = tb.raw(spark, sf, "part").agg(F.count(F.lit(1)) + 50).scalar()
     seq = F.col("seq").cast("string")
     web = F.struct(F.lit("web").alias("type"), F.concat(F.lit("http://c.example/"), seq).alias("location"))
@@ -85,7 +85,7 @@ def upserted(spark, sf):
     current = stamped(tb.challenges(spark, sf).withColumn("solve_count", F.lit(0)))
     made = -1 - F.substring("source_folder", 7, 20).cast("bigint")
     children = [tb.links(spark, sf), tb.attempts(spark, sf)]
-    return upserts.upsert_challenges(current, commands, children, tb.NOW, made)
+    return upserts.upsert_challenges(current, commands, children, tb.NOW, made, stored=stored)
 
 
 @query("upsert_challenges", "select id, name, points, visible, source_folder, touched from merged", UPSERTS)
@@ -95,7 +95,7 @@ def upsert_challenges(spark, sf):
 
 @query("upsert_challenge_outcomes", "select seq, outcome from judged", UPSERTS)
 def upsert_challenge_outcomes(spark, sf):
-    return upserted(spark, sf)[2].select("seq", "outcome")
+    return upserted(spark, sf, stored=False)[2].select("seq", "outcome")
 
 
 @query(

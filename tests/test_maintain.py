@@ -289,6 +289,40 @@ def test_upsert_and_links(spark):
     quality.require_unique(after, "challenge_links")
 
 
+def test_upserts_of_one_seq_and_without_a_folder(spark):
+    """Of equal places the greatest command stands, a rejected one never; commands without a folder are one challenge."""
+    challenges = frame(spark, [chall(1, "a"), chall(2, "b")], CHALL)
+    links = frame(spark, [("l1", 1, "u", "web")], LINK)
+    commands = frame(
+        spark,
+        [command(5, None, "a", 1, []), command(5, 9, "a", 2, []), command(7, 70, "b", 3, []), command(7, 71, "b", 4, []),
+         command(8, 30, None, 5, [("web", "w")]), command(9, None, None, 6, [("web", "x")]), command(None, 4, "b", 7, [])],
+        "seq long, id long, source_folder string, name string, description string, flag string, points int, "
+        "authors array<string>, hints array<string>, categories array<string>, tags array<string>, visible boolean, "
+        "links array<struct<type:string,location:string>>",
+    )
+    made = F.lit(500).cast("long")
+    out, lists, judged = upserts.upsert_challenges(challenges, commands, [links], NOW, made)
+    assert as_list(judged, "seq", "id", "outcome") == sorted(
+        [(5, None, "stored"), (5, 9, "id_in_use"), (7, 70, "stored"), (7, 71, "stored"), (8, 30, "stored"), (9, None, "stored"),
+         (None, 4, "missing_seq")], key=repr)
+    assert as_set(out, "id", "source_folder", "points") == {(1, "a", 1), (71, "b", 4), (30, None, 6)}
+    kept = upserts.replace_links(links, out, lists)
+    assert as_set(kept, "challenge_id", "url", "type") == {(30, "x", "web")}
+    plain = upserts.upsert_challenges(challenges, commands, [links], NOW, made, stored=False)
+    for a, b in zip((out, lists, judged), plain, strict=True):
+        assert as_list(a, *a.columns) == as_list(b, *a.columns)
+
+
+def test_repeated_ids_of_links_are_refused(spark):
+    """Links without a url are told apart by their ids alone."""
+    lists = frame(spark, [(1, [("web", None)]), (1, [("web", None)])], "challenge_id long, links array<struct<type:string,location:string>>")
+    none, known = frame(spark, [], LINK), frame(spark, [(1,)], "id long")
+    with pytest.raises(ValueError, match="id="):
+        upserts.replace_links(none, known, lists)
+    assert upserts.replace_links(none, known, lists, unique=False).count() == 2
+
+
 def test_clashing_upserts_are_refused(spark):
     challenges = frame(spark, [chall(1, "a"), chall(2, "b")], CHALL)
     ddl = "seq long, id long, source_folder string, name string, description string, flag string, points int, " \

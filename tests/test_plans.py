@@ -134,6 +134,18 @@ def test_few_scans(spark, name, scans):
     assert plan(QUERIES[name](spark, SMALL)).count("FileScan") <= scans
 
 
+def test_commands_are_judged_once_for_links(spark):
+    """The check of the lists and the links after the upserts read stored lists, not the commands again."""
+    text = plan(QUERIES["replace_links"](spark, SMALL))
+    assert "o_orderkey" not in text and text.count("FileScan") == 3
+
+
+def test_readers_of_upserts_take_only_their_columns(spark):
+    text = plan(QUERIES["upsert_challenges"](spark, SMALL).select("id"))
+    assert "new_name" in text and "new_links" not in text and "new_description" not in text
+    assert "FileScan" in plan(QUERIES["upsert_challenge_outcomes"](spark, SMALL))
+
+
 def test_unique_keys_are_checked_by_change(spark):
     """The table is read for the keys that a batch writes, and is neither counted nor shuffled for that."""
     after = cut(tb.users(spark, SMALL).select("id", "name", (F.col("id") < 5).alias("_wrote")))
